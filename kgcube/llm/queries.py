@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgcube.llm import op1_quality, op3_simhash, op6_decontaminate, op8_pack, op10_secrets
+from kgcube.llm import op1_quality, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op8_pack, op10_secrets
 from kgcube.llm.store import stored
 from kgcube.llm.tables import read
 
@@ -23,6 +23,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", op3_simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm.score(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,7 +44,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op6_benchmark_decontamination, op8_harmonic_packing, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_lm_scoring, op5_toxicity_scores, op6_benchmark_decontamination, op8_harmonic_packing, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
