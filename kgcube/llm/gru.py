@@ -6,9 +6,11 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASS_SIZE, CLASS_MASS = 32, 64, 1 / 32
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 64, 256
-RATE, CLIP = 4e-3, 1.0
+HIDDEN, CLASS_SIZE, CLASS_MASS = 32, 40, 1 / 32
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 256
+RATE, CLIP = 8e-3, 1.0
+#: In training, longer documents are taken as stretches of so many tokens, so that lanes end together.
+STRETCH = 512
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +27,8 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(lane, start) of each document, laid end to end in lanes of about one length; and that length."""
+    """(lane, start) of each document, laid end to end in lanes of about one length; and the lanes'
+    lengths, which fall."""
     n = max(1, min(most, len(lengths)))
     heap = [(0, k) for k in range(n)]
     lane, start = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -33,7 +36,10 @@ def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
         used, k = heapq.heappop(heap)
         lane[i], start[i] = k, used
         heapq.heappush(heap, (used + int(lengths[i]), k))
-    return lane, start, max(u for u, _ in heap)
+    heap.sort(key=lambda x: (-x[0], x[1]))
+    rank = np.empty(n, np.int64)
+    rank[[k for _, k in heap]] = np.arange(n)
+    return rank[lane], start, np.array([u for u, _ in heap])
 
 
 class Model:
@@ -46,6 +52,7 @@ class Model:
         rng, h = np.random.default_rng(seed), HIDDEN
         self.end, (self.cls, self.pos) = end, classes(counts)
         n = int(self.cls.max()) + 1
+        self.single = np.bincount(self.cls, minlength=n) == 1
         mass = np.bincount(self.cls, counts, n)
         w = np.full((n, CLASS_SIZE), -1e9)
         w[self.cls, self.pos] = np.log(counts / mass[self.cls])
@@ -90,7 +97,7 @@ class Model:
         return states, h, kept
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log P of targets y after states h; with grads, also the gradient of the mean -log P by h."""
+        """log P of targets y after states h; with grads, also the gradient of -log P by h, over a full window's tokens."""
         p, n = self.p, len(y)
         cls, pos = self.cls[y], self.pos[y]
         logit = h @ p["C"] + p["c"]
@@ -103,7 +110,7 @@ class Model:
         if grads is not None:
             d = e / total[:, None]
             d[rows, cls] -= 1
-            d /= n
+            d /= TRAIN_LANES * WINDOW
             grads["C"], grads["c"] = h.T @ d, d.sum(0)
             dh = d @ p["C"].T
             grads["W"], grads["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
@@ -111,7 +118,7 @@ class Model:
         edges = np.searchsorted(cls[order], np.arange(len(p["c"]) + 1))
         for k in range(len(p["c"])):
             i = order[edges[k] : edges[k + 1]]
-            if not len(i):
+            if not len(i) or self.single[k]:
                 continue
             hk, pk = h[i], pos[i]
             logit = hk @ p["W"][k] + p["w"][k]
@@ -123,7 +130,7 @@ class Model:
             if grads is not None:
                 d = e / total[:, None]
                 d[rows, pk] -= 1
-                d /= n
+                d /= TRAIN_LANES * WINDOW
                 grads["W"][k], grads["w"][k] = hk.T @ d, d.sum(0)
                 dh[i] += d @ p["W"][k].T
         return logp, dh
@@ -169,8 +176,8 @@ class Model:
     def windows(self, docs: list[np.ndarray], most: int):
         """Documents in lanes: (inputs, targets, document of each target or -1, keep) for each window."""
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        lane, start, size = lanes(lengths, most)
-        n = int(lane.max()) + 1
+        lane, start, used = lanes(lengths, most)
+        n, size = len(used), int(used[0])
         y, of = np.full((n, size), self.end, np.int64), np.full((n, size), -1, np.int64)
         fresh = np.zeros((n, size), bool)
         for i, d in enumerate(docs):
@@ -181,13 +188,14 @@ class Model:
         x[fresh] = self.end
         keep = (~fresh).astype(np.float32)
         for at in range(0, size, WINDOW):
-            part = slice(at, at + WINDOW)
-            yield x[:, part].T, y[:, part].T, of[:, part].T, keep[:, part].T
+            part, live = slice(at, at + WINDOW), int((used > at).sum())
+            yield x[:live, part].T, y[:live, part].T, of[:live, part].T, keep[:live, part].T
 
     def train(self, docs: list[np.ndarray]) -> None:
         h = None
+        docs = [d[i : i + STRETCH] for d in docs for i in range(0, len(d), STRETCH)]
         for x, y, of, keep in self.windows(docs, TRAIN_LANES):
-            h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h
+            h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
             states, h, kept = self.run(x, keep, h, True)
             real = of >= 0
             grads: dict = {}
@@ -201,7 +209,7 @@ class Model:
         """log P of each whole document, its state carried from window to window."""
         h, out = None, np.zeros(len(docs))
         for x, y, of, keep in self.windows(docs, SCORE_LANES):
-            h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h
+            h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
             states, h, _ = self.run(x, keep, h, False)
             real = of >= 0
             out += np.bincount(of[real], self.outputs(states[real], y[real])[0], len(docs))
