@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgcube.llm import op1_quality, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op8_pack, op10_secrets
+from kgcube.llm import op1_quality, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op8_pack, op9_substrings, op10_secrets
 from kgcube.llm.store import stored
 from kgcube.llm.tables import read
 
@@ -39,12 +39,16 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pack.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_lm_scoring, op5_toxicity_scores, op6_benchmark_decontamination, op8_harmonic_packing, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_lm_scoring, op5_toxicity_scores, op6_benchmark_decontamination, op8_harmonic_packing, op9_repeated_passages, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
