@@ -5,13 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgcube.llm import op6_decontaminate, op8_pack, op10_secrets
+from kgcube.llm import op3_simhash, op5_toxicity, op6_decontaminate, op8_pack, op10_secrets
 from kgcube.llm.store import stored
 from kgcube.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The model is fitted on the labelled ones among those that come in."""
+    return op5_toxicity.clean(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return op3_simhash.representatives(docs, stored)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return op6_decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
@@ -28,6 +38,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("secrets", secrets),
     ("packing", packing),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgcube.llm import op1_quality, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op8_pack, op9_substrings, op10_secrets
-from kgcube.llm.store import stored
+from kgcube.llm import op1_quality, op2_counts, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op7_revisits, op8_pack, op9_substrings, op10_secrets
+from kgcube.llm.store import shared_folder, stored
 from kgcube.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality.quality(read(spark, sf_dir, "documents"), stored)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
+    return op2_counts.maintained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), root)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op3_simhash.near_duplicates(read(spark, sf_dir, "documents"), stored)
     return found.select("doc_id", op3_simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -35,6 +41,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return op6_decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_revisits.resolved_pages(read(spark, sf_dir, "pages"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pack.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,8 +58,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_lm_scoring, op5_toxicity_scores, op6_benchmark_decontamination, op8_harmonic_packing, op9_repeated_passages, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_simhash_near_dedup, op4_lm_scoring, op5_toxicity_scores, op6_benchmark_decontamination, op7_revisit_resolution, op8_harmonic_packing, op9_repeated_passages, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_token_counts": op2_counts.SQL, "op7_revisit_resolution": op7_revisits.SQL}
