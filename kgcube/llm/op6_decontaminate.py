@@ -14,6 +14,7 @@ of either table, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,26 +89,28 @@ _sets: dict[tuple, WindowSet] = {}
 
 def _window_set(block, k: int) -> WindowSet:
     """The block's set, kept by this worker while few blocks are in use."""
-    key = (block.id if hasattr(block, "id") else id(block), k)
-    if key not in _sets:
+    name, items = block.value
+    if (name, k) not in _sets:
         while len(_sets) >= 2:
             _sets.pop(next(iter(_sets)))
-        _sets[key] = WindowSet(block.value, k)
-    return _sets[key]
+        _sets[name, k] = WindowSet(items, k)
+    return _sets[name, k]
 
 
 def broadcast_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcast the items in blocks of at most ``block_bytes`` of text (one longer item is a block)."""
+    """Broadcast the items in blocks of at most ``block_bytes`` of text (one longer item is a block),
+    each under a name of its own."""
     sc, blocks, block, size = benchmark.sparkSession.sparkContext, [], [], 0
+    send = lambda items: blocks.append(sc.broadcast((uuid.uuid4().hex, items)))
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
     for i, t in rows.toLocalIterator():
         if block and size + len(t) > block_bytes:
-            blocks.append(sc.broadcast(block))
+            send(block)
             block, size = [], 0
         block.append((i or "", t))
         size += len(t)
     if block:
-        blocks.append(sc.broadcast(block))
+        send(block)
     return blocks
 
 
@@ -121,7 +124,7 @@ def judge(texts: pa.Array, blocks: list, k: int = 13) -> tuple[Words, np.ndarray
         at = np.asarray(pc.fill_null(pc.index_in(vocabulary, value_set=windows.vocabulary), -1), np.int64) + 1
         for rows, owners in windows.hits(w, at[local] if len(local) else local, hit):
             for r, o in np.unique(np.stack([rows, owners], 1), axis=0).tolist():
-                items[r].add(block.value[o][0])
+                items[r].add(block.value[1][o][0])
     return w, hit, [sorted(x) for x in items]
 
 
