@@ -32,8 +32,10 @@ from kgcube.llm.words import Words, chunks, mix
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 10_000
 BUCKETS, WIDTH, GRAMS = 1 << 18, 4, (3, 4, 5)
-PASSAGE, SPREAD, WARM, ROUNDS, RATE, RARE = 64, 6, 20, 80, 0.5, 0.03
+PASSAGE, SPREAD, WARM, ROUNDS, RATE, RARE = 64, 4, 20, 80, 0.5, 0.03
 THRESHOLD = 0.7
+#: Distinct words whose n-grams are found at a time.
+WORD_BLOCK = 50_000
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -64,17 +66,29 @@ class Passages:
     """Texts as passages of word codes, and the n-grams of the distinct words."""
 
     def __init__(self, texts: pa.Array):
-        w = Words(texts, lower=True)
-        self.codes, words = w.codes()
-        self.n = len(w.counts)
-        place = np.arange(len(w)) - w.first[w.doc] if len(w) else np.zeros(0, np.int64)
-        passage = np.cumsum(place % PASSAGE == 0) - 1
-        pairs = np.unique(passage * len(words) + self.codes)  # a passage is the set of its words
-        self.codes, of = pairs % max(len(words), 1), pairs // max(len(words), 1)
-        self.starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        self.sizes = np.diff(np.append(self.starts, len(of)))
-        self.doc = w.doc[np.flatnonzero(place % PASSAGE == 0)]
-        self.grams, self.begin = word_grams(words) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        known: dict[str, int] = {}
+        codes, starts, docs, at, size = [], [], [], 0, 0
+        for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            w = Words(part.column("text"), lower=True)
+            own, words = w.codes()
+            place = np.arange(len(w)) - w.first[w.doc] if len(w) else np.zeros(0, np.int64)
+            first = place % PASSAGE == 0
+            pairs = np.unique((np.cumsum(first) - 1) * len(words) + own)  # a passage is the set of its words
+            of = pairs // max(len(words), 1)
+            shared = np.fromiter((known.setdefault(x, len(known)) for x in words.to_pylist()), np.int32, len(words))
+            codes.append(shared[pairs % max(len(words), 1)])
+            starts.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])) + size if len(of) else np.zeros(0, np.int64))
+            docs.append(w.doc[first] + at)
+            at, size = at + part.num_rows, size + len(of)
+        none = [np.zeros(0, np.int64)]
+        self.n, self.codes, self.starts, self.doc = at, np.concatenate(codes or none), np.concatenate(starts or none), np.concatenate(docs or none)
+        self.sizes = np.diff(np.append(self.starts, size))
+        blocks, words = [], list(known)
+        for i in range(0, len(words), WORD_BLOCK):
+            blocks.append(word_grams(pa.array(words[i : i + WORD_BLOCK], pa.large_string())))
+        self.grams = np.concatenate([g for g, _ in blocks] or [np.zeros(0, np.int32)])
+        shift = np.cumsum([0, *(len(g) for g, _ in blocks)])
+        self.begin = np.concatenate([b + k for (_, b), k in zip(blocks, shift, strict=False)] or none)
         self.many = np.diff(np.append(self.begin, len(self.grams)))
 
     def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:

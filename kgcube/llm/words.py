@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one chunk holds, unless a single text is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 #: Separators of words [^\x20\x09-\x0D]+
 WHITE = np.zeros(256, bool)
