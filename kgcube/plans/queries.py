@@ -50,12 +50,17 @@ def flat():
 SQL_FLAT = "array_to_string(place, '>') AS place, array_to_string(segment, '>') AS segment, array_to_string(time, '>') AS time"
 
 
+def contexts_table(spark, d):
+    """The contexts as a stored table, for plans that read them several times."""
+    return tables.stored(C.level_columns(CUBE, S.contexts(spark, d)))
+
+
 def specific(spark, d):
     return C.dice(CUBE, S.contexts(spark, d), SCOPE)
 
 
 def known(spark, d):
-    return C.knowledge(CUBE, S.contexts(spark, d), SCOPE, RHO)
+    return C.knowledge(CUBE, contexts_table(spark, d), SCOPE, RHO)
 
 
 def finals(spark, d):
@@ -287,7 +292,7 @@ def final_contexts(spark, d):
 
 @query("SELECT a.context_id AS fine_id, b.context_id AS coarse_id FROM contexts a JOIN contexts b ON a.place[1] = b.place[1] AND a.place[1:len(b.place)] = b.place AND a.segment[1:len(b.segment)] = b.segment AND a.time[1:len(b.time)] = b.time")
 def ancestor_pairs(spark, d):
-    c = S.contexts(spark, d)
+    c = contexts_table(spark, d)
     return C.ancestor_pairs(CUBE, c, c)
 
 
@@ -303,7 +308,7 @@ def knowledge_covering(spark, d):
 
 @query("SELECT final_id, context_id FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id")
 def coverage(spark, d):
-    return C.coverage(CUBE, S.contexts(spark, d), SCOPE, RHO)
+    return C.coverage(CUBE, contexts_table(spark, d), SCOPE, RHO)
 
 
 @query(f"SELECT context_id, {S.cid('place[1:1]', 'segment', 'time[1:1]')} AS final_id FROM spec")
@@ -360,7 +365,7 @@ def membership_vertices(spark, d):
 
 
 def full_answer(spark, d):
-    return build(CUBE, S.contexts(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP)
+    return build(CUBE, contexts_table(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP)
 
 
 @query(f"SELECT {SQL_QUAD} FROM answer")
@@ -391,7 +396,7 @@ def membership_decode(spark, d):
 @query(f"""SELECT '{S.BASE}context/' || c.final_id AS graph, c.place[len(c.place)] AS place, c.segment[len(c.segment)] AS segment, c.time[len(c.time)] AS time, coalesce(n, 0) AS n_covers FROM cells c
 LEFT JOIN (SELECT final_id, count(*) AS n FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id GROUP BY final_id) v USING (final_id)""")
 def cube_cells(spark, d):
-    ctx = S.contexts(spark, d)
+    ctx = contexts_table(spark, d)
     quads = T.membership(CUBE, finals(spark, d), S.BASE).unionByName(T.coverage_quads(C.coverage(CUBE, ctx, SCOPE, RHO), S.BASE))
     return T.cube_cells(CUBE, quads, S.BASE)
 
@@ -595,4 +600,4 @@ UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}closureOf', '{B}contex
 UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}derivedFrom', '{B}context/' || final_id || '-mod', false, '{B}context/' || final_id FROM cells
 UNION SELECT '{B}context/' || final_id, '{T.OLAP}covers', '{B}context/' || context_id, false, '{B}context/' || final_id FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id""")
 def answer_with_reasoning(spark, d):
-    return build(CUBE, S.contexts(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP, tbox=tbox(spark, d)).quads.select(*QUAD)
+    return build(CUBE, contexts_table(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP, tbox=tbox(spark, d)).quads.select(*QUAD)
