@@ -36,7 +36,7 @@ from kgcube.llm.words import Words, chunks, covered, gram_hashes, mix, whole
 FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
 D = len(FEATURES)
 #: Least standard deviation of each feature.
-FLOOR = (0.5, 0.5, 0.08, 0.08, 0.08, 0.05)
+FLOOR = (0.5, 0.5, 0.06, 0.08, 0.08, 0.05)
 ALPHA, LEAST, STEPS = 0.75, 60, 5
 #: Rows beyond this quantile of the chi-squared distribution are rejected.
 QUANTILE = 0.99999
