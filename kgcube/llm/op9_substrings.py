@@ -15,7 +15,7 @@
    compared with those of the passages, word by word, and words of windows that belong to a smaller
    document are removed.
 
-The text is shuffled once, to the buckets, whose exchange all three passes over it share. Automata
+Each of the four passes deals the text to the same buckets. Automata
 hold what their bucket's documents need, so their size is bounded by the bucket's.
 
 Defined cases: a null text has no words; texts of fewer than 50 words lose nothing; rows with one id are
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -153,14 +154,26 @@ def bucket_passages(key: tuple, docs: pa.Table, owned: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("pid", pa.int64()), ("owner", pa.int64()), ("words", pa.string()), ("anchors", pa.list_(pa.int64()))]))
 
 
+def symbols(codes: np.ndarray) -> str:
+    """Three characters for each word, each from a range of its own, so that a node has at most 128
+    children (pyahocorasick looks through them one by one) and matches begin where words do."""
+    if len(codes) and int(codes.max()) >> 21:
+        raise ValueError("more than two million distinct words in a bucket")
+    grid = np.empty((len(codes), 3), np.uint32)
+    for j, shift in enumerate((14, 7, 0)):
+        grid[:, j] = 0x4E00 + 128 * j + (codes >> shift & 127)
+    return grid.tobytes().decode("utf-32-le")
+
+
 def automaton(codes: np.ndarray, w: Words):
     """Of the stretches of passages (as words of codes)."""
     import ahocorasick
 
-    a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    text = symbols(codes)
     for first, many in zip(w.first[:-1].tolist(), w.counts.tolist(), strict=True):
         for i in range(first, first + many - TILE + 1, TILE):
-            a.add_word(tuple(codes[i : i + TILE].tolist()), 1)
+            a.add_word(text[3 * i : 3 * (i + TILE)], 1)
     if len(a):
         a.make_automaton()
     return a
@@ -168,29 +181,27 @@ def automaton(codes: np.ndarray, w: Words):
 
 def removed_words(docs: pa.RecordBatch, passages: pa.Table) -> tuple[Words, np.ndarray]:
     """Words of the documents, and which of them lie in a window of a passage of a smaller document."""
-    n = docs.num_rows
-    both = pa.concat_arrays([docs.column("text").cast(pa.large_string()), passages.column("words").combine_chunks().cast(pa.large_string())])
-    all_words = Words(both)
-    codes, _ = all_words.codes()
-    split = int(all_words.first[n])
     w = Words(docs.column("text"))
     gone = np.zeros(len(w), bool)
     if not passages.num_rows or not len(w):
         return w, gone
-    p = Words(both.slice(n))
-    pcodes, dcodes = codes[split:], codes[:split]
+    dcodes, words = w.codes()
+    p = Words(passages.column("words").combine_chunks())
+    own, passage_words = p.codes()
+    at = np.asarray(pc.fill_null(pc.index_in(passage_words, value_set=words), -1), np.int64)
+    pcodes = np.where(at < 0, len(words) + np.arange(len(at)), at)[own]
     owner, ids = np.asarray(passages.column("owner"), np.int64), np.asarray(docs.column("doc_id").fill_null(LAST), np.int64)
     machine = automaton(pcodes, p)
     if not len(machine):
         return w, gone
-    known = np.zeros(int(codes.max()) + 1, bool)
+    known = np.zeros(len(words) + len(passage_words), bool)
     known[pcodes] = True
     here = np.append(0, np.cumsum(known[dcodes]))
     possible = np.flatnonzero(here[TILE:] - here[:-TILE] == TILE) if len(w) >= TILE else []  # else no stretch can match
-    ends = []
+    ends, text = [], symbols(dcodes)
     for i in np.unique(w.doc[possible]).tolist() if len(possible) else []:
         a, b = int(w.first[i]), int(w.first[i + 1])
-        ends += [a + e for e, _ in machine.iter(tuple(dcodes[a:b].tolist()))]
+        ends += [a + e // 3 for e, _ in machine.iter(text[3 * a : 3 * b])]
     if not ends:
         return w, gone
     # windows that hold a located stretch whole
@@ -215,18 +226,26 @@ def removed_words(docs: pa.RecordBatch, passages: pa.Table) -> tuple[Words, np.n
     return w, gone
 
 
+def kept_text(w: Words, keep: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """The kept words of all texts, joined by spaces, and the range of each text."""
+    sizes = w.ends - w.starts
+    data, _ = w.packed()
+    data, sizes = data[np.repeat(keep, sizes)], sizes[keep]
+    out = np.full(len(data) + len(sizes), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+    at = np.concatenate(([0], np.cumsum(sizes + 1)))
+    n = np.concatenate(([0], np.cumsum(np.bincount(w.doc[keep], minlength=len(w.counts)))))
+    return out.tobytes(), [(a, max(a, b - 1)) for a, b in zip(at[n[:-1]].tolist(), at[n[1:]].tolist(), strict=True)]
+
+
 def bucket_result(key: tuple, docs: pa.Table, passages: pa.Table) -> pa.Table:
     batch = table_batch(docs.select(["doc_id", "text"]))
     out = []
     for part in chunks(batch, most=1 << 40):
         w, gone = removed_words(part, passages)
         n_removed = np.bincount(w.doc[gone], minlength=part.num_rows).astype(np.int64)
-        data, off = w.packed()
-        raw = data.tobytes()
-        digests = []
-        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-            kept = np.flatnonzero(~gone[a:b]) + a
-            digests.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(off[kept].tolist(), off[kept + 1].tolist(), strict=True)])).hexdigest())
+        raw, off = kept_text(w, ~gone)
+        digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in off]
         out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(n_removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     return pa.Table.from_batches(out, schema) if out else schema.empty_table()
