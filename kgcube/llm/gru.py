@@ -6,11 +6,13 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASS_SIZE, CLASS_MASS = 32, 40, 1 / 32
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 256
+HIDDEN, CLASS_SIZE, CLASS_MASS = 24, 32, 1 / 24
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 192, 384
 RATE, CLIP = 8e-3, 1.0
 #: In training, longer documents are taken as stretches of so many tokens, so that lanes end together.
 STRETCH = 512
+#: Steps that a call takes at least, in fewer lanes if need be.
+LEAST_WINDOWS = 32
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ class Model:
             grads["C"], grads["c"] = h.T @ d, d.sum(0)
             dh = d @ p["C"].T
             grads["W"], grads["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # a radix sort
         edges = np.searchsorted(cls[order], np.arange(len(p["c"]) + 1))
         for k in range(len(p["c"])):
             i = order[edges[k] : edges[k + 1]]
@@ -153,7 +155,7 @@ class Model:
         rh = np.stack([k[2] * k[0] for k in kept]).reshape(-1, H)
         flat = da.reshape(-1, 3 * H)
         grads["U"], grads["N"] = h.T @ flat[:, : 2 * H], rh.T @ flat[:, 2 * H :]
-        order = np.argsort(x.ravel(), kind="stable")
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         grads["X"] = np.zeros_like(p["X"])
@@ -194,14 +196,16 @@ class Model:
     def train(self, docs: list[np.ndarray]) -> None:
         h = None
         docs = [d[i : i + STRETCH] for d in docs for i in range(0, len(d), STRETCH)]
-        for x, y, of, keep in self.windows(docs, TRAIN_LANES):
+        few = sum(map(len, docs)) // (WINDOW * LEAST_WINDOWS)
+        for x, y, of, keep in self.windows(docs, max(8, min(TRAIN_LANES, few))):
             h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
             states, h, kept = self.run(x, keep, h, True)
-            real = of >= 0
-            grads: dict = {}
-            _, dh = self.outputs(states[real], y[real], grads)
-            d = np.zeros_like(states)
-            d[real] = dh
+            real, grads = of >= 0, {}
+            if real.all():
+                d = self.outputs(states.reshape(-1, HIDDEN), y.ravel(), grads)[1].reshape(states.shape)
+            else:
+                d = np.zeros_like(states)
+                d[real] = self.outputs(states[real], y[real], grads)[1]
             self.back(x, keep, kept, d, grads)
             self.update(grads)
 

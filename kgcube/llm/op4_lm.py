@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kgcube.llm.gru import Model
 from kgcube.llm.words import Words, chunks
 
-VOCABULARY, HEAD = 1000, 150_000
+VOCABULARY, HEAD = 600, 150_000
 #: Tokens that are worth a training task of their own, and documents it takes up at a time.
 TASK_TOKENS, TRAIN_DOCS = 300_000, 1024
 #: Shares of the training documents, in sixty-fourths, up to which the rounds go.
