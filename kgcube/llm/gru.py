@@ -6,10 +6,11 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASS_SIZE, CLASS_MASS = 24, 32, 1 / 24
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 192, 384
+HIDDEN, CLASS_SIZE, CLASS_MASS = 32, 40, 1 / 32
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 384
 RATE, CLIP = 8e-3, 1.0
-#: In training, longer documents are taken as stretches of so many tokens, so that lanes end together.
+#: In training, longer documents are taken as stretches of so many tokens, so that lanes end together;
+#: a stretch starts with a new state and the token before it.
 STRETCH = 512
 #: Steps that a call takes at least, in fewer lanes if need be.
 LEAST_WINDOWS = 32
@@ -175,19 +176,20 @@ class Model:
             v += 0.001 * g * g
             self.p[k] -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
-    def windows(self, docs: list[np.ndarray], most: int):
-        """Documents in lanes: (inputs, targets, document of each target or -1, keep) for each window."""
+    def windows(self, docs: list[np.ndarray], most: int, before: list[int] | None = None):
+        """Documents in lanes: (inputs, targets, document of each target or -1, keep) for each window.
+        before: the token that precedes each document, if not the end."""
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         lane, start, used = lanes(lengths, most)
         n, size = len(used), int(used[0])
         y, of = np.full((n, size), self.end, np.int64), np.full((n, size), -1, np.int64)
-        fresh = np.zeros((n, size), bool)
+        fresh, first = np.zeros((n, size), bool), np.full(len(docs), self.end) if before is None else np.array(before)
         for i, d in enumerate(docs):
             y[lane[i], start[i] : start[i] + len(d)] = d
             of[lane[i], start[i] : start[i] + len(d)] = i
             fresh[lane[i], start[i]] = True
         x = np.concatenate([np.full((n, 1), self.end, np.int64), y[:, :-1]], 1)
-        x[fresh] = self.end
+        x[lane, start] = first
         keep = (~fresh).astype(np.float32)
         for at in range(0, size, WINDOW):
             part, live = slice(at, at + WINDOW), int((used > at).sum())
@@ -195,9 +197,10 @@ class Model:
 
     def train(self, docs: list[np.ndarray]) -> None:
         h = None
+        before = [int(d[i - 1]) if i else self.end for d in docs for i in range(0, len(d), STRETCH)]
         docs = [d[i : i + STRETCH] for d in docs for i in range(0, len(d), STRETCH)]
         few = sum(map(len, docs)) // (WINDOW * LEAST_WINDOWS)
-        for x, y, of, keep in self.windows(docs, max(8, min(TRAIN_LANES, few))):
+        for x, y, of, keep in self.windows(docs, max(8, min(TRAIN_LANES, few)), before):
             h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
             states, h, kept = self.run(x, keep, h, True)
             real, grads = of >= 0, {}

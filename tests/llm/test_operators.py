@@ -220,6 +220,21 @@ def test_model_learns_more_than_counts():
     assert m.score(docs).sum() > 0.7 * np.log(counts / counts.sum())[np.concatenate(docs)].sum()
 
 
+def test_network_sees_the_thousand_most_frequent_words():
+    lex = op4_lm.Lexicon([f"w{i}" for i in range(1100)] + [""], [5000 - i for i in range(1100)] + [9], 10**7, 5000)
+    assert lex.id[:1000].tolist() == list(range(1000)) and set(lex.id[1000:1100].tolist()) == {lex.rare}
+    assert gru.Model(lex.model_counts, lex.end).p["N"].shape == (32, 32)
+
+
+def test_inner_stretches_start_from_the_token_before_them(monkeypatch):
+    m, seen = gru.Model(np.ones(31), 30), []
+    monkeypatch.setattr(m, "run", lambda x, keep, *a, f=m.run: (seen.append((x, keep)), f(x, keep, *a))[1])
+    doc = np.random.default_rng(2).integers(0, 30, 2 * gru.STRETCH + 40)
+    m.train([doc])
+    first = np.concatenate([x[keep == 0] for x, keep in seen]).tolist()
+    assert sorted(first) == sorted([30, int(doc[gru.STRETCH - 1]), int(doc[2 * gru.STRETCH - 1])])
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(8)
     good = [f"wor{a}{b}" for a in "abcdefg" for b in "hijklmnop"]
