@@ -389,6 +389,23 @@ def test_hidden_secrets(hidden):
     assert op10_secrets.redacted(text).startswith("see [SECRET]")
 
 
+def wrapped(data, width=76):
+    t = base64.b64encode(data).decode()
+    return "\n".join(t[i : i + width] for i in range(0, len(t), width))
+
+
+NOISE = "".join(random.Random(4).choices("ghijklmnopqrstuvwxyz .,\n", k=900))
+
+
+@pytest.mark.parametrize("text, least", [
+    ("\\u0022password\\u0022: \\u0022hunter22\\u0022", "hunter22"), ("\\u0070assword = hunter22", "hunter22"), ("password%3A hunter22", "hunter22"), ("p%61ssword: \\x68unter22", "unter22"),
+    (base64.b64encode(b"the password is password:  ").decode() + " hunter22", "hunter22"), (wrapped(b"x" * 45 + b" password: hunter22xyz " + b"y" * 60), "hunter22"), (wrapped(gzip.compress((NOISE + SECRET).encode())), "\n"), (wrapped(zlib.compress((NOISE + SECRET).encode())).replace("\n", "\r\n"), "\n"),
+])
+def test_secrets_over_several_parts(text, least):
+    base, found = op10_secrets.spans(f"see {text}\t.")
+    assert not base and found and least not in op10_secrets.redacted(f"see {text}\t.")
+
+
 def test_secrets(spark, empty):
     key = "AKIA" + "ABCDEFGH12345678"
     texts = [None, "", f"x {key}Z y {key[:-1]}", "Token='abc' API_KEY= \"abcdef\" apikey:12345", "hex 0123456789abcdef01234567 0123456789abcdef0123456", 'token="token":"abcdefgh"', "%%% %41 \\u0041 " + "QUJD" * 5, f"secret={key}"]
