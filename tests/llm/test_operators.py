@@ -406,6 +406,18 @@ def test_secrets_over_several_parts(text, least):
     assert not base and found and least not in op10_secrets.redacted(f"see {text}\t.")
 
 
+B64 = base64.b64encode(SECRET.encode()).decode()
+
+
+@pytest.mark.parametrize("hidden", [
+    "q=caf%E9&t=password%3Dhunter22x", base64.b64encode("café ".encode("latin-1") + SECRET.encode()).decode(), base64.b64encode(SECRET.encode("utf-16")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(), base64.b64encode(bytes(range(128, 256)) + SECRET.encode()).decode(),
+    "id_" + B64, "a/path/" + B64, "ab-" + B64, "x" + B64, base64.b64encode(SECRET.encode()).decode().rstrip("=") + "_x", "id_" + base64.b64encode(gzip.compress(SECRET.encode())).decode(), "".join(f"%00%{ord(c):02x}" for c in SECRET),
+])
+def test_secrets_in_what_is_not_text(hidden):
+    base, found = op10_secrets.spans(f"see {hidden} there")
+    assert not base and found and all(4 <= s < e <= 4 + len(hidden) for s, e, _ in found)
+
+
 def test_secrets(spark, empty):
     key = "AKIA" + "ABCDEFGH12345678"
     texts = [None, "", f"x {key}Z y {key[:-1]}", "Token='abc' API_KEY= \"abcdef\" apikey:12345", "hex 0123456789abcdef01234567 0123456789abcdef0123456", 'token="token":"abcdefgh"', "%%% %41 \\u0041 " + "QUJD" * 5, f"secret={key}"]
