@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kgcube.llm.components import components
 from kgcube.llm.words import Words, chunks
@@ -40,6 +41,8 @@ from kgcube.llm.words import Words, chunks
 SEED, SHINGLE, MOST_BITS = 42, 3, 2
 #: Members of a key up to which they are compared in pairs.
 PAIRS = 48
+#: Columns that documents have for a while.
+FINGERPRINT, ROW = "_kgcube_fingerprint", "_kgcube_row"
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -211,10 +214,27 @@ def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents, and in one more column, FINGERPRINT, their fp and the hash of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                text = part.column("text").to_pylist()
+                h = [None if t is None else xxhash.xxh3_128_digest(t.encode()) for t in text]
+                fp = pa.array(fingerprints(part.column("text")).view(np.int64))
+                yield part.append_column(FINGERPRINT, pa.StructArray.from_arrays([fp, pa.array(h, pa.binary())], names=["fp", "h"]))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(FINGERPRINT, StructType([StructField("fp", LongType()), StructField("h", BinaryType())]))]))
+
+
 def representatives(docs: DataFrame, stored) -> DataFrame:
-    """The documents (all their columns) that are the smallest of their component; of rows with one
-    doc_id one stays, and of rows without doc_id none does."""
-    found = near_duplicates(docs, stored)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """One document (all its columns) of each component: the one with the smallest (doc_id, hash of the
+    text), null ids last. Rows with null or shared ids count each by its own text."""
+    rows = stored(keyed(docs).withColumn(ROW, F.monotonically_increasing_id()))
+    at, fp = F.col(ROW), F.col(f"{FINGERPRINT}.fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{FINGERPRINT}.h").alias("h"), at.alias("at"))
+    nodes = stored(rows.groupBy(fp.alias("fp")).agg(F.min(order).alias("least")).withColumn("node", F.col("least.at")))
+    roots = components(links(nodes.select("node", "fp")))
+    keep = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("least").alias("least"))
+    return rows.join(keep.select(F.col("least.at").alias(ROW)), ROW, "left_semi").select(*docs.columns)

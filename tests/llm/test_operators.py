@@ -136,6 +136,15 @@ def test_simhash(docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(r.component_id for r in got.values()))
 
 
+def test_representatives_of_null_and_shared_ids(spark):
+    a, b, c, d = (sentence(60, random.Random(k)) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (None, d), (None, a), (7, d), (None, None), (9, "  ")]
+    for parts in (1, 3):
+        kept = op3_simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), stored)
+        assert kept.columns == ["doc_id", "text"]
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (7, d), (9, "  ")], key=str)
+
+
 def test_golay_keys_and_hot_groups(spark):
     rng = np.random.default_rng(1)
     center = rng.integers(0, 2**64, 5, dtype=np.uint64)
