@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -427,6 +429,26 @@ def test_secrets_in_what_is_not_text(hidden):
     assert not base and found and all(4 <= s < e <= 4 + len(hidden) for s, e, _ in found)
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_secrets_in_later_members_and_parts(pack, monkeypatch):
+    monkeypatch.setattr(op10_secrets, "MOST_LAYER", 4096)
+    noise = random.Random(7).randbytes(30_000)
+    for data in (pack(b"one") + pack(b"two " + SECRET.encode()), pack(pack(noise + SECRET.encode())), pack(pack(b"a") + pack(noise + SECRET.encode()))):
+        text = base64.b64encode(data).decode()
+        assert op10_secrets.spans(f"see {text} there")[1]
+
+
+def test_a_bomb_does_not_fill_the_memory():
+    import tracemalloc
+
+    text = base64.b64encode(gzip.compress(b" " * (96 << 20) + SECRET.encode())).decode()
+    tracemalloc.start()
+    found = op10_secrets.spans(text)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and most < 60 << 20
+
+
 def test_secrets(spark, empty):
     key = "AKIA" + "ABCDEFGH12345678"
     texts = [None, "", f"x {key}Z y {key[:-1]}", "Token='abc' API_KEY= \"abcdef\" apikey:12345", "hex 0123456789abcdef01234567 0123456789abcdef0123456", 'token="token":"abcdefgh"', "%%% %41 \\u0041 " + "QUJD" * 5, f"secret={key}"]
