@@ -1,8 +1,9 @@
-"""Harmonic packing of token sequences.
+"""Packing of token sequences, after harmonic packing.
 
-Class k of harmonic packing takes pieces of at most capacity / k tokens and puts exactly k of them in
-a bin. Documents may be cut, so each is cut where its pieces fill their class: whole sequences first,
-and the rest into falling powers of two, of which capacity / size make a full bin. Every task fills
+Class k of harmonic packing takes whole pieces of over capacity / (k + 1) and at most capacity / k
+tokens and puts exactly k of them in a bin. This departs from it: documents are cut where their pieces
+fill a bin exactly, whole sequences first, and the rest into falling powers of two, so that there are
+only classes of k = 1, 2, 4 ... pieces of the exact size capacity / k, of which capacity / size make a full bin. Every task fills
 the bins of each class on its own, without a shuffle; what is left in its last bins is cut into runs
 of a power of two pieces, which need no padding.
 
@@ -11,7 +12,8 @@ chunk is exact for this byte-level vocabulary: its pattern begins a new piece at
 characters around it aren't white space, and where a run of letters ends.
 
 Defined cases: a null text is empty, and is its end id alone; repeated rows are packed each on its
-own; an empty table gives an empty table; other columns are not read.
+own; an empty table gives an empty table; other columns are not read; a capacity that is no power of two is an
+error.
 """
 
 from __future__ import annotations
@@ -174,6 +176,8 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document, with its sequence and place there."""
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError(f"capacity {capacity} is no power of two")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -355,6 +355,14 @@ def test_packing(docs, empty):
     assert padding == 0 and op8_pack.pack(empty, TOKENIZER).count() == 0
 
 
+def test_packing_rejects_a_capacity_that_would_lose_tokens(docs):
+    for capacity in (1000, 0, -4):
+        with pytest.raises(ValueError):
+            op8_pack.pack(docs, TOKENIZER, capacity)
+    pieces = op8_pack.pack(docs, TOKENIZER, 64).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"))
+    assert pieces.where("n <> doc_tokens").count() == 0
+
+
 def test_encoding_is_that_of_the_tokenizer():
     from tokenizers import Tokenizer
 
