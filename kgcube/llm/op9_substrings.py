@@ -1,26 +1,30 @@
 """Removal of passages of 50 words that stand in an earlier document.
 
+0. Texts. Documents with one text are a class, its smallest id the class's document; all other members of
+   50 words and more lose every word, so only distinct texts take part in what follows. Texts are dealt to
+   buckets by their hash, whatever their ids are.
 1. Anchors. Of the 16-word phrases in each 50-word window the one with the least hash is the window's
-   anchor, so equal windows have equal anchors and neighbours mostly share theirs. Documents are dealt
-   to buckets by id; each bucket gives its distinct anchors with its smallest and largest document,
-   and an anchor is recurring if two documents have it.
+   anchor, so equal windows have equal anchors and neighbours mostly share theirs. An anchor is recurring
+   if documents with different ids have it.
 2. Confirmed windows. In each bucket the windows with a recurring anchor are hashed; a window that two
    documents have belongs to the one with the smaller id. Each window is one row a bucket, so a passage
    in a third of all documents has no more rows than there are buckets.
-3. Passages. In the bucket of their owner, confirmed windows join to passages, longest runs of words,
-   and these are sent to the buckets that have one of their anchors.
-4. Automata. Each bucket compiles its passages into one Aho-Corasick automaton with pyahocorasick: the
-   patterns are stretches of 25 words from each passage, end to end, of which every 50-word window holds
+3. Passages. Owners' texts are cut to pieces of ``BLOCK`` windows; a bucket that has a window of such a piece
+   in a document with a larger id gets it, once. Other windows with the same anchor don't matter.
+4. Automata. Each bucket compiles its pieces into one Aho-Corasick automaton with pyahocorasick: the
+   patterns are stretches of 25 words from each piece, end to end, of which every 50-word window holds
    a whole one. All documents of the bucket stream through it. Around each occurrence the windows are
-   compared with those of the passages, word by word, and words of windows that belong to a smaller
+   compared with those of the pieces, word by word, and words of windows that belong to a smaller
    document are removed.
 
-Each of the four passes deals the text to the same buckets. Automata
-hold what their bucket's documents need, so their size is bounded by the bucket's.
+Automata hold what their bucket's documents need, so their size is bounded by the bucket's. Hot keys (a
+text, an anchor or a document id that a third of all rows have) are combined before the shuffle, or
+split by Spark's adaptive joins.
 
 Defined cases: a null text has no words; texts of fewer than 50 words lose nothing; rows with one id are
 one document for "another document has it", and each loses what stands in a smaller one; a null id
-counts as larger than all others; an empty table gives an empty table.
+counts as larger than all others; a text of any length and vocabulary is one document of its bucket; other
+columns, whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,53 +43,71 @@ from kgcube.llm.words import Words, chunks, covered, gram_hashes, whole, word_ha
 
 WINDOW, PHRASE = 50, 16
 TILE = WINDOW // 2
-#: Characters of text that a bucket has about.
-BUCKET_CHARS = 4_000_000
+#: Windows of a piece of an owner's text.
+BLOCK = 128
+#: Bytes of text that a bucket has about.
+BUCKET_BYTES = 4_000_000
 LEAST_BUCKETS = 48
 #: Stands for a null id.
 LAST = (1 << 63) - 1
+#: Bits of a position while the least of some hashes is looked for; the hash has the others.
+AT_BITS = 22
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+ANCHORS = "key long, rid long, bucket int, id long"
+WINDOWS = "key long, bucket int, lo long, hi long, rid long, pos int"
+PIECES = "rid long, block int, owner long, words string"
+
+
+def anchors(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all phrases, and for windows at ``at`` where their anchor begins: the phrase with the
+    least upper bits of its hash, the first of equals."""
+    h = gram_hashes(hashes, PHRASE)
+    span = WINDOW - PHRASE + 1
+    n = len(h) - span + 1
+    if n <= 0 or not len(at):
+        return h, np.zeros(0, np.int64)
+    least, low = np.empty(n, np.int64), np.uint64((1 << AT_BITS) - 1)
+    step = (1 << AT_BITS) - span
+    for a in range(0, n, step):
+        v = h[a : a + step + span - 1] & ~low
+        v |= np.arange(len(v), dtype=np.uint64)
+        size = 1  # minima of runs by doubling
+        while 2 * size <= span:
+            v = np.minimum(v[:-size], v[size:])
+            size *= 2
+        v = np.minimum(v[: len(v) - span + size], v[span - size :])
+        least[a : a + len(v)] = (v & low).astype(np.int64) + a
+    return h, least[at]
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
 class Text:
-    """Words of a bucket's documents: codes that are equal for equal words, and hashes."""
+    """Words of some documents and their hashes, which are equal in all tasks; ``at``: where windows begin."""
 
-    def __init__(self, table: pa.RecordBatch):
-        self.w = Words(table.column("text"))
-        self.codes, self.words = self.w.codes()
-        self.ids = np.asarray(table.column("doc_id").fill_null(LAST), np.int64)
-        self.hash = word_hashes(self.words)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+    def __init__(self, texts: pa.Array):
+        self.w = Words(texts)
+        codes, words = self.w.codes()
+        self.hash = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
         self.at = whole(self.w, WINDOW)
 
-    def windows(self) -> np.ndarray:
-        return gram_hashes(self.hash, WINDOW)[self.at]
 
-    def anchors(self) -> np.ndarray:
-        """Position of the anchor of each window: the least phrase hash, the first of equals."""
-        return anchors(self.hash, self.at)
+def column(batch, name: str) -> np.ndarray:
+    return np.asarray(batch.column(name), np.int64)
 
 
-def anchors(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For windows at ``at``: where their anchor phrase begins."""
-    if not len(at):
-        return np.zeros(0, np.int64)
-    span = WINDOW - PHRASE + 1
-    h = gram_hashes(hashes, PHRASE)
-    low, size = h, 1  # minima of runs by doubling
-    while 2 * size <= span:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    least = np.minimum(low[at], low[at + span - size])
-    out = np.full(len(at), -1, np.int64)
-    todo = np.arange(len(at))
-    for step in range(span):
-        ok = h[at[todo] + step] == least[todo]
-        out[todo[ok]] = at[todo[ok]] + step
-        todo = todo[~ok]
-        if not len(todo):
-            break
-    return out
+def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text."""
+    for batch in batches:
+        for part in chunks(batch):
+            t = Text(part.column("text"))
+            h, place = anchors(t.hash, t.at)
+            place = place[changes(place)]
+            row = pa.array(t.w.doc[place] if len(place) else place)
+            yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), *(part.column(c).take(row) for c in ("rid", "bucket", "id"))], names=["key", "rid", "bucket", "id"])
 
 
 def table_batch(table: pa.Table) -> pa.RecordBatch:
@@ -93,115 +115,93 @@ def table_batch(table: pa.Table) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
-def bounds(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest and largest id."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], ids[first], ids[np.append(first[1:], len(keys)) - 1] if len(keys) else ids
-
-
-def rows(bucket: int, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-    return pa.table({"key": pa.array(keys.view(np.int64)), "bucket": pa.array(np.full(len(keys), bucket, np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
-
-
-ROWS = "key long, bucket int, lo long, hi long"
-
-
-def bucket_anchors(table: pa.Table) -> pa.Table:
-    t = Text(table_batch(table.select(["doc_id", "text"])))
-    place = np.unique(t.anchors())
-    h = gram_hashes(t.hash, PHRASE)[place] if len(place) else np.zeros(0, np.uint64)
-    return rows(table.column("bucket")[0].as_py(), *bounds(h, t.ids[t.w.doc[place]] if len(place) else np.zeros(0, np.int64)))
-
-
 def bucket_windows(key: tuple, docs: pa.Table, recurring: pa.Table) -> pa.Table:
-    t = Text(table_batch(docs.select(["doc_id", "text"])))
-    if not len(t.at):
-        return rows(0, *[np.zeros(0, np.int64)] * 3)
-    place = t.anchors()
-    h = gram_hashes(t.hash, PHRASE)[place]
-    ok = np.isin(h, np.asarray(recurring.column("key"), np.int64).view(np.uint64))
-    return rows(key[0].as_py(), *bounds(t.windows()[ok], t.ids[t.w.doc[t.at[ok]]]))
-
-
-PASSAGES = "pid long, owner long, words string, anchors array<long>"
-
-
-def bucket_passages(key: tuple, docs: pa.Table, owned: pa.Table) -> pa.Table:
-    """Runs of confirmed windows that documents of this bucket own."""
-    t = Text(table_batch(docs.select(["doc_id", "text"])))
-    out = {"pid": [], "owner": [], "words": [], "anchors": []}
-    if len(t.at) and owned.num_rows:
-        h, owner = np.asarray(owned.column("key"), np.int64).view(np.uint64), np.asarray(owned.column("owner"), np.int64)
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        mine = t.windows()
-        k = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-        ok = (h[k] == mine) & (owner[k] == t.ids[t.w.doc[t.at]])
-        at = t.at[ok]
-        ok_first = np.unique(np.stack([mine[ok], t.ids[t.w.doc[at]].view(np.uint64)]), axis=1, return_index=True)[1]  # of repeats one
-        at = np.sort(at[ok_first])
-        place = anchors(t.hash, at)
-        phrase = gram_hashes(t.hash, PHRASE)
-        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, np.int64)
-        vocabulary = t.words.to_pylist()
-        for n, (a, b) in enumerate(zip(begin.tolist(), np.append(begin[1:], len(at)).tolist(), strict=True)):
-            out["pid"].append(key[0].as_py() << 32 | n)
-            out["owner"].append(int(t.ids[t.w.doc[at[a]]]))
-            out["words"].append(" ".join(vocabulary[c] for c in t.codes[at[a] : at[b - 1] + WINDOW].tolist()))
-            out["anchors"].append(np.unique(phrase[place[a:b]]).view(np.int64).tolist())
-    return pa.table(out, schema=pa.schema([("pid", pa.int64()), ("owner", pa.int64()), ("words", pa.string()), ("anchors", pa.list_(pa.int64()))]))
-
-
-def symbols(codes: np.ndarray) -> str:
-    """Three characters for each word, each from a range of its own, so that a node has at most 128
-    children (pyahocorasick looks through them one by one) and matches begin where words do."""
-    if len(codes) and int(codes.max()) >> 21:
-        raise ValueError("more than two million distinct words in a bucket")
-    grid = np.empty((len(codes), 3), np.uint32)
-    for j, shift in enumerate((14, 7, 0)):
-        grid[:, j] = 0x4E00 + 128 * j + (codes >> shift & 127)
-    return grid.tobytes().decode("utf-32-le")
-
-
-def automaton(codes: np.ndarray, w: Words):
-    """Of the stretches of passages (as words of codes)."""
+    """Distinct windows with a recurring anchor: the smallest and the largest id that have each, and where in the former's text."""
+    docs = table_batch(docs.filter(pc.is_in(docs.column("rid"), value_set=recurring.column("rid").combine_chunks().unique())))
+    t = Text(docs.column("text"))
+    h, place = anchors(t.hash, t.at)
+    first = changes(place)
+    known = np.isin(h[place[first]], column(recurring, "key").view(np.uint64))
+    at = t.at[np.repeat(known, np.diff(np.append(first, len(place))))]
+    doc = t.w.doc[at]
+    keys, ids = gram_hashes(t.hash, WINDOW)[at] if len(at) else np.zeros(0, np.uint64), column(docs, "id")[doc]
+    order = np.lexsort((ids, keys))
+    keys, ids, doc, at = keys[order], ids[order], doc[order], at[order]
+    first = changes(keys)
+    last = np.append(first[1:], len(keys)) - 1 if len(first) else first
+    doc, at = doc[first], at[first]
+    out = [keys[first].view(np.int64), np.full(len(first), key[0].as_py(), np.int32), ids[first], ids[last], column(docs, "rid")[doc], (at - t.w.first[doc]).astype(np.int32)]
+    return pa.table([pa.array(x) for x in out], names=["key", "bucket", "lo", "hi", "rid", "pos"])
+
+
+def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted pieces of each text: its words from the first window of a block to the end of the last one."""
+    for batch in batches:
+        for part in chunks(batch):
+            out: dict[str, list] = {"rid": [], "block": [], "owner": [], "words": []}
+            w = Words(part.column("text"))
+            raw = w.data.tobytes()
+            for i, (rid, owner, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("rid", "id", "blocks")), strict=True)):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                for block in blocks:
+                    s = slice(a + block * BLOCK, min(b, a + block * BLOCK + BLOCK + WINDOW - 1))
+                    out["rid"].append(rid)
+                    out["block"].append(block)
+                    out["owner"].append(owner)
+                    out["words"].append(b" ".join(raw[x:y] for x, y in zip(w.starts[s].tolist(), w.ends[s].tolist(), strict=True)).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["block"], pa.int32()), pa.array(out["owner"], pa.int64()), pa.array(out["words"], pa.string())], names=list(out))
+
+
+def symbols(codes: np.ndarray, size: int) -> tuple[str, int]:
+    """(text, characters a word) for codes below ``size``: each character of a word is from a range of its own,
+    so that a node has at most 128 children (pyahocorasick looks through them one by one) and matches
+    begin where words do."""
+    k = max(1, -(-max(size - 1, 1).bit_length() // 7))
+    grid = np.empty((len(codes), k), np.uint32)
+    for j in range(k):
+        grid[:, j] = 0x4E00 + 128 * j + (codes >> 7 * (k - 1 - j) & 127)
+    return grid.tobytes().decode("utf-32-le"), k
+
+
+def automaton(codes: np.ndarray, w: Words, size: int):
+    """Of the stretches of pieces (as words of codes)."""
     import ahocorasick
 
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    text = symbols(codes)
+    text, k = symbols(codes, size)
     for first, many in zip(w.first[:-1].tolist(), w.counts.tolist(), strict=True):
         for i in range(first, first + many - TILE + 1, TILE):
-            a.add_word(text[3 * i : 3 * (i + TILE)], 1)
+            a.add_word(text[k * i : k * (i + TILE)], 1)
     if len(a):
         a.make_automaton()
     return a
 
 
-def removed_words(docs: pa.RecordBatch, passages: pa.Table) -> tuple[Words, np.ndarray]:
-    """Words of the documents, and which of them lie in a window of a passage of a smaller document."""
+def removed_words(docs: pa.RecordBatch, pieces: pa.Table) -> tuple[Words, np.ndarray]:
+    """Words of the documents, and which of them lie in a window of a piece of a smaller document."""
     w = Words(docs.column("text"))
     gone = np.zeros(len(w), bool)
-    if not passages.num_rows or not len(w):
+    if not pieces.num_rows or not len(w):
         return w, gone
     dcodes, words = w.codes()
-    p = Words(passages.column("words").combine_chunks())
-    own, passage_words = p.codes()
-    at = np.asarray(pc.fill_null(pc.index_in(passage_words, value_set=words), -1), np.int64)
+    p = Words(pieces.column("words").combine_chunks())
+    own, piece_words = p.codes()
+    at = np.asarray(pc.fill_null(pc.index_in(piece_words, value_set=words), -1), np.int64)
+    size = len(words) + len(piece_words)
     pcodes = np.where(at < 0, len(words) + np.arange(len(at)), at)[own]
-    owner, ids = np.asarray(passages.column("owner"), np.int64), np.asarray(docs.column("doc_id").fill_null(LAST), np.int64)
-    machine = automaton(pcodes, p)
+    owner, ids = column(pieces, "owner"), column(docs, "id")
+    machine = automaton(pcodes, p, size)
     if not len(machine):
         return w, gone
-    known = np.zeros(len(words) + len(passage_words), bool)
+    known = np.zeros(size, bool)
     known[pcodes] = True
     here = np.append(0, np.cumsum(known[dcodes]))
     possible = np.flatnonzero(here[TILE:] - here[:-TILE] == TILE) if len(w) >= TILE else []  # else no stretch can match
-    ends, text = [], symbols(dcodes)
+    ends = []
     for i in np.unique(w.doc[possible]).tolist() if len(possible) else []:
         a, b = int(w.first[i]), int(w.first[i + 1])
-        ends += [a + e // 3 for e, _ in machine.iter(text[3 * a : 3 * b])]
+        text, k = symbols(dcodes[a:b], size)
+        ends += [a + e // k for e, _ in machine.iter(text)]
     if not ends:
         return w, gone
     # windows that hold a located stretch whole
@@ -230,7 +230,8 @@ def kept_text(w: Words, keep: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     """The kept words of all texts, joined by spaces, and the range of each text."""
     sizes = w.ends - w.starts
     data, _ = w.packed()
-    data, sizes = data[np.repeat(keep, sizes)], sizes[keep]
+    if not keep.all():
+        data, sizes = data[np.repeat(keep, sizes)], sizes[keep]
     out = np.full(len(data) + len(sizes), 32, np.uint8)
     out[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
     at = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -238,39 +239,55 @@ def kept_text(w: Words, keep: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     return out.tobytes(), [(a, max(a, b - 1)) for a, b in zip(at[n[:-1]].tolist(), at[n[1:]].tolist(), strict=True)]
 
 
-def bucket_result(key: tuple, docs: pa.Table, passages: pa.Table) -> pa.Table:
-    batch = table_batch(docs.select(["doc_id", "text"]))
-    out = []
-    for part in chunks(batch, most=1 << 40):
-        w, gone = removed_words(part, passages)
-        n_removed = np.bincount(w.doc[gone], minlength=part.num_rows).astype(np.int64)
+def bucket_result(texts: bool):
+    """Of each text of a bucket: words, removed words, and the digest of what is kept; with texts that, too."""
+
+    def run(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
+        batch = table_batch(docs)
+        w, gone = removed_words(batch, pieces)
+        n_removed = np.bincount(w.doc[gone], minlength=batch.num_rows).astype(np.int64)
         raw, off = kept_text(w, ~gone)
-        digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in off]
-        out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(n_removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+        out = [batch.column("h"), batch.column("id"), pa.array(w.counts), pa.array(n_removed), pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in off], pa.string())]
+        return pa.table(out + [pa.array([raw[a:b].decode() for a, b in off], pa.string())] * texts, names=["h", "least", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)
+
+    return run
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(id, h): the id, null as LAST, and the hash of the text; with the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every document."""
+def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; with ``texts`` also ``kept``, what is left."""
     from kgcube.llm.store import stored
 
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS + 1)
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))), F.lit(buckets)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", bucket.alias("bucket")).repartition(int(buckets), "bucket")
-    by = dealt.groupBy("bucket")
-
-    found = stored(by.applyInArrow(bucket_anchors, ROWS))
-    recurring = found.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key")
-    needed = stored(found.join(recurring, "key", "left_semi").select("key", "bucket"))
-
-    windows = by.cogroup(needed.groupBy("bucket")).applyInArrow(bucket_windows, ROWS)
-    w = W.partitionBy("key")  # a key has one row a bucket
-    confirmed = windows.withColumn("owner", F.min("lo").over(w)).withColumn("top", F.max("hi").over(w)).where("owner < top and lo = owner")
-    owned = stored(confirmed.select("key", "bucket", "owner"))
-
-    passages = stored(by.cogroup(owned.groupBy("bucket")).applyInArrow(bucket_passages, PASSAGES))
-    places = passages.select("pid", F.explode("anchors").alias("key")).join(needed, "key").select("pid", "bucket").distinct()
-    sent = places.join(passages.select("pid", "owner", "words"), "pid").select("bucket", "owner", "words")
-    return by.cogroup(sent.groupBy("bucket")).applyInArrow(bucket_result, RESULT)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES + 1))
+    rows = distinct_texts(docs)
+    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int")
+    one = rows.groupBy("h").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
+    reps = stored(one.select(F.monotonically_increasing_id().alias("rid"), bucket.alias("bucket"), "h", "id", "text"))
+
+    found = stored(reps.select("rid", "bucket", "id", "text").mapInArrow(anchor_rows, ANCHORS))
+    recurring = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    needed = found.join(recurring, "key", "left_semi").select("bucket", "key", "rid")
+
+    windows = reps.select("bucket", "rid", "id", "text").groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(bucket_windows, WINDOWS)
+    first = F.min(F.struct("lo", "rid", "pos")).over(W.partitionBy("key"))  # a key has one row a bucket
+    taken = windows.withColumn("o", first).where("o.lo < hi")
+    wanted = stored(taken.select("o.rid", F.floor(F.col("o.pos") / BLOCK).cast("int").alias("block"), "bucket").distinct())
+
+    blocks = wanted.groupBy("rid").agg(F.collect_set("block").alias("blocks"))
+    pieces = reps.select("rid", "id", "text").join(blocks, "rid").mapInArrow(piece_rows, PIECES)
+    sent = wanted.join(pieces, ["rid", "block"]).select("bucket", "owner", "words")
+    result = "h binary, least long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
+    judged = reps.select("bucket", "h", "id", "text").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(bucket_result(texts), result)
+
+    copy = (F.col("id") > F.col("least")) & (F.col("n_words") >= WINDOW)
+    out = rows.select("doc_id", "id", "h").join(judged, "h")
+    return out.select(
+        F.col("doc_id").cast("long"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), *([F.when(copy, "").otherwise(F.col("kept")).alias("kept")] if texts else []),
+    )

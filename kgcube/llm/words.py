@@ -67,9 +67,9 @@ class Words:
             start[1:] &= ~inside[:-1] | border[1:size]
             end[:-1] &= ~inside[1:] | border[1:size]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-        self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        self.counts = np.bincount(self.doc, minlength=n).astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.counts)))
+        self.first = np.searchsorted(self.starts, self.offsets).astype(np.int64)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(n), self.counts)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -104,22 +104,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers: list[np.ndarray] = []
+#: Odd, with an inverse modulo 2^64.
+_BASE = 0xD6E8FEB86659FD93
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n at least; a worker keeps those of a usual chunk."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size = max(n, 1 << 20)
+    with np.errstate(over="ignore"):
+        made = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
+    if size <= 1 << 22:
+        _powers[:] = made
+    return made
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of values[i:i+k] for every i, by doubling: O(n log k). Runs over borders of documents too."""
+    """Hash of values[i:i+k] for every i, from prefix sums: O(n). Runs over borders of documents too."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(values))
     with np.errstate(over="ignore"):
-        power, size, out, done = mix(values.astype(np.uint64) + _MIX), 1, None, 0
-        while True:
-            if k & size:
-                part = power[done : done + n]
-                out = part.copy() if out is None else mix(out * _MIX + part)
-                done += size
-            if done == k:
-                return out[:n]
-            power = mix(power[:-size] * _MIX + power[size:])
-            size *= 2
+        total = np.empty(len(values) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(mix(values.astype(np.uint64) + _MIX) * up[: len(values)], out=total[1:])
+        return mix((total[k:] - total[:-k]) * down[:n])
 
 
 def whole(words: Words, k: int) -> np.ndarray:
