@@ -6,24 +6,57 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Rows of a dimension or group table that are broadcast at most.
+MOST_BROADCAST_ROWS = 100_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or where it is unset, as in tests, a new temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder. Where neither is set a local
+    master, as in tests, gets a temporary folder of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc._jsc.sc().getCheckpointDir().get()
     if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/kgcube-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
+    """A new folder below the application's own, which goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_folder(spark)}/kgcube-{sc.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write a table to the shared folder and read it again; this cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """With a hint to broadcast it, if it has few rows; a larger table is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

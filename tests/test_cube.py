@@ -13,7 +13,7 @@ from kgcube.plans import sales as S
 from kgcube.plans.answer import build
 from kgcube.plans.cube import Catalog, Cube
 from kgcube.sources import rdf, tables
-from kgcube.sources.xml import elements, map_triples
+from kgcube.sources.xml import MEMBER, map_triples, units
 
 CUBE = S.cube()
 
@@ -145,4 +145,4 @@ def test_aixm_message(spark):
     }
     t = [(r.s, r.p.split("#")[-1], r.o) for r in map_triples(raw, "aixm", "b#").where("stored_name = 'f' and is_literal").collect()]
     assert t == [("b#U1", "operationalStatus", "NORMAL"), ("b#U1", "location", "LOWS")]
-    assert elements(raw).where("error is not null").count() == 2
+    assert units(raw, MEMBER).where("error is not null").count() == 2
