@@ -2,10 +2,10 @@
 
 0. Texts. Documents with one text are a class, its smallest id the class's document; all other members of
    50 words and more lose every word, so only distinct texts take part in what follows. Texts are dealt to
-   buckets by their hash, whatever their ids are.
+   buckets by row, whatever their ids are.
 1. Anchors. Of the 16-word phrases in each 50-word window the one with the least hash is the window's
-   anchor, so equal windows have equal anchors and neighbours mostly share theirs. An anchor is recurring
-   if documents with different ids have it.
+   anchor, so equal windows have equal anchors and neighbours mostly share theirs. Each bucket gives its distinct
+   anchors with its smallest and largest id; an anchor is recurring if documents with different ids have it.
 2. Confirmed windows. In each bucket the windows with a recurring anchor are hashed; a window that two
    documents have belongs to the one with the smaller id. Each window is one row a bucket, so a passage
    in a third of all documents has no more rows than there are buckets.
@@ -17,9 +17,9 @@
    compared with those of the pieces, word by word, and words of windows that belong to a smaller
    document are removed.
 
-Automata hold what their bucket's documents need, so their size is bounded by the bucket's. Hot keys (a
-text, an anchor or a document id that a third of all rows have) are combined before the shuffle, or
-split by Spark's adaptive joins.
+Automata hold what their bucket's documents need, so their size is bounded by the bucket's. A text that a
+third of all rows have is combined before the shuffle, and an anchor or a window has one row a bucket.
+Steps 1 and 2, and 3 and 4, are one job each, in which the dealt text is shuffled once.
 
 Defined cases: a null text has no words; texts of fewer than 50 words lose nothing; rows with one id are
 one document for "another document has it", and each loses what stands in a smaller one; a null id
@@ -30,7 +30,6 @@ columns, whatever their names, are not read; an empty table gives an empty table
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgcube.llm.words import Words, chunks, covered, gram_hashes, whole, word_hashes
+from kgcube.llm.words import Words, covered, gram_hashes, whole, word_hashes
 
 WINDOW, PHRASE = 50, 16
 TILE = WINDOW // 2
@@ -53,7 +52,7 @@ LAST = (1 << 63) - 1
 #: Bits of a position while the least of some hashes is looked for; the hash has the others.
 AT_BITS = 22
 
-ANCHORS = "key long, rid long, bucket int, id long"
+ANCHORS = "key long, bucket int, lo long, hi long"
 WINDOWS = "key long, bucket int, lo long, hi long, rid long, pos int"
 PIECES = "rid long, block int, owner long, words string"
 
@@ -99,57 +98,56 @@ def column(batch, name: str) -> np.ndarray:
     return np.asarray(batch.column(name), np.int64)
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text."""
-    for batch in batches:
-        for part in chunks(batch):
-            t = Text(part.column("text"))
-            h, place = anchors(t.hash, t.at)
-            place = place[changes(place)]
-            row = pa.array(t.w.doc[place] if len(place) else place)
-            yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), *(part.column(c).take(row) for c in ("rid", "bucket", "id"))], names=["key", "rid", "bucket", "id"])
-
-
 def table_batch(table: pa.Table) -> pa.RecordBatch:
     table = table.combine_chunks()
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
+def bounds(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key and id, and where in it each key's rows begin and end."""
+    order = np.lexsort((ids, keys))
+    first = changes(keys[order])
+    return order, np.stack([first, np.append(first[1:], len(keys))[: len(first)] - 1])
+
+
+def bucket_anchors(key: tuple, docs: pa.Table) -> pa.Table:
+    """Distinct anchors of a bucket, with the smallest and the largest id that have each."""
+    t, ids = Text(table_batch(docs.select(["text"])).column("text")), column(docs, "id")
+    h, place = anchors(t.hash, t.at)
+    place = place[changes(place)]
+    keys, ids = h[place], ids[t.w.doc[place]] if len(place) else ids[:0]
+    order, (first, last) = bounds(keys, ids)
+    out = [keys[order[first]].view(np.int64), np.full(len(first), key[0].as_py(), np.int32), ids[order[first]], ids[order[last]]]
+    return pa.table([pa.array(x) for x in out], names=["key", "bucket", "lo", "hi"])
+
+
 def bucket_windows(key: tuple, docs: pa.Table, recurring: pa.Table) -> pa.Table:
     """Distinct windows with a recurring anchor: the smallest and the largest id that have each, and where in the former's text."""
-    docs = table_batch(docs.filter(pc.is_in(docs.column("rid"), value_set=recurring.column("rid").combine_chunks().unique())))
+    docs = table_batch(docs)
     t = Text(docs.column("text"))
     h, place = anchors(t.hash, t.at)
     first = changes(place)
     known = np.isin(h[place[first]], column(recurring, "key").view(np.uint64))
-    at = t.at[np.repeat(known, np.diff(np.append(first, len(place))))]
+    at = t.at[np.repeat(known, np.diff(np.append(first, len(place))))] if len(place) else t.at[:0]
     doc = t.w.doc[at]
     keys, ids = gram_hashes(t.hash, WINDOW)[at] if len(at) else np.zeros(0, np.uint64), column(docs, "id")[doc]
-    order = np.lexsort((ids, keys))
-    keys, ids, doc, at = keys[order], ids[order], doc[order], at[order]
-    first = changes(keys)
-    last = np.append(first[1:], len(keys)) - 1 if len(first) else first
-    doc, at = doc[first], at[first]
-    out = [keys[first].view(np.int64), np.full(len(first), key[0].as_py(), np.int32), ids[first], ids[last], column(docs, "rid")[doc], (at - t.w.first[doc]).astype(np.int32)]
+    order, (first, last) = bounds(keys, ids)
+    doc, at = doc[order[first]], at[order[first]]
+    out = [keys[order[first]].view(np.int64), np.full(len(first), key[0].as_py(), np.int32), ids[order[first]], ids[order[last]], column(docs, "rid")[doc], (at - t.w.first[doc]).astype(np.int32)]
     return pa.table([pa.array(x) for x in out], names=["key", "bucket", "lo", "hi", "rid", "pos"])
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted pieces of each text: its words from the first window of a block to the end of the last one."""
-    for batch in batches:
-        for part in chunks(batch):
-            out: dict[str, list] = {"rid": [], "block": [], "owner": [], "words": []}
-            w = Words(part.column("text"))
-            raw = w.data.tobytes()
-            for i, (rid, owner, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("rid", "id", "blocks")), strict=True)):
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                for block in blocks:
-                    s = slice(a + block * BLOCK, min(b, a + block * BLOCK + BLOCK + WINDOW - 1))
-                    out["rid"].append(rid)
-                    out["block"].append(block)
-                    out["owner"].append(owner)
-                    out["words"].append(b" ".join(raw[x:y] for x, y in zip(w.starts[s].tolist(), w.ends[s].tolist(), strict=True)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["block"], pa.int32()), pa.array(out["owner"], pa.int64()), pa.array(out["words"], pa.string())], names=list(out))
+def bucket_pieces(key: tuple, docs: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The wanted pieces of texts: their words from the first window of a block to the end of the last one."""
+    docs = table_batch(docs.select(["rid", "id", "text"]).filter(pc.is_in(docs.column("rid"), value_set=wanted.column("rid").combine_chunks().unique())))
+    w, row = Words(docs.column("text")), {r: i for i, r in enumerate(docs.column("rid").to_pylist())}
+    raw, ids, words = w.data.tobytes(), docs.column("id"), []
+    for rid, block in zip(wanted.column("rid").to_pylist(), wanted.column("block").to_pylist(), strict=True):
+        a, b = int(w.first[row[rid]]) + block * BLOCK, int(w.first[row[rid] + 1])
+        s = slice(a, min(b, a + BLOCK + WINDOW - 1))
+        words.append(b" ".join(raw[x:y] for x, y in zip(w.starts[s].tolist(), w.ends[s].tolist(), strict=True)).decode())
+    owner = ids.take(pa.array([row[r] for r in wanted.column("rid").to_pylist()], pa.int64()))
+    return pa.table([wanted.column("rid"), wanted.column("block"), owner, pa.array(words, pa.string())], names=["rid", "block", "owner", "words"])
 
 
 def symbols(codes: np.ndarray, size: int) -> tuple[str, int]:
@@ -266,24 +264,23 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES + 1))
     rows = distinct_texts(docs)
-    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int")
     one = rows.groupBy("h").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
-    reps = stored(one.select(F.monotonically_increasing_id().alias("rid"), bucket.alias("bucket"), "h", "id", "text"))
-
-    found = stored(reps.select("rid", "bucket", "id", "text").mapInArrow(anchor_rows, ANCHORS))
-    recurring = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    needed = found.join(recurring, "key", "left_semi").select("bucket", "key", "rid")
-
-    windows = reps.select("bucket", "rid", "id", "text").groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(bucket_windows, WINDOWS)
-    first = F.min(F.struct("lo", "rid", "pos")).over(W.partitionBy("key"))  # a key has one row a bucket
-    taken = windows.withColumn("o", first).where("o.lo < hi")
+    reps = stored(one.select(F.monotonically_increasing_id().alias("rid"), "h", "id", "text"))
+    same = W.partitionBy("key")  # a key has one row a bucket
+
+    by = reps.select(bucket.alias("bucket"), "rid", "id", "text").groupBy("bucket")
+    found = by.applyInArrow(bucket_anchors, ANCHORS).withColumns({"least": F.min("lo").over(same), "most": F.max("hi").over(same)})
+    needed = found.where("least < most").select("bucket", "key")
+    windows = by.cogroup(needed.groupBy("bucket")).applyInArrow(bucket_windows, WINDOWS)
+    taken = windows.withColumn("o", F.min(F.struct("lo", "rid", "pos")).over(same)).where("o.lo < hi")
     wanted = stored(taken.select("o.rid", F.floor(F.col("o.pos") / BLOCK).cast("int").alias("block"), "bucket").distinct())
 
-    blocks = wanted.groupBy("rid").agg(F.collect_set("block").alias("blocks"))
-    pieces = reps.select("rid", "id", "text").join(blocks, "rid").mapInArrow(piece_rows, PIECES)
+    by = reps.select(bucket.alias("bucket"), "rid", "id", "h", "text").groupBy("bucket")
+    pieces = by.cogroup(wanted.select("rid", "block").distinct().groupBy(bucket.alias("bucket"))).applyInArrow(bucket_pieces, PIECES)
     sent = wanted.join(pieces, ["rid", "block"]).select("bucket", "owner", "words")
     result = "h binary, least long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    judged = reps.select("bucket", "h", "id", "text").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(bucket_result(texts), result)
+    judged = by.cogroup(sent.groupBy("bucket")).applyInArrow(bucket_result(texts), result)
 
     copy = (F.col("id") > F.col("least")) & (F.col("n_words") >= WINDOW)
     out = rows.select("doc_id", "id", "h").join(judged, "h")

@@ -1,29 +1,3 @@
 """Tables between stages, in the folder that all executors share."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; unset, as in tests, a new temporary folder is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and jsc.getCheckpointDir().isDefined():
-        folder = jsc.getCheckpointDir().get()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, *by: str) -> DataFrame:
-    """Write a table to the shared folder and read it again; this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kgcube-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from kgcube.sources.tables import delete, exists, new_folder, shared_folder, stored  # noqa: F401
