@@ -1,19 +1,21 @@
-"""Packing of token sequences, after harmonic packing.
+"""Harmonic packing of token sequences.
 
-Class k of harmonic packing takes whole pieces of over capacity / (k + 1) and at most capacity / k
-tokens and puts exactly k of them in a bin. This departs from it: documents are cut where their pieces
-fill a bin exactly, whole sequences first, and the rest into falling powers of two, so that there are
-only classes of k = 1, 2, 4 ... pieces of the exact size capacity / k, of which capacity / size make a full bin. Every task fills
-the bins of each class on its own, without a shuffle; what is left in its last bins is cut into runs
-of a power of two pieces, which need no padding.
+Whole sequences are cut from each document first; what is left, its tail, is shorter than the capacity C.
+Class k takes the tails of over C / (k + 1) and at most C / k tokens, and a bin of it has exactly k of them,
+uncut. The gap that they leave, less than C / (k + 1), is closed by the next tails of the class, the fillers,
+which are laid end to end and cut where a gap ends; of a filler only what fits no gap yet stays, in the class
+of its new length. So bins have no padding, and only fillers are cut. Every task fills the bins of each class
+on its own, without a shuffle; the few tails that it has left in the end are laid end to end, cut at the
+capacity, and the last of them at powers of two, which need no padding either.
 
 Ids are those of the tokenizers library (see Encoder). To encode each distinct run up to a single space or the end of a word once a
 chunk is exact for this byte-level vocabulary: its pattern begins a new piece at such a space, if the
 characters around it aren't white space, and where a run of letters ends.
 
-Defined cases: a null text is empty, and is its end id alone; repeated rows are packed each on its
-own; an empty table gives an empty table; other columns are not read; a capacity that is no power of two is an
-error.
+Defined cases: a null text is empty, and is its end id alone; the string of a special token within a text is
+ordinary text (encode_special_tokens of the library); repeated rows and rows with null or equal ids are packed
+each on its own; a text of any length is cut; an empty table gives an empty table; other columns, whatever
+their names, are not read; a capacity below one is an error.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from kgcube.llm.words import buffers, chunks
 
 CAPACITY, END = 1024, 0
-#: Bits of the number of a bin in its task and class; the sequence id has task and class above them.
-BIN_BITS = 36
+#: Bits of the number of a bin in its task; the sequence id has the task above them.
+BIN_BITS = 40
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -129,77 +131,120 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, off
 
 
+#: Columns of a task's tables of tails and pieces: where they begin in the token buffer, and in their document.
+DOC, TOKENS, START, LENGTH, AT = range(5)
+
+
+def cut(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows laid end to end and cut at the edges, from the first edge (0) to the last one:
+    (pieces, where each begins, and what is left of the rows)."""
+    ends = np.concatenate(([0], np.cumsum(rows[:, LENGTH])))
+    points = np.union1d(edges, ends[ends < edges[-1]])
+    begin, size = points[:-1], np.diff(points)
+    of = np.searchsorted(ends, begin, "right") - 1
+    pieces = rows[of]
+    pieces[:, [START, AT]] += (begin - ends[of])[:, None]
+    pieces[:, LENGTH] = size
+    first = int(np.searchsorted(ends, edges[-1], "right")) - 1
+    left = rows[first:].copy()
+    if len(left):
+        used = edges[-1] - ends[first]
+        left[0, [START, AT]] += used
+        left[0, LENGTH] -= used
+    return pieces, begin, left
+
+
 class Packer:
-    """Bins of one task. Rows of a bin are given out when it is full."""
+    """Bins of one task."""
 
     def __init__(self, task: int, capacity: int = CAPACITY):
-        self.task, self.capacity, self.top = task, capacity, capacity.bit_length() - 1
-        self.made = [0] * (self.top + 1)
-        self.open: list[list[np.ndarray]] = [[] for _ in self.made]
-
-    def name(self, c: int, number: np.ndarray) -> np.ndarray:
-        return np.int64((self.task * (self.top + 1) + c) << BIN_BITS) + number
-
-    def add(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(class, row of each piece, its start) for documents of so many tokens."""
-        full = tokens // self.capacity
-        rows = np.repeat(np.arange(len(tokens)), full)
-        yield self.top, rows, (np.arange(len(rows)) - np.repeat(np.cumsum(full) - full, full)) * self.capacity
-        rest = tokens % self.capacity
-        for c in range(self.top - 1, -1, -1):
-            rows = np.flatnonzero(rest >> c & 1)
-            yield c, rows, (full[rows] * self.capacity) + (rest[rows] >> (c + 1) << (c + 1))
-
-    def place(self, c: int, table: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows (doc_id, start, length, crc, doc_tokens) of class c -> rows with sequence and offset, of full bins."""
-        k = 1 << (self.top - c)
-        self.open[c].append(table)
-        waiting = sum(map(len, self.open[c]))
-        if waiting >= k:
-            rows = np.concatenate(self.open[c])
-            whole = len(rows) // k * k
-            self.open[c] = [rows[whole:]]
-            i = np.arange(whole)
-            yield np.column_stack([rows[:whole], self.name(c, self.made[c] + i // k), i % k << c])
-            self.made[c] += whole // k
-
-    def close(self) -> Iterator[np.ndarray]:
-        for c, parts in enumerate(self.open):
-            rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
-            while len(rows):
-                k = 1 << (len(rows).bit_length() - 1)
-                i = np.arange(k)
-                yield np.column_stack([rows[:k], np.full(k, self.name(c, np.int64(self.made[c]))), i << c])
-                self.made[c] += 1
-                rows = rows[k:]
+        self.capacity, self.next = capacity, task << BIN_BITS
+        self.tails, self.tokens = np.zeros((0, 5), np.int64), np.zeros(0, np.uint32)
+
+    def bins(self, pieces: np.ndarray, number: np.ndarray, offset: np.ndarray, many: int) -> np.ndarray:
+        out = np.column_stack([pieces, self.next + number, offset])
+        self.next += many
+        return out
+
+    def add(self, doc_id: np.ndarray, ids: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """Pieces (tables of tail columns, sequence and offset) of the bins that these documents fill."""
+        c, at = self.capacity, off[:-1] + len(self.tokens)
+        self.tokens = np.concatenate([self.tokens, ids])
+        tokens = np.diff(off)
+        full = tokens // c
+        row = np.repeat(np.arange(len(tokens)), full)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)) * c
+        whole = np.column_stack([doc_id[row], tokens[row], start, np.full(len(row), c), at[row] + start])
+        out = [self.bins(whole, np.arange(len(row)), np.zeros(len(row), np.int64), len(row))]
+        tails = np.column_stack([doc_id, tokens, full * c, tokens - full * c, at + full * c])
+        tails = np.concatenate([self.tails, tails[tails[:, LENGTH] > 0]])
+        k = c // tails[:, LENGTH]
+        order = np.argsort(k, kind="stable")
+        tails, left = tails[order], []
+        for part in np.split(tails, np.flatnonzero(np.diff(k[order])) + 1):
+            if len(part):
+                left.append(self.fill(part, int(c // part[0, LENGTH]), out))
+        self.tails = np.concatenate(left) if left else tails
+        return out
+
+    def fill(self, rows: np.ndarray, k: int, out: list[np.ndarray]) -> np.ndarray:
+        """As many bins as the tails of class k can fill; the tails that are left."""
+        size = rows[:, LENGTH]
+        most = len(rows) // k
+        inside = size[: most * k].reshape(most, k)
+        gaps = np.concatenate(([0], np.cumsum(self.capacity - inside.sum(1))))
+        after = np.append(np.cumsum(size[::-1])[::-1], 0)[np.arange(most + 1) * k]
+        n = int(np.flatnonzero(gaps <= after)[-1])  # the fillers of so many bins come after their tails
+        if not n:
+            return rows
+        offset = np.cumsum(inside[:n], 1) - inside[:n]
+        pieces, begin, left = cut(rows[n * k :], gaps[: n + 1])
+        at = np.searchsorted(gaps[: n + 1], begin, "right") - 1
+        place = inside[at].sum(1) + begin - gaps[at]
+        out.append(self.bins(np.concatenate([rows[: n * k], pieces]), np.concatenate([np.repeat(np.arange(n), k), at]), np.concatenate([offset.ravel(), place]), n))
+        return left
+
+    def settle(self) -> None:
+        """Keep no other tokens than those of the tails that wait."""
+        size = self.tails[:, LENGTH]
+        begin = np.cumsum(size) - size
+        self.tokens = self.tokens[np.arange(size.sum()) + np.repeat(self.tails[:, AT] - begin, size)]
+        self.tails[:, AT] = begin
+
+    def close(self) -> list[np.ndarray]:
+        total = int(self.tails[:, LENGTH].sum())
+        if not total:
+            return []
+        rest = total % self.capacity
+        last = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        edges = np.concatenate(([0], np.cumsum([self.capacity] * (total // self.capacity) + last)))
+        pieces, begin, self.tails = cut(self.tails, edges)
+        number = np.searchsorted(edges, begin, "right") - 1
+        return [self.bins(pieces, number, begin - edges[number], len(edges) - 1)]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document, with its sequence and place there."""
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError(f"capacity {capacity} is no power of two")
+    if capacity < 1:
+        raise ValueError(f"capacity {capacity} holds no token")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), capacity)
 
-        def out(tables) -> Iterator[pa.RecordBatch]:
+        def out(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            view = memoryview(packer.tokens.astype("<u4").tobytes())
             for t in tables:
                 if len(t):
-                    nulls = t[:, 0] == NULL_ID
-                    yield pa.RecordBatch.from_arrays([pa.array(t[:, 0], mask=nulls), *(pa.array(t[:, i]) for i in range(1, 7))], names=names)
+                    crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in t[:, [AT, LENGTH]].tolist()]
+                    columns = (t[:, START], t[:, LENGTH], np.array(crc, np.int64), t[:, TOKENS], t[:, 5], t[:, 6])
+                    yield pa.RecordBatch.from_arrays([pa.array(t[:, DOC], mask=t[:, DOC] == NULL_ID), *map(pa.array, columns)], names=names)
 
         for batch in batches:
-            for part in chunks(batch, most=4 << 20):
+            for part in chunks(batch):
                 ids, off = encode(part.column("text"), tokenizer_path)
-                tokens = np.diff(off)
-                doc_id = np.asarray(part.column("doc_id").fill_null(NULL_ID), np.int64)
-                view = memoryview(ids.astype("<u4").tobytes())
-                for c, rows, start in packer.add(tokens):
-                    size = 1 << c
-                    at = (off[rows] + start).tolist()
-                    crc = np.fromiter((zlib.crc32(view[4 * a : 4 * (a + size)]) for a in at), np.int64, len(at))
-                    yield from out(packer.place(c, np.column_stack([doc_id[rows], start, np.full(len(rows), size), crc, tokens[rows]])))
+                yield from out(packer.add(np.asarray(part.column("doc_id").fill_null(NULL_ID), np.int64), ids, off))
+                packer.settle()
         yield from out(packer.close())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

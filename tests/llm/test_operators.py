@@ -355,12 +355,42 @@ def test_packing(docs, empty):
     assert padding == 0 and op8_pack.pack(empty, TOKENIZER).count() == 0
 
 
-def test_packing_rejects_a_capacity_that_would_lose_tokens(docs):
-    for capacity in (1000, 0, -4):
+def test_packing_takes_any_capacity(docs):
+    for capacity in (0, -4):
         with pytest.raises(ValueError):
             op8_pack.pack(docs, TOKENIZER, capacity)
-    pieces = op8_pack.pack(docs, TOKENIZER, 64).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"))
-    assert pieces.where("n <> doc_tokens").count() == 0
+    for capacity in (1000, 64, 7, 1):
+        rows = op8_pack.pack(docs, TOKENIZER, capacity)
+        assert rows.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n <> doc_tokens").count() == 0
+        assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > capacity).count() == 0
+
+
+def test_harmonic_classes():
+    rng = np.random.default_rng(5)
+    tokens = np.concatenate([rng.integers(1, 1500, 3000), rng.integers(1, 40, 500), [1024, 1023, 1, 5000, 512, 513]])
+    p, done, at = op8_pack.Packer(3), [], 0
+    for part in np.array_split(tokens, 4):  # documents come in batches, and tails wait for the next one
+        off = np.concatenate(([0], np.cumsum(part)))
+        number = np.arange(at, at + len(part))
+        done += p.add(number, np.repeat(number, part).astype(np.uint32), off)  # each token is the number of its document
+        for row in done[-1]:
+            assert set(p.tokens[row[op8_pack.AT] : row[op8_pack.AT] + row[op8_pack.LENGTH]].tolist()) == {row[op8_pack.DOC]}
+        at += len(part)
+        p.settle()
+    done = np.concatenate(done)
+    waiting = p.tails[:, op8_pack.LENGTH].sum()
+    whole, counts = collections.Counter(), collections.Counter()
+    for row in done:
+        whole[row[5]] += row[op8_pack.LENGTH]
+        k = 1024 // row[op8_pack.LENGTH]
+        if row[op8_pack.LENGTH] < 1024 and row[op8_pack.LENGTH] == tokens[row[op8_pack.DOC]] % 1024:
+            counts[row[5], k] += 1
+    assert set(whole.values()) == {1024} and waiting < 0.05 * tokens.sum()
+    full = [max(n for (s, k), n in counts.items() if s == b and n >= k) for b in {s for (s, k), n in counts.items() if n >= k}]
+    assert len(full) > 0.8 * len({s for s, _ in counts})  # nearly every bin has k whole tails of class k
+    assert len(done) < 2 * len(tokens) + tokens.sum() // 1024  # few cuts
+    last = np.concatenate(p.close())
+    assert last[:, op8_pack.LENGTH].sum() == waiting and not len(p.tails)
 
 
 def test_encoding_is_that_of_the_tokenizer():
