@@ -9,9 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgcube.functions import paths
 from kgcube.plans.cube import Cube
+from kgcube.sources.files import checked
+from kgcube.sources.tables import delete, exists, stored
 
 Scope = dict[str, list[str]]
 
@@ -116,6 +119,12 @@ def inverted_index(cube: Cube, ctx: DataFrame) -> DataFrame:
     return context_dim(cube, ctx).groupBy("dimension", "hierarchy_id").agg(F.count("*").alias("n_contexts"), F.min("context_id").alias("first_context"))
 
 
+def canonical(rows: DataFrame, out: str, *keys: str) -> DataFrame:
+    """Hierarchies (dimension, hierarchy_id) of each of the keys numbered in canonical order; this order makes ids."""
+    w = W.partitionBy(*keys).orderBy("dimension", "hierarchy_id")
+    return rows.withColumn(out, F.row_number().over(w).cast("long"))
+
+
 def corrupt_tuples(cube: Cube, ctx: DataFrame) -> DataFrame:
     """Coordinates with more than one context id."""
     return ctx.groupBy(*cube.names).agg(F.count_distinct("context_id").alias("n_ids")).where("n_ids > 1")
@@ -154,22 +163,31 @@ def schema_stats(cube: Cube, ctx: DataFrame, links: DataFrame, files: DataFrame)
     return h.crossJoin(c).crossJoin(f)  # three tables of one row
 
 
-def write_index(cube: Cube, links: DataFrame, root: str, schema_id: str) -> int:
-    """Append contexts and links that the index doesn't have yet; running it again adds nothing."""
-    spark, added = links.sparkSession, 0
-    ctx = contexts_of(cube, links).withColumn("schema_id", F.lit(schema_id))
-    ln = links.select("stored_name", "engine_id", "context_id").distinct().withColumn("schema_id", F.lit(schema_id))
-    for name, df, keys in (("contexts", level_columns(cube, ctx), ["schema_id", "context_id"]), ("context_files", ln, ["schema_id", "context_id", "stored_name"])):
-        path = f"{root}/{name}"
-        try:
-            known = spark.read.parquet(path).select(*keys)
-            df = df.join(known, keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        df.write.mode("append").partitionBy("schema_id").parquet(path)
-        added += 1
-    return added
+TABLES = {"contexts": ["context_id"], "context_files": ["context_id", "stored_name"]}
+
+
+def write_index(cube: Cube, links: DataFrame, root: str, schema_id: str) -> None:
+    """Append contexts and links that the index doesn't have yet; running it again adds nothing. Of what is
+    stored only the keys of this schema are read."""
+    spark = links.sparkSession
+    rows = {"contexts": level_columns(cube, contexts_of(cube, links)), "context_files": links.select("stored_name", "engine_id", "context_id").distinct()}
+    for name, keys in TABLES.items():
+        path, new = _schema_folder(root, name, schema_id), rows[name]
+        if exists(spark, path):
+            known = spark.read.schema(new.select(*keys).schema).parquet(path)
+            new = new.join(known, keys, "left_anti")
+        new.write.mode("append").parquet(path)
+
+
+def _schema_folder(root: str, name: str, schema_id: str) -> str:
+    return f"{root}/{name}/schema_id={checked(schema_id)}"
+
+
+def compact_index(cube: Cube, spark, root: str, schema_id: str) -> None:
+    """Write the tables of a schema anew, in fewer files than many small batches left."""
+    for name in TABLES:
+        path = _schema_folder(root, name, schema_id)
+        stored(spark.read.parquet(path)).write.mode("overwrite").parquet(path)
 
 
 def read_index(spark, root: str, name: str, schema_id: str) -> DataFrame:
@@ -179,12 +197,5 @@ def read_index(spark, root: str, name: str, schema_id: str) -> DataFrame:
 
 def reset(spark, root: str, schema_id: str | None = None) -> None:
     """Drop the rows of one schema, or of all."""
-    for name in ("contexts", "context_files"):
-        df = spark.read.parquet(f"{root}/{name}")
-        empty = df.where(F.lit(False))
-        if schema_id is None:
-            empty.write.mode("overwrite").parquet(f"{root}/{name}")
-            continue
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{root}/{name}/schema_id={schema_id}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in TABLES:
+        delete(spark, f"{root}/{name}" if schema_id is None else _schema_folder(root, name, schema_id))

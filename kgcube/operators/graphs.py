@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,18 @@ def vertex_props(triples: DataFrame) -> DataFrame:
     return lit.groupBy(F.col("s").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "values")))).alias("props"))
 
 
-def vertices(triples: DataFrame, order: str | None = None) -> DataFrame:
-    """(id, label, props): all subjects and linked resources; the label is the first type, or Resource."""
+def type_label(value, literal):
+    """A literal as it is, of an IRI its last part."""
+    return F.when(literal, value).otherwise(paths.last_segment(value))
+
+
+def vertices(triples: DataFrame) -> DataFrame:
+    """(id, label, props): all subjects and linked resources; the label is the first type in document order (``seq``,
+    where triples have it, else the order of names), or Resource."""
     ids = triples.select(F.col("s").alias("id")).union(triples.where(~F.col("is_literal") & (F.col("p") != RDF_TYPE)).select("o")).distinct()
     types = triples.where(F.col("p") == RDF_TYPE)
-    first = types.groupBy(F.col("s").alias("id")).agg(F.min_by("o", order or "o").alias("type"))
-    labels = first.select("id", paths.last_segment(F.col("type")).alias("label"))
+    order = F.struct(*(["seq"] if "seq" in triples.columns else []), "o")
+    labels = types.groupBy(F.col("s").alias("id")).agg(F.min_by(type_label(F.col("o"), F.col("is_literal")), order).alias("label"))
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", F.lit("Resource"))).join(vertex_props(triples), "id", "left")
 
 
@@ -54,5 +62,14 @@ def model_edges(quads: DataFrame) -> DataFrame:
     return quads.select(F.col("s").alias("src"), F.when(F.col("is_literal"), F.concat_ws("|", "s", "p", "o")).otherwise(F.col("o")).alias("dst"), paths.display_name(F.col("p")).alias("label"), module(F.col("graph")).alias("module"))
 
 
-#: Representations by name: triples -> data frames.
-REPRESENTATIONS = {"RDF": lambda t: (t,), "LPG": lambda t: (vertices(t), edges(t)), "GRAPH_FRAME": lambda t: (vertices(t), edges(t))}
+#: Representations by name: triples -> one data frame of triples, or vertices and edges.
+REPRESENTATIONS: dict[str, Callable[[DataFrame], tuple[DataFrame, ...]]] = {}
+
+
+def register_representation(name: str, form: Callable[[DataFrame], tuple[DataFrame, ...]]) -> None:
+    REPRESENTATIONS[name] = form
+
+
+register_representation("RDF", lambda t: (t,))
+register_representation("LPG", lambda t: (vertices(t), edges(t)))
+register_representation("GRAPH_FRAME", lambda t: (vertices(t), edges(t)))

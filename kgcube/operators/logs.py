@@ -10,17 +10,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kgcube.sources.tables import small
+
 
 def succeeded(log: DataFrame) -> DataFrame:
     return log.where("success")
 
 
+def percentiles(df: DataFrame, column: str, wanted: dict[str, float], *keys: str) -> DataFrame:
+    """Exact percentiles, interpolated, of a column by keys, under the names given. Values are counted before they
+    meet, so a group is as large as its number of different values."""
+    h = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    h = h.withColumns({"_cum": F.sum("_n").over(w.orderBy("_v")), "_last": F.sum("_n").over(w) - 1})
+    value = lambda at: F.min(F.when(F.col("_cum") > at, F.col("_v"))).cast("double")
+    out = h.groupBy(*keys).agg(F.max("_last").alias("_last"), *(value(f(F.col("_last") * p)).alias(f"{name}_{k}") for name, p in wanted.items() for k, f in (("lo", F.floor), ("hi", F.ceil))))
+    part = lambda p: F.col("_last") * p - F.floor(F.col("_last") * p)
+    return out.select(*keys, *((F.col(f"{n}_lo") + part(p) * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n) for n, p in wanted.items()))
+
+
+def _beside(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Two tables of one row for each of the keys; these may be null."""
+    if not keys:
+        return left.join(right, F.lit(True), "left")  # tables of one row
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(right, same, "left").drop(*(f"_{k}" for k in keys))
+
+
 def latency(log: DataFrame, *keys: str) -> DataFrame:
     """Counts of all, and latencies of those that succeeded, with interpolated percentiles."""
     ok = F.when(F.col("success"), F.col("total_ms"))
-    p = F.percentile(ok, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = log.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("success")).alias("n_ok"), F.count_if(~F.col("success")).alias("n_error"), p.alias("p"), F.avg(ok).alias("avg_ms"), F.max(ok).alias("max_ms"))
-    return out.select(*keys, "n", "n_ok", "n_error", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "avg_ms", "max_ms")
+    out = log.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("success")).alias("n_ok"), F.count_if(~F.col("success")).alias("n_error"), F.avg(ok).alias("avg_ms"), F.max(ok).alias("max_ms"))
+    p = percentiles(succeeded(log), "total_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *keys)
+    return _beside(out, p, *keys).select(*keys, "n", "n_ok", "n_error", "p50", "p95", "p99", "avg_ms", "max_ms")
+
+
+def durations(log: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """Mean, most and 95th percentile of duration columns by schema, engine or representation."""
+    out = log.groupBy(*keys).agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("avg", F.avg), ("max", F.max))))
+    for c in columns:
+        out = _beside(out, percentiles(log, c, {f"{c}_p95": 0.95}, *keys), *keys)
+    return out
 
 
 def phase_means(log: DataFrame) -> DataFrame:
@@ -41,17 +74,24 @@ def ingested_by(files: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(*keys).agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.max(column).alias("most"), p.alias("p")).select(*keys, "n", "total", "most", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
+    out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.max(column).alias("most"))
+    return _beside(out, percentiles(df, column, {"p50": 0.5, "p90": 0.9}, *keys), *keys)
 
 
 def backlog(tasks: DataFrame, completed: DataFrame, *keys: str) -> DataFrame:
     return tasks.join(completed.select("stored_name"), "stored_name", "left_anti").groupBy(*keys).agg(F.count("*").alias("n_waiting"))
 
 
-def trend(log: DataFrame) -> DataFrame:
-    """Position of each successful query of a schema, the oldest first."""
-    return succeeded(log).withColumn("position", F.row_number().over(W.partitionBy("schema_id").orderBy("completed_at", "id")).cast("long"))
+def trend(log: DataFrame, block: str = "hour") -> DataFrame:
+    """Position of each successful query of a schema, the oldest first: its place in its block of time, after all that
+    earlier blocks hold, so that no schema is one task."""
+    ok = succeeded(log).withColumn("_block", F.date_trunc(block, "completed_at"))
+    sizes = ok.groupBy("schema_id", "_block").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("schema_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = small(sizes.select(F.col("schema_id").alias("_schema"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    placed = ok.withColumn("_place", F.row_number().over(W.partitionBy("schema_id", "_block").orderBy("completed_at", "id")))
+    same = F.col("schema_id").eqNullSafe(F.col("_schema")) & F.col("_block").eqNullSafe(F.col("_b"))
+    return placed.join(offsets, same).withColumn("position", F.col("_before") + F.col("_place")).drop("_block", "_place", "_schema", "_b", "_before")
 
 
 def recent(log: DataFrame, n: int = 20) -> DataFrame:

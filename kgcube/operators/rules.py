@@ -1,20 +1,23 @@
 """Derived knowledge: rule closure over the triples of each context against a TBox.
 
 Facts are (context_id, s, p, o, is_literal, datatype, lang); the TBox is (s, p, o), schema axioms only,
-closed under class and property chains once. Closure is semi-naive: each round joins what the last one
-found with the TBox and with all facts, keeps what is new, and writes it to the shared folder, so the
+closed under class and property chains once, so that a round of the closure takes a fact all the way up. Closure
+is semi-naive: each round joins what the last one found with the axioms, which are broadcast if they are few, and
+the rules over two facts join it with those facts that they can use. What is derived is compared only with facts
+that some axiom can derive. Rules without axioms don't run. Each round is written to the shared folder, so the
 plan doesn't grow and lost executors cost one round at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgcube.operators.triples import RDF_TYPE, TRIPLE
-from kgcube.sources.tables import stored
+from kgcube.sources.tables import MOST_BROADCAST_ROWS, small, stored
 
 # RDF, RDFS and OWL terms.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -63,32 +66,65 @@ def reachable(tbox: DataFrame, predicate: str) -> DataFrame:
     return pairs
 
 
+#: Joins one table of facts with another.
+Rule2 = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def _fact(s: Column, p: Column, o: Column, literal: Column | None = None, datatype: Column | None = None, lang: Column | None = None) -> list[Column]:
     none = F.lit(None).cast("string")
     return ["context_id", s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(False) if literal is None else literal).alias("is_literal"), (none if datatype is None else datatype).alias("datatype"), (none if lang is None else lang).alias("lang")]
 
 
 class TBox:
-    """Axioms by rule."""
+    """Axioms by rule; each table is stored once, and broadcast if it is small."""
 
-    def __init__(self, triples: DataFrame):
+    #: Columns of the tables of axioms.
+    TABLES = {"classes": ("sub", "sup"), "properties": ("sub", "sup"), "domain": ("p", "cls"), "range": ("p", "cls"), "chains": ("q", "first", "second"), "intersections": ("first", "second", "sup"), "some": ("prop", "filler", "sup"), "value": ("cls", "prop", "val")}
+
+    def __init__(self, triples: DataFrame, closed: bool = False):
+        """``closed``: domains and ranges hold for sub-properties and super-classes too."""
         t = triples.select("s", "p", "o").distinct()
-        self.classes, self.properties = reachable(t, SUB_CLASS), reachable(t, SUB_PROPERTY)
+        found = {"classes": reachable(t, SUB_CLASS), "properties": reachable(t, SUB_PROPERTY)}
         by = lambda p, s, o: t.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
-        self.domain, self.range = by(DOMAIN, "p", "cls"), by(RANGE, "p", "cls")
+        for name, predicate in (("domain", DOMAIN), ("range", RANGE)):
+            pairs = by(predicate, "p", "cls")
+            if closed:
+                pairs = pairs.unionByName(pairs.join(found["properties"], F.col("p") == F.col("sup")).select(F.col("sub").alias("p"), "cls"))
+                pairs = pairs.unionByName(pairs.join(found["classes"], F.col("cls") == F.col("sub")).select("p", F.col("sup").alias("cls"))).distinct()
+            found[name] = pairs
         heads = by(FIRST, "l1", "first").join(by(REST, "l1", "l2"), "l1").join(by(FIRST, "l2", "second"), "l2")
-        self.chains = by(CHAIN, "q", "l1").join(heads, "l1").select("q", "first", "second")
-        sub = by(SUB_CLASS, "node", "sup")
-        equal = sub.select("sup", "node")
-        self.intersections = by(INTERSECTION, "node", "l1").join(heads, "l1").where("first <> second").join(equal, "node").select("first", "second", "sup")
+        found["chains"] = by(CHAIN, "q", "l1").join(heads, "l1").select("q", "first", "second")
+        sub = by(SUB_CLASS, "node", "sup").select("sup", "node")
+        found["intersections"] = by(INTERSECTION, "node", "l1").join(heads, "l1").where("first <> second").join(sub, "node").select("first", "second", "sup")
         on = by(ON, "node", "prop")
-        self.some = by(SOME, "node", "filler").join(on, "node").where(F.col("prop") != RDF_TYPE).join(equal, "node").select("prop", "filler", "sup")
-        self.value = by(VALUE, "node", "val").join(on, "node").join(by(SUB_CLASS, "cls", "node"), "node").select("cls", "prop", "val")
+        found["some"] = by(SOME, "node", "filler").join(on, "node").where(F.col("prop") != RDF_TYPE).join(sub, "node").select("prop", "filler", "sup")
+        found["value"] = by(VALUE, "node", "val").join(on, "node").join(by(SUB_CLASS, "cls", "node"), "node").select("cls", "prop", "val")
+        none = F.lit(None).cast("string")
+        rows = [found[k].select(F.lit(k).alias("kind"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(v)), *(none.alias(f"x{i}") for i in range(len(v), 3))) for k, v in self.TABLES.items()]
+        self.table = stored(reduce(lambda a, b: a.unionByName(b), rows).distinct())
+        self.sizes = {r["kind"]: r["n"] for r in self.table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        for name in self.TABLES:
+            setattr(self, name, self._of(name))
+
+    def _of(self, kind: str) -> DataFrame:
+        rows = self.table.where(F.col("kind") == kind).select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(self.TABLES[kind])))
+        return F.broadcast(rows) if self.sizes.get(kind, 0) <= MOST_BROADCAST_ROWS else rows
+
+    def keys(self, *names: tuple[str, str]) -> DataFrame:
+        """(key): the distinct values of columns (kind, column)."""
+        parts = [getattr(self, kind).select(F.col(column).alias("key")) for kind, column in names]
+        rows = reduce(lambda a, b: a.union(b), parts).distinct()
+        return F.broadcast(rows) if sum(self.sizes.get(kind, 0) for kind, _ in names) <= MOST_BROADCAST_ROWS else rows
 
 
 Rule = Callable[[DataFrame, DataFrame, TBox], DataFrame]
 
 
+def kept(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose column is a key."""
+    return rows.join(keys, F.col(column) == F.col("key"), "left_semi")
+
+
 def types(f: DataFrame) -> DataFrame:
     return f.where(F.col("p") == RDF_TYPE).select("context_id", "s", F.col("o").alias("cls"))
 
@@ -101,29 +137,35 @@ def sub_property(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     return new.join(t.properties, F.col("p") == F.col("sub")).select(*_fact(F.col("s"), F.col("sup"), F.col("o"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
 
 
+def _both(new: DataFrame, facts: DataFrame, one: Rule2) -> DataFrame:
+    """Pairs of a new fact with any, on either side; in the first round all facts are new."""
+    return one(new, facts) if new is facts else one(new, facts).unionByName(one(facts, new))
+
+
 def chain(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.where("not is_literal").join(t.chains, F.col("p") == F.col("first")).select("context_id", F.col("s").alias("a"), F.col("o").alias("mid"), "q", "second")
-        b = right.select("context_id", F.col("s").alias("mid"), F.col("p").alias("second"), F.col("o").alias("b"), "is_literal", "datatype", "lang")
+        b = kept(right, "p", t.keys(("chains", "second"))).select("context_id", F.col("s").alias("mid"), F.col("p").alias("second"), F.col("o").alias("b"), "is_literal", "datatype", "lang")
         return a.join(b, ["context_id", "mid", "second"]).select(*_fact(F.col("a"), F.col("q"), F.col("b"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
 
-    return one(new, facts).unionByName(one(facts, new))
+    return _both(new, facts, one)
 
 
 def intersection(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = types(left).join(t.intersections, F.col("cls") == F.col("first")).select("context_id", "s", "second", "sup")
-        return a.join(types(right).withColumnRenamed("cls", "second"), ["context_id", "s", "second"]).select(*_fact(F.col("s"), F.lit(RDF_TYPE), F.col("sup")))
+        b = kept(types(right), "cls", t.keys(("intersections", "second"))).withColumnRenamed("cls", "second")
+        return a.join(b, ["context_id", "s", "second"]).select(*_fact(F.col("s"), F.lit(RDF_TYPE), F.col("sup")))
 
-    return one(new, facts).unionByName(one(facts, new))
+    return _both(new, facts, one)
 
 
 def some_values(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.where("not is_literal").join(t.some, F.col("p") == F.col("prop")).select("context_id", F.col("s").alias("x"), F.col("o").alias("s"), F.col("filler").alias("cls"), "sup")
-        return a.join(types(right), ["context_id", "s", "cls"]).select(*_fact(F.col("x"), F.lit(RDF_TYPE), F.col("sup")))
+        return a.join(kept(types(right), "cls", t.keys(("some", "filler"))), ["context_id", "s", "cls"]).select(*_fact(F.col("x"), F.lit(RDF_TYPE), F.col("sup")))
 
-    return one(new, facts).unionByName(one(facts, new))
+    return _both(new, facts, one)
 
 
 def has_value(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
@@ -142,6 +184,9 @@ SIX: list[Rule] = [sub_class, sub_property, chain, intersection, some_values, ha
 EIGHT: list[Rule] = [*SIX, domain, range_]
 RDFS_RULES: list[Rule] = [sub_class, sub_property, domain, range_]
 
+#: The axioms that a rule needs; a rule of one's own, that isn't here, always runs.
+AXIOMS = {sub_class: "classes", sub_property: "properties", chain: "chains", intersection: "intersections", some_values: "some", has_value: "value", domain: "domain", range_: "range"}
+
 
 def drop_noise(derived: DataFrame) -> DataFrame:
     """Without reflexive triples, statements about vocabulary terms or schema, and types that say nothing."""
@@ -161,20 +206,22 @@ def new_facts(found: DataFrame, *known: DataFrame) -> DataFrame:
 
 
 def closure(facts: DataFrame, tbox: DataFrame, rules: list[Rule] = EIGHT) -> DataFrame:
-    """Derived facts only: the fixpoint without the facts and the TBox."""
-    t = TBox(tbox)
+    """Derived facts only: the fixpoint without the facts and the TBox. ``facts`` should be a stored table."""
+    t = TBox(tbox, closed=sub_class in rules and sub_property in rules)
+    rules = [r for r in rules if t.sizes.get(AXIOMS.get(r, ""), 1 if r not in AXIOMS else 0)]
     facts = facts.select(*FACT)
-    axioms = tbox.select("s", "p", "o")
     known, new, found = facts, facts, None
-    while True:
-        out = rules[0](new, known, t)
-        for rule in rules[1:]:
-            out = out.unionByName(rule(new, known, t))
-        new = stored(new_facts(out.select(*FACT), known))
+    own = any(r not in AXIOMS for r in rules)  # of a rule of one's own anything may come
+    predicates, classes = t.keys(("properties", "sup"), ("chains", "q"), ("value", "prop")), t.keys(("classes", "sup"), ("domain", "cls"), ("range", "cls"), ("intersections", "sup"), ("some", "sup"))
+    while rules:
+        out = reduce(lambda a, b: a.unionByName(b), (rule(new, known, t).select(*FACT) for rule in rules))
+        typed = F.col("p") == RDF_TYPE
+        rivals = known if own else kept(known.where(~typed), "p", predicates).unionByName(kept(known.where(typed), "o", classes))
+        new = stored(new_facts(out, rivals))
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
         known = facts.unionByName(found)
     if found is None:
         return facts.where(F.lit(False))
-    return drop_noise(found).join(axioms, ["s", "p", "o"], "left_anti").select(*FACT)
+    return drop_noise(found).join(small(tbox.select("s", "p", "o")), ["s", "p", "o"], "left_anti").select(*FACT)

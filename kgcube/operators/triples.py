@@ -21,20 +21,32 @@ RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 TRIPLE = ["s", "p", "o", "is_literal", "datatype", "lang"]
 
 
-def map_rows(df: DataFrame, base: str, key: Column, subject: Column, type_: str, literals: dict[str, Column], edges: dict[str, Column]) -> DataFrame:
-    """(stored_name, triple) of each row: its type, literals by predicate and edges to other subjects. Null objects give none."""
+def map_rows(df: DataFrame, base: str, key: Column, subject: Column, types: list[str], literals: dict[str, Column], edges: dict[str, Column], first: int = 0) -> DataFrame:
+    """(stored_name, triple, seq) of each row: its types, literals by predicate and edges to other subjects. Null
+    objects give none; seq numbers them from ``first`` on, in this order."""
     none = F.lit(None).cast("string")
     iri = lambda c: F.concat(F.lit(base), c)
-    parts = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(base + type_).alias("o"), F.lit(False).alias("is_literal"))]
+    parts = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(base + t).alias("o"), F.lit(False).alias("is_literal")) for t in types]
     parts += [F.struct(F.lit(base + p).alias("p"), c.cast("string").alias("o"), F.lit(True).alias("is_literal")) for p, c in literals.items()]
     parts += [F.struct(F.lit(base + p).alias("p"), iri(c).alias("o"), F.lit(False).alias("is_literal")) for p, c in edges.items()]
-    rows = df.select(key.alias("stored_name"), iri(subject).alias("s"), F.explode(F.array(*parts)).alias("t"))
-    return rows.select("stored_name", "s", "t.p", "t.o", "t.is_literal", none.alias("datatype"), none.alias("lang")).where("o is not null")
+    rows = df.select(key.alias("stored_name"), iri(subject).alias("s"), F.posexplode(F.array(*parts)).alias("seq", "t"))
+    return rows.select("stored_name", "s", "t.p", "t.o", "t.is_literal", none.alias("datatype"), none.alias("lang"), (F.col("seq") + first).alias("seq")).where("o is not null")
+
+
+def as_set(triples: DataFrame, *keys: str) -> DataFrame:
+    """Each triple once for the keys; with ``seq``, if there, its first place."""
+    rows = triples.select(*keys, *TRIPLE, *(["seq"] if "seq" in triples.columns else []))
+    return rows.groupBy(*keys, *TRIPLE).agg(F.min("seq").alias("seq")) if "seq" in triples.columns else rows.distinct()
 
 
 def context_graph(links: DataFrame, triples: DataFrame) -> DataFrame:
     """The set of triples of all files of each context."""
-    return links.select("stored_name", "context_id").join(triples, "stored_name").select("context_id", *TRIPLE).distinct()
+    return as_set(context_bag(links, triples), "context_id")
+
+
+def context_bag(links: DataFrame, triples: DataFrame) -> DataFrame:
+    """The triples of all files of each context, repeated as they stand: graph forms count them so."""
+    return links.select("stored_name", "context_id").join(triples, "stored_name")
 
 
 def stamp(graphs: DataFrame, knowledge: DataFrame, base: str, suffix: str = "-mod") -> DataFrame:
@@ -95,15 +107,20 @@ def node(value: Column, literal: Column, datatype: Column, lang: Column) -> Colu
     """A term as N-Quads text."""
     quoted = F.concat(F.lit('"'), paths.escape(value), F.lit('"'))
     tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).when(datatype.isNotNull(), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise("")
-    return F.when(literal, F.concat(quoted, tail)).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
+    return F.when(literal, F.concat(quoted, tail)).otherwise(resource(value))
+
+
+def resource(name: Column) -> Column:
+    """An IRI, or a blank node, as N-Quads text."""
+    return F.when(name.startswith("_:"), name).otherwise(F.concat(F.lit("<"), name, F.lit(">")))
 
 
 def triple_text() -> Column:
-    return F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), node(F.col("o"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
+    return F.concat_ws(" ", resource(F.col("s")), resource(F.col("p")), node(F.col("o"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
 
 
 def quad_text() -> Column:
-    return F.concat(triple_text(), F.lit(" <"), F.col("graph"), F.lit("> ."))
+    return F.concat_ws(" ", triple_text(), resource(F.col("graph")), F.lit("."))
 
 
 def split_token(cube: Cube, token: Column) -> Column:
@@ -122,9 +139,10 @@ def decode_membership(cube: Cube, quads: DataFrame, base: str) -> DataFrame:
 
 
 def cube_cells(cube: Cube, quads: DataFrame, base: str) -> DataFrame:
-    """Per context graph its finest member in each dimension and how many graphs it covers."""
+    """Per context graph its finest member in each dimension, and how many and which graphs it covers: those are
+    the leaves of one cell."""
     m = decode_membership(cube, quads, base)
     depth = F.coalesce(*(F.when((F.col("dimension") == d.name) & (F.col("level") == x), F.lit(k)) for d in cube.dimensions for k, x in enumerate(d.names)))
     cells = m.withColumn("depth", depth).groupBy("graph").agg(*(F.max_by(F.when(F.col("dimension") == d, F.col("value")), F.when(F.col("dimension") == d, F.col("depth"))).alias(d) for d in cube.names))
-    covers = quads.where(F.col("p") == OLAP + "covers").groupBy("graph").agg(F.count("*").alias("n_covers"))
+    covers = quads.where(F.col("p") == OLAP + "covers").groupBy("graph").agg(F.count("*").alias("n_covers"), F.array_sort(F.collect_set("o")).alias("covers"))
     return cells.join(covers, "graph", "left").withColumn("n_covers", F.coalesce("n_covers", F.lit(0)))

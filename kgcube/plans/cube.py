@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgcube.functions import paths
+from kgcube.sources.tables import exists
 
 #: Roll-up functions by name: Column of a member -> Column of its parent. 'lookup' uses the dimension table.
 ROLL_UPS: dict[str, Callable[[Column], Column]] = {"date_to_month": paths.month_of, "date_to_year": paths.year_of}
@@ -116,9 +118,22 @@ class Cube:
         return d.depth(fine) >= d.depth(coarse)
 
     def level_table(self, spark: SparkSession) -> DataFrame:
+        """Levels by dimension, depth and name."""
         rows = [(d.name, x.name, x.depth, x.roll_up_to, x.function) for d in self.dimensions for x in d.levels]
         return spark.createDataFrame(rows, "dimension string, level string, depth int, rollup_to string, rollup_function string")
 
+    def level_order(self, spark: SparkSession) -> DataFrame:
+        """(dimension, level, other, rolls_up) for all pairs of levels of a dimension."""
+        t = self.level_table(spark)
+        other = t.select("dimension", F.col("level").alias("other"), F.col("depth").alias("_depth"))
+        return t.join(other, "dimension").select("dimension", "level", "other", (F.col("depth") >= F.col("_depth")).alias("rolls_up"))
+
+    def table(self, spark: SparkSession, dimension: str) -> DataFrame:
+        """The dimension table of the cube's own hierarchy rows: a column for each level, and their position."""
+        d = self.dimension(dimension)
+        rows = [(i, *(r.get(n) for n in d.names)) for i, r in enumerate(d.rows)]
+        return spark.createDataFrame(rows, "position int, " + ", ".join(f"{n} string" for n in d.names))
+
     def ids(self) -> dict[str, Column]:
         return {d.name: paths.hierarchy_id(d.name, d.names, F.col(d.name)) for d in self.dimensions}
 
@@ -169,13 +184,18 @@ def lookup_parent(df: DataFrame, table: DataFrame, member: str, level: str, pare
 
 
 def dimension_violations(cube: Cube, name: str, table: DataFrame) -> DataFrame:
-    """Rows of a dimension table without a member where a lookup level or its parent needs one."""
+    """Rows of a dimension table without a member where a lookup level or its parent needs one, with invalid members, or
+    with one in a column that is no level."""
     d = cube.dimension(name)
     bad = [F.when(F.col(x.name).isNull() | F.col(x.roll_up_to).isNull(), F.lit(f"{x.name} or {x.roll_up_to} missing")) for x in d.levels if x.function == "lookup"]
     bad += [F.when(F.col(x.name).isNotNull() & ~paths.valid_member(F.col(x.name)), F.lit(f"{x.name} invalid")) for x in d.levels]
+    bad += [F.when(F.col(c).isNotNull(), F.lit(f"unknown level {c}")) for c in table.columns if c not in (*d.names, "position")]
     return table.withColumn("violation", F.coalesce(*bad)).where("violation is not null")
 
 
+CATALOG = "id string, content string, at long"
+
+
 class Catalog:
     """Cube schemas as a Parquet table; an id can't be registered with another content."""
 
@@ -187,20 +207,26 @@ class Catalog:
         return json.dumps(data, sort_keys=True)
 
     def list(self) -> DataFrame:
-        try:
-            return self.spark.read.schema("id string, content string").parquet(self.path).distinct()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], "id string, content string")
+        return self._rows().groupBy("id").agg(F.min_by("content", F.struct("at", "content")).alias("content"))
 
     def register(self, data: dict) -> None:
-        cube = Cube.load(data)
-        known = [r.content for r in self.list().where(F.col("id") == cube.id).collect()]
-        if known and known != [self.text(data)]:
-            raise ValueError(f"{cube.id} is registered with another content")
+        """Each registration is a row of its own, so two writers of one id can't hide each other: the earliest text of
+        an id is the schema, and who came later with another one is told."""
+        cube, text = Cube.load(data), self.text(data)
+        known = self._texts(cube.id)
         if not known:
-            self.spark.createDataFrame([(cube.id, self.text(data))], "id string, content string").coalesce(1).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame([(cube.id, text, time.time_ns())], CATALOG).coalesce(1).write.mode("append").parquet(self.path)
+            known = self._texts(cube.id)
+        if known[0] != text:
+            raise ValueError(f"{cube.id} is registered with another content")
+
+    def _texts(self, id: str) -> list[str]:
+        return [r.content for r in self._rows().where(F.col("id") == id).orderBy("at", "content").collect()]
+
+    def _rows(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], CATALOG)
+        return self.spark.read.schema(CATALOG).parquet(self.path)
 
     def get(self, id: str) -> Cube:
         row = self.list().where(F.col("id") == id).first()

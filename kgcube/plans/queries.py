@@ -59,6 +59,12 @@ def specific(spark, d):
     return C.dice(CUBE, S.contexts(spark, d), SCOPE)
 
 
+def index_tables(spark, d):
+    """Contexts and links as stored tables."""
+    links = tables.stored(S.links(spark, d))
+    return tables.stored(C.level_columns(CUBE, C.contexts_of(CUBE, links))), links
+
+
 def known(spark, d):
     return C.knowledge(CUBE, contexts_table(spark, d), SCOPE, RHO)
 
@@ -85,12 +91,27 @@ def scope_paths(spark, d):
 FROM nation, (VALUES ('region'), ('nation')) AS p(level)""")
 def level_order(spark, d):
     """For each nation's levels: does the level roll up to nation, to region?"""
-    lv = CUBE.level_table(spark).where("dimension = 'place'").select("level")
-    flags = lv.withColumns({
-        "nation_below": F.col("level").isin(*[x for x in ("region", "nation") if CUBE.level_rolls_up_to("place", x, "nation")]),
-        "region_below": F.col("level").isin(*[x for x in ("region", "nation") if CUBE.level_rolls_up_to("place", x, "region")]),
-    })
-    return S.table(spark, d, "nation").select(F.col("n_name").alias("nation"), F.explode(F.array(F.lit("region"), F.lit("nation"))).alias("level")).join(F.broadcast(flags), "level").select("nation", "level", "nation_below", "region_below")
+    order = CUBE.level_order(spark).where("dimension = 'place'")
+    flags = order.groupBy("level").agg(*(F.bool_or(F.col("rolls_up") & (F.col("other") == x)).alias(f"{x}_below") for x in ("nation", "region")))
+    members = place_table(spark, d).select("nation", F.explode(F.array(F.lit("region"), F.lit("nation"))).alias("level"))
+    return members.join(flags, "level").select("nation", "level", "nation_below", "region_below")
+
+
+@query("SELECT context_id FROM spec")
+def scope_built(spark, d):
+    """The contexts of a scope whose paths come from the dimension table and the roll-up functions."""
+    scope = CUBE.scope(spark, S.SCOPE, {"place": place_table(spark, d)})
+    return C.dice(CUBE, S.contexts(spark, d), scope).select("context_id")
+
+
+@query("SELECT a.context_id AS fine_id, b.context_id AS coarse_id, true AS up, a.context_id = b.context_id AS down FROM contexts a JOIN contexts b ON a.place[1] = b.place[1] AND a.place[1:len(b.place)] = b.place AND a.segment[1:len(b.segment)] = b.segment AND a.time[1:len(b.time)] = b.time")
+def rolls_up_flags(spark, d):
+    """Of each pair of a context and an ancestor: does either roll up to the other?"""
+    c = contexts_table(spark, d)
+    side = lambda k: c.select(F.col("context_id").alias(f"{k}_id"), *(F.col(n).alias(f"{k}_{n}") for n in CUBE.names))
+    x = C.ancestor_pairs(CUBE, c, c).join(side("fine"), "fine_id").join(side("coarse"), "coarse_id")
+    of = lambda k: {n: F.col(f"{k}_{n}") for n in CUBE.names}
+    return x.select("fine_id", "coarse_id", paths.rolls_up_to(of("fine"), of("coarse")).alias("up"), paths.rolls_up_to(of("coarse"), of("fine")).alias("down"))
 
 
 @plain("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y') || '>' || strftime(o_orderdate, '%Y-%m') || '>' || strftime(o_orderdate, '%Y-%m-%d') AS path FROM orders")
@@ -142,7 +163,9 @@ def roll_one_level(spark, d):
 @plain("SELECT c_custkey, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def lookup_rollup(spark, d):
     c = S.table(spark, d, "customer").join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"))
-    return lookup_parent(c, place_table(spark, d), "nation", "nation", "region", "region").select("c_custkey", "nation", "region")
+    t = place_table(spark, d)
+    later = t.withColumns({"region": F.lit("NOWHERE"), "position": F.col("position") + 1000})  # of two rows the first counts
+    return lookup_parent(c, later.unionByName(t), "nation", "nation", "region", "region").select("c_custkey", "nation", "region")
 
 
 @plain("SELECT event_id, props AS value FROM events WHERE props IS NULL OR length(props) = 0 OR contains(props, '|') UNION ALL SELECT event_id, event_type || '|' FROM events WHERE event_type = 'error'")
@@ -152,9 +175,10 @@ def bad_members(spark, d):
     return values.where(~paths.valid_member(F.col("value")))
 
 
-@plain("""SELECT region, nation, 'nation or region missing' AS violation FROM (SELECT r_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS nation FROM nation JOIN region ON n_regionkey = r_regionkey) WHERE nation IS NULL""")
+@plain("""SELECT r_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS nation, CASE WHEN n_nationkey % 2 = 1 THEN 'nation or region missing' ELSE 'unknown level city' END AS violation
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1 OR n_nationkey % 3 = 0""")
 def dimension_violations_(spark, d):
-    t = place_table(spark, d).withColumn("nation", F.when(F.col("position") % 2 == 0, F.col("nation")))
+    t = place_table(spark, d).withColumns({"nation": F.when(F.col("position") % 2 == 0, F.col("nation")), "city": F.when(F.col("position") % 3 == 0, F.lit("x"))})
     return dimension_violations(CUBE, "place", t).select("region", "nation", "violation")
 
 
@@ -225,6 +249,15 @@ def distinct_hierarchies(spark, d):
     return C.context_dim(CUBE, S.contexts(spark, d)).select("dimension", "label").distinct()
 
 
+@query(f"""SELECT n_name AS nation, x.dimension AS dimension, x.hierarchy_id AS hierarchy_id, row_number() OVER (PARTITION BY n_name ORDER BY x.dimension, x.hierarchy_id) AS place FROM (
+ SELECT DISTINCT place[2] AS n_name, unnest([{{'dimension': 'place', 'hierarchy_id': {S.hid('place', 'place')}}}, {{'dimension': 'segment', 'hierarchy_id': {S.hid('segment', 'segment')}}}]) AS x FROM contexts WHERE len(place) = 2)""")
+def canonical_order(spark, d):
+    """Hierarchies of each nation's contexts, numbered by dimension and id."""
+    ctx = S.contexts(spark, d).where(F.size("place") == 2)
+    rows = C.context_dim(CUBE, ctx).join(ctx.select("context_id", F.get("place", F.lit(1)).alias("nation")), "context_id").where("dimension <> 'time'").select("nation", "dimension", "hierarchy_id").distinct()
+    return C.canonical(rows, "place", "nation")
+
+
 @query("SELECT context_id, time[1] AS time_year, len(place) AS n FROM contexts WHERE context_id IN (SELECT context_id FROM links)")
 def index_roundtrip(spark, d):
     """Write the index twice, read it back: the second write adds nothing."""
@@ -343,9 +376,11 @@ def context_graph(spark, d):
     return spec_graphs(spark, d).select("context_id", "s", "p", "o", "is_literal")
 
 
-@query("SELECT context_id, count(*) AS n FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge) GROUP BY context_id")
+@query("SELECT context_id, count(DISTINCT (s, p, o, is_literal)) AS n, count(*) AS n_bag FROM links JOIN tri USING (stored_name) WHERE context_id IN (SELECT context_id FROM knowledge) GROUP BY context_id")
 def triple_counts(spark, d):
-    return spec_graphs(spark, d).groupBy("context_id").agg(F.count("*").alias("n"))
+    """Triples of each graph as a set, and as they stand in its files."""
+    bag = T.context_bag(C.files_of(known(spark, d), S.links(spark, d)), S.triples(spark, d))
+    return bag.groupBy("context_id", *T.TRIPLE).agg(F.count("*").alias("k")).groupBy("context_id").agg(F.count("*").alias("n"), F.sum("k").alias("n_bag"))
 
 
 @query(f"SELECT {SQL_QUAD} FROM asserted")
@@ -364,8 +399,9 @@ def membership_vertices(spark, d):
     return v.select("id", "label", F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("props"))
 
 
-def full_answer(spark, d):
-    return build(CUBE, contexts_table(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP)
+def full_answer(spark, d, **more):
+    ctx, links = index_tables(spark, d)
+    return build(CUBE, ctx, links, lambda files: S.triples(spark, d, files), SCOPE, S.ROLL_UP, **more)
 
 
 @query(f"SELECT {SQL_QUAD} FROM answer")
@@ -393,12 +429,12 @@ def membership_decode(spark, d):
     return T.decode_membership(CUBE, T.membership(CUBE, finals(spark, d), S.BASE), S.BASE)
 
 
-@query(f"""SELECT '{S.BASE}context/' || c.final_id AS graph, c.place[len(c.place)] AS place, c.segment[len(c.segment)] AS segment, c.time[len(c.time)] AS time, coalesce(n, 0) AS n_covers FROM cells c
-LEFT JOIN (SELECT final_id, count(*) AS n FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id GROUP BY final_id) v USING (final_id)""")
+@query(f"""SELECT '{S.BASE}context/' || c.final_id AS graph, c.place[len(c.place)] AS place, c.segment[len(c.segment)] AS segment, c.time[len(c.time)] AS time, coalesce(n, 0) AS n_covers, coalesce(covers, '') AS covers FROM cells c
+LEFT JOIN (SELECT final_id, count(*) AS n, string_agg('{S.BASE}context/' || context_id, ',' ORDER BY context_id) AS covers FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id GROUP BY final_id) v USING (final_id)""")
 def cube_cells(spark, d):
     ctx = contexts_table(spark, d)
     quads = T.membership(CUBE, finals(spark, d), S.BASE).unionByName(T.coverage_quads(C.coverage(CUBE, ctx, SCOPE, RHO), S.BASE))
-    return T.cube_cells(CUBE, quads, S.BASE)
+    return T.cube_cells(CUBE, quads, S.BASE).withColumn("covers", F.coalesce(F.array_join("covers", ","), F.lit("")))
 
 
 @query(f"SELECT {SQL_QUAD}, (SELECT count(*) FROM answer) AS total FROM answer ORDER BY s, p, o, graph LIMIT 2000")
@@ -411,8 +447,8 @@ def preview(spark, d):
 
 # --- graph forms --------------------------------------------------------------------------------
 
-G_TRI = f"gt AS (SELECT DISTINCT s, p, o, is_literal FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge)), ids AS (SELECT s AS id FROM gt UNION SELECT o FROM gt WHERE NOT is_literal AND p <> '{T.RDF_TYPE}'), "
-G_TRI += f"""lab AS (SELECT s AS id, min(o) AS t FROM gt WHERE p = '{T.RDF_TYPE}' GROUP BY s), lits AS (SELECT s AS id, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM (SELECT s, split_part(p, ':', 3) AS k, string_agg(o, ',' ORDER BY o) AS v FROM gt WHERE is_literal GROUP BY s, p) GROUP BY s)"""
+G_TRI = f"gt AS (SELECT s, p, o, is_literal, min(seq) AS seq FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge) GROUP BY ALL), ids AS (SELECT s AS id FROM gt UNION SELECT o FROM gt WHERE NOT is_literal AND p <> '{T.RDF_TYPE}'), "
+G_TRI += f"""lab AS (SELECT s AS id, arg_min(o, seq) AS t FROM gt WHERE p = '{T.RDF_TYPE}' GROUP BY s), lits AS (SELECT s AS id, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM (SELECT s, split_part(p, ':', 3) AS k, string_agg(o, ',' ORDER BY o) AS v FROM gt WHERE is_literal GROUP BY s, p) GROUP BY s)"""
 
 
 def with_graph(sql: str) -> str:
@@ -420,7 +456,7 @@ def with_graph(sql: str) -> str:
 
 
 def graph_triples(spark, d):
-    return spec_graphs(spark, d).drop("context_id").distinct()
+    return T.as_set(spec_graphs(spark, d))
 
 
 def flat_vertices(v):
@@ -579,6 +615,12 @@ def closure(spark, d):
     return R.closure(facts(spark, d), tbox(spark, d)).select("context_id", "s", "p", "o", "is_literal")
 
 
+@query(CLOSED + f"SELECT context_id, s, p, o, is_literal FROM eight WHERE o IN ('{B}Document', '{B}Thing', '{B}Purchase', '{B}Buyer', '_:value') OR p = '{B}concerns'")
+def rdfs_closure(spark, d):
+    """With the RDFS rules alone."""
+    return R.closure(facts(spark, d), tbox(spark, d), R.RDFS_RULES).select("context_id", "s", "p", "o", "is_literal")
+
+
 @query(CLOSED + f"SELECT context_id, s, p, o, is_literal FROM eight WHERE o = '{B}PaidDocument'")
 def intersection_types(spark, d):
     return R.closure(facts(spark, d), tbox(spark, d)).where(F.col("o") == B + "PaidDocument").select("context_id", "s", "p", "o", "is_literal")
@@ -600,4 +642,21 @@ UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}closureOf', '{B}contex
 UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}derivedFrom', '{B}context/' || final_id || '-mod', false, '{B}context/' || final_id FROM cells
 UNION SELECT '{B}context/' || final_id, '{T.OLAP}covers', '{B}context/' || context_id, false, '{B}context/' || final_id FROM knowledge WHERE context_id IN (SELECT context_id FROM spec) AND context_id <> final_id""")
 def answer_with_reasoning(spark, d):
-    return build(CUBE, contexts_table(spark, d), S.links(spark, d), S.triples(spark, d), SCOPE, S.ROLL_UP, tbox=tbox(spark, d)).quads.select(*QUAD)
+    return full_answer(spark, d, tbox=tbox(spark, d)).quads.select(*QUAD)
+
+
+@query(CLOSED + f""" SELECT DISTINCT s, p, o, is_literal, '{B}context/' || final_id || '-inf' AS graph FROM eight JOIN knowledge USING (context_id)""")
+def derived_module(spark, d):
+    """The derived modules alone."""
+    return T.in_modules(full_answer(spark, d, tbox=tbox(spark, d)).quads, "derived").select(*QUAD)
+
+
+@query(with_graph(f""" SELECT ids.id AS id, coalesce(split_part(t, ':', 3), 'Resource') AS label FROM ids LEFT JOIN lab USING (id) UNION ALL SELECT '{S.BASE}context/' || final_id, 'Context' FROM cells"""))
+def answer_lpg(spark, d):
+    """Vertices of the answer as a property graph: resources, and the cells as contexts."""
+    return full_answer(spark, d, representation="LPG").vertices.select("id", F.substring_index("label", ":", -1).alias("label"))
+
+
+@query(with_graph(f" SELECT s AS src, o AS dst, p AS label FROM gt WHERE NOT is_literal AND p <> '{T.RDF_TYPE}'"))
+def answer_graph_frame(spark, d):
+    return full_answer(spark, d, representation="GRAPH_FRAME").edges

@@ -40,20 +40,23 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Rows that stand for stored files, with their coordinates."""
+def sources(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Rows that stand for stored files, with their coordinates; with ``files`` only those of these names."""
     geo = geography(spark, sf_dir)
     customers = table(spark, sf_dir, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     both, none = F.array("r_name", "n_name"), paths.all_path()
     segment = F.array("c_mktsegment")
     day = paths.day_path(F.col("o_orderdate").cast("date"))
-    return {
+    found = {
         "orders": orders.withColumns({"stored_name": F.concat(F.lit("order/"), F.col("o_orderkey")), "place": both, "segment": segment, "time": day}),
         "customer": customers.withColumns({"stored_name": F.concat(F.lit("customer/"), F.col("c_custkey")), "place": both, "segment": segment, "time": none}),
         "nation": geo.withColumns({"stored_name": F.concat(F.lit("nation/"), F.col("n_nationkey")), "place": both, "segment": none, "time": none}),
         "region": table(spark, sf_dir, "region").withColumns({"stored_name": F.concat(F.lit("region/"), F.col("r_regionkey")), "place": F.array("r_name"), "segment": none, "time": none}),
     }
+    if files is None:
+        return found
+    return {k: df.join(files.select("stored_name"), "stored_name", "left_semi") for k, df in found.items()}
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +73,18 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).select(*c.names).distinct().withColumn("context_id", c.context_id())
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, col = sources(spark, sf_dir), F.col
+def triples(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """Triples of the source rows; an order's file also has those about its customer that place it."""
+    s, col = sources(spark, sf_dir, files), F.col
     key = lambda name, c: F.concat(F.lit(f"{name}/"), col(c))
+    note = F.concat(F.lit('C:\\new "'), col("c_mktsegment"), F.lit('"\n\tx\r'))
+    nation = {"inNation": key("nation", "c_nationkey")}
     parts = [
-        T.map_rows(s["orders"], BASE, col("stored_name"), col("stored_name"), "Order", {"status": col("o_orderstatus"), "priority": col("o_orderpriority")}, {"placedBy": key("customer", "o_custkey")}),
-        T.map_rows(s["customer"], BASE, col("stored_name"), col("stored_name"), "Customer", {"name": col("c_name")}, {"inNation": key("nation", "c_nationkey")}),
-        T.map_rows(s["nation"], BASE, col("stored_name"), col("stored_name"), "Nation", {"name": col("n_name")}, {"inRegion": key("region", "n_regionkey")}),
-        T.map_rows(s["region"], BASE, col("stored_name"), col("stored_name"), "Region", {"name": col("r_name")}, {}),
+        T.map_rows(s["orders"], BASE, col("stored_name"), col("stored_name"), ["Order", "Deed"], {"status": col("o_orderstatus"), "priority": col("o_orderpriority")}, {"placedBy": key("customer", "o_custkey")}),
+        T.map_rows(s["orders"], BASE, col("stored_name"), key("customer", "o_custkey"), ["Customer"], {}, nation, 10),
+        T.map_rows(s["customer"], BASE, col("stored_name"), col("stored_name"), ["Customer"], {"name": col("c_name"), "note": note}, nation),
+        T.map_rows(s["nation"], BASE, col("stored_name"), col("stored_name"), ["Nation"], {"name": col("n_name")}, {"inRegion": key("region", "n_regionkey")}),
+        T.map_rows(s["region"], BASE, col("stored_name"), col("stored_name"), ["Region"], {"name": col("r_name")}, {}),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -132,13 +139,14 @@ knowledge AS (
 ),
 cells AS (SELECT DISTINCT final_id, place, segment, time FROM final_ids),
 triples AS (
-  SELECT 'order/' || o_orderkey AS stored_name, '{BASE}order/' || o_orderkey AS s, unnest([{{'p': '{T.RDF_TYPE}', 'o': '{BASE}Order', 'l': false}}, {{'p': '{BASE}status', 'o': o_orderstatus, 'l': true}}, {{'p': '{BASE}priority', 'o': o_orderpriority, 'l': true}}, {{'p': '{BASE}placedBy', 'o': '{BASE}customer/' || o_custkey, 'l': false}}]) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'customer/' || c_custkey, '{BASE}customer/' || c_custkey, unnest([{{'p': '{T.RDF_TYPE}', 'o': '{BASE}Customer', 'l': false}}, {{'p': '{BASE}name', 'o': c_name, 'l': true}}, {{'p': '{BASE}inNation', 'o': '{BASE}nation/' || c_nationkey, 'l': false}}]) FROM customer JOIN geo ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'nation/' || n_nationkey, '{BASE}nation/' || n_nationkey, unnest([{{'p': '{T.RDF_TYPE}', 'o': '{BASE}Nation', 'l': false}}, {{'p': '{BASE}name', 'o': n_name, 'l': true}}, {{'p': '{BASE}inRegion', 'o': '{BASE}region/' || n_regionkey, 'l': false}}]) FROM geo
-  UNION ALL SELECT 'region/' || r_regionkey, '{BASE}region/' || r_regionkey, unnest([{{'p': '{T.RDF_TYPE}', 'o': '{BASE}Region', 'l': false}}, {{'p': '{BASE}name', 'o': r_name, 'l': true}}]) FROM region
+  SELECT 'order/' || o_orderkey AS stored_name, '{BASE}order/' || o_orderkey AS s, unnest([{{'n': 0, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Order', 'l': false}}, {{'n': 1, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Deed', 'l': false}}, {{'n': 2, 'p': '{BASE}status', 'o': o_orderstatus, 'l': true}}, {{'n': 3, 'p': '{BASE}priority', 'o': o_orderpriority, 'l': true}}, {{'n': 4, 'p': '{BASE}placedBy', 'o': '{BASE}customer/' || o_custkey, 'l': false}}]) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'order/' || o_orderkey, '{BASE}customer/' || o_custkey, unnest([{{'n': 10, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Customer', 'l': false}}, {{'n': 11, 'p': '{BASE}inNation', 'o': '{BASE}nation/' || c_nationkey, 'l': false}}]) FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'customer/' || c_custkey, '{BASE}customer/' || c_custkey, unnest([{{'n': 0, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Customer', 'l': false}}, {{'n': 1, 'p': '{BASE}name', 'o': c_name, 'l': true}}, {{'n': 2, 'p': '{BASE}note', 'o': 'C:\\new "' || c_mktsegment || '"' || chr(10) || chr(9) || 'x' || chr(13), 'l': true}}, {{'n': 3, 'p': '{BASE}inNation', 'o': '{BASE}nation/' || c_nationkey, 'l': false}}]) FROM customer JOIN geo ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'nation/' || n_nationkey, '{BASE}nation/' || n_nationkey, unnest([{{'n': 0, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Nation', 'l': false}}, {{'n': 1, 'p': '{BASE}name', 'o': n_name, 'l': true}}, {{'n': 2, 'p': '{BASE}inRegion', 'o': '{BASE}region/' || n_regionkey, 'l': false}}]) FROM geo
+  UNION ALL SELECT 'region/' || r_regionkey, '{BASE}region/' || r_regionkey, unnest([{{'n': 0, 'p': '{T.RDF_TYPE}', 'o': '{BASE}Region', 'l': false}}, {{'n': 1, 'p': '{BASE}name', 'o': r_name, 'l': true}}]) FROM region
 ),
-tri AS (SELECT stored_name, s, t.p AS p, t.o AS o, t.l AS is_literal FROM triples WHERE t.o IS NOT NULL),
-graphs AS (SELECT DISTINCT context_id, s, p, o, is_literal FROM links JOIN tri USING (stored_name)),
+tri AS (SELECT stored_name, s, t.p AS p, t.o AS o, t.l AS is_literal, t.n AS seq FROM triples WHERE t.o IS NOT NULL),
+graphs AS (SELECT context_id, s, p, o, is_literal, min(seq) AS seq FROM links JOIN tri USING (stored_name) GROUP BY ALL),
 asserted AS (SELECT DISTINCT s, p, o, is_literal, '{BASE}context/' || final_id || '-mod' AS graph FROM graphs JOIN knowledge USING (context_id)),
 member AS (
   SELECT '{BASE}context/' || final_id AS s, unnest([{{'p': '{T.CKR}hasAssertedModule', 'o': '{BASE}context/' || final_id || '-mod', 'l': false}},

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgcube.functions import paths
+from kgcube.sources.tables import small
 
 SCHEMA_ID = "^[a-z][a-z0-9_-]*$"
 
 
-def _checked(schema_id: str) -> str:
+def checked(schema_id: str) -> str:
     if not re.match(SCHEMA_ID, schema_id):
         raise ValueError(f"bad schema id {schema_id!r}")
     return schema_id
@@ -20,20 +21,28 @@ def _checked(schema_id: str) -> str:
 
 def write_raw(raw: DataFrame, root: str, schema_id: str) -> None:
     """raw(stored_name, content) as JSON lines below the schema's folder: small files in few objects."""
-    raw.select("stored_name", "content").write.mode("append").json(f"{root}/{_checked(schema_id)}")
+    raw.select("stored_name", "content").write.mode("append").json(f"{root}/{checked(schema_id)}")
 
 
 def read_raw(spark: SparkSession, root: str, schema_id: str) -> DataFrame:
-    df = spark.read.schema("stored_name string, content string").json(f"{root}/{_checked(schema_id)}")
+    df = spark.read.schema("stored_name string, content string").json(f"{root}/{checked(schema_id)}")
     return df.withColumns({"schema_id": F.lit(schema_id), "size_bytes": F.octet_length("content").cast("long")})
 
 
 def read_files(spark: SparkSession, root: str, schema_id: str) -> DataFrame:
     """One row a file of any name below {root}/{schema_id}."""
-    df = spark.read.format("binaryFile").load(f"{root}/{_checked(schema_id)}")
+    df = spark.read.format("binaryFile").load(f"{root}/{checked(schema_id)}")
     return df.select(F.lit(schema_id).alias("schema_id"), F.regexp_extract("path", "[^/]*$", 0).alias("stored_name"), F.col("content").cast("string").alias("content"), F.col("length").alias("size_bytes"))
 
 
+def engine_by_id(files: DataFrame, engines: DataFrame) -> DataFrame:
+    """files(stored_name, engine_id, ...) with the engine's own spelling of its id, whatever the case, and ``status``,
+    not null for an unknown one. engines(engine_id, ...) has a row for each media type."""
+    known = small(engines.groupBy(F.lower("engine_id").alias("_key")).agg(F.min("engine_id").alias("_id")))
+    out = files.join(known, F.lower("engine_id") == F.col("_key"), "left")
+    return out.withColumns({"engine_id": F.coalesce("_id", "engine_id"), "status": F.when(F.col("_id").isNull(), "unknown engine")}).drop("_key", "_id")
+
+
 def with_engine(files: DataFrame, engines: DataFrame) -> DataFrame:
     """engines(engine_id, media_type, priority); media types compare without case, the first match counts."""
     e = engines.groupBy(F.lower("media_type").alias("_m")).agg(F.min_by("engine_id", "priority").alias("engine_id"))
