@@ -108,3 +108,10 @@ def rolling_hit_ratio(log: DataFrame, size: str = "5 minutes", step: str = "15 s
     """Hit ratio of sliding windows; on a stream give ``log`` a watermark on completed_at."""
     hits, all_ = F.sum("cache_hits"), F.sum(F.col("cache_hits") + F.col("cache_misses"))
     return log.groupBy(F.window("completed_at", size, step).alias("w")).agg((hits / F.greatest(all_, F.lit(1))).alias("hit_ratio")).select(F.col("w.start").alias("start"), "hit_ratio")
+
+
+def stream_hit_ratio(log: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", size: str = "5 minutes", step: str = "15 seconds") -> None:
+    """Windows of a streaming log, each written once, when events may be late by no more than ``delay``; processes what is there and stops."""
+    out = rolling_hit_ratio(log.withWatermark("completed_at", delay), size, step)
+    q = out.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from kgcube.operators import contexts as C
 from kgcube.operators import graphs as G
 from kgcube.operators import logs as L
+from kgcube.operators import rules as R
 from kgcube.operators import triples as T
 from kgcube.plans import sales as S
-from kgcube.plans.queries import CUBE, G_TRI, QUAD, SQL_QUAD, finals, flat_vertices, full_answer, graph_triples, known, plain, query, spec_graphs, with_graph
+from kgcube.plans.answer import logged
+from kgcube.plans.queries import CLOSED, CUBE, QUAD, SQL_QUAD, flat_vertices, full_answer, graph_triples, index_tables, known, once, place_table, plain, query, spec_graphs, tbox, with_graph
 from kgcube.sources import files, rdf, tables
 from kgcube.streaming import ingest
+from kgcube.streaming.materialised import Materialised, derived
 
 # --- text forms ---------------------------------------------------------------------------------
 
@@ -19,10 +24,43 @@ from kgcube.streaming import ingest
 @query(f"SELECT {SQL_QUAD} FROM answer")
 def nquads_roundtrip(spark, d):
     path = tables.new_folder(spark)
-    rdf.write_nquads(full_answer(spark, d).quads, path)
+    rdf.write_nquads(full_answer(spark, d).quads, path, by_context=True)
+    return rdf.read_nquads(spark, path)[0].select(*QUAD)
+
+
+@plain(r"""SELECT '_:c' || c_custkey AS s, 'urn:p' AS p, t.o AS o, t.l AS is_literal, t.g AS graph FROM (SELECT c_custkey, unnest([{'o': c_name || chr(9) || 'é' || chr(128512) || 'C:\new', 'l': true, 'g': '_:g'}, {'o': '_:n' || c_nationkey, 'l': false, 'g': NULL}]) AS t FROM customer)""")
+def nquads_terms(spark, d):
+    """Lines of another writer: blank nodes, escapes by code point, comments, and no graph term."""
+    path, c = tables.new_folder(spark), S.table(spark, d, "customer")
+    s = F.concat(F.lit("_:c"), "c_custkey", F.lit(" <urn:p> "))
+    text = F.concat(s, F.lit('"'), "c_name", F.lit(r'\t\u00e9\U0001F600C:\\new" _:g . # c'))
+    c.select(F.explode(F.array(text, F.concat(s, F.lit("_:n"), "c_nationkey", F.lit(" .")), F.lit("# comment"), F.lit(""))).alias("value")).write.text(path)
     return rdf.read_nquads(spark, path)[0].select(*QUAD)
 
 
+@query(CLOSED + """ SELECT DISTINCT s, p, o, is_literal FROM answer UNION SELECT s, p, o, is_literal FROM eight JOIN knowledge USING (context_id)""")
+def ntriples_with_derived(spark, d):
+    """Asserted and derived statements of a written answer, without metadata about modules."""
+    path = tables.new_folder(spark)
+    q = full_answer(spark, d, tbox=tbox(spark, d)).quads
+    about = F.col("p").isin(T.OLAP + "covers", T.CKR + "hasModule", T.CKR + "closureOf", T.CKR + "derivedFrom")
+    rdf.write_ntriples(q.where(~about), path)
+    return rdf.read_nquads(spark, path)[0].select("s", "p", "o", "is_literal")
+
+
+@plain(f"""SELECT DISTINCT '{S.BASE}' || p_type || '/' || p_brand AS s, '{R.SUB_CLASS}' AS p, '{S.BASE}' || p_type AS o FROM part UNION SELECT '{S.BASE}' || n_name, '{R.SUB_CLASS}', '{S.BASE}' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION SELECT DISTINCT '{S.BASE}made' || p_type, '{R.DOMAIN}', '{S.BASE}' || p_type FROM part""")
+def supplementary_tbox(spark, d):
+    """Axioms of a dimension, merged with those of a file that was written as N-Triples."""
+    path, part = tables.new_folder(spark), S.table(spark, d, "part")
+    iri = lambda *c: F.concat(F.lit(S.BASE), *c)
+    none = F.lit(None).cast("string")
+    row = lambda s, p, o: part.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(False).alias("is_literal"), none.alias("datatype"), none.alias("lang")).distinct()
+    axioms = row(iri("p_type", F.lit("/"), "p_brand"), R.SUB_CLASS, iri("p_type")).unionByName(row(iri(F.lit("made"), "p_type"), R.DOMAIN, iri("p_type")))
+    rdf.write_ntriples(axioms, path)
+    return R.merged_tbox(R.tbox_from_dimension(place_table(spark, d), ["region", "nation"], S.BASE), rdf.read_nquads(spark, path)[0])
+
+
 @query("SELECT DISTINCT s, p, o, is_literal FROM answer")
 def ntriples_union(spark, d):
     path = tables.new_folder(spark)
@@ -45,6 +83,18 @@ def lpg_rows(spark, d):
     return rdf.normalise_lpg(spark.read.text(path))[1]
 
 
+@query(with_graph(" SELECT ids.id AS id, coalesce(split_part(t, ':', 3), 'Resource') AS label FROM ids LEFT JOIN lab USING (id)"))
+def lpg_vertices(spark, d):
+    """Vertices from lines in three forms: with a type envelope, with a row envelope, and bare."""
+    path, t = tables.new_folder(spark), graph_triples(spark, d)
+    v, e, n = G.vertices(t), G.edges(t), F.pmod(F.xxhash64("id"), F.lit(3))
+    rdf.write_lpg(v.where(n == 0), e, f"{path}/a")
+    rdf.write_graph_json(v.where(n == 1), e.where(F.lit(False)), f"{path}/b")
+    v.where(n == 2).select(F.to_json(F.struct("id", "label")).alias("value")).write.text(f"{path}/c")
+    found = rdf.normalise_lpg(spark.read.text([f"{path}/{x}" for x in "abc"]))[0]
+    return found.select("id", F.substring_index("label", ":", -1).alias("label"))
+
+
 @query("SELECT 'quad' AS kind, (SELECT count(*) FROM answer) AS n UNION ALL SELECT 'summary', 1")
 def result_summary(spark, d):
     path, a = tables.new_folder(spark), full_answer(spark, d)
@@ -61,6 +111,24 @@ def registered_files(spark, d):
     return files.register_files(raw, engines).select("stored_name", "engine_id", "size_bytes", "status")
 
 
+@plain("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN lower(c_mktsegment) ELSE c_mktsegment END AS engine_id, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'unknown engine' END AS status FROM customer")
+def file_engines(spark, d):
+    """Customers as files, their segment as engine id, which compares without case."""
+    engines = spark.createDataFrame([("building", "a", 1), ("building", "b", 2), ("machinery", "c", 3)], "engine_id string, media_type string, priority int")
+    return files.engine_by_id(S.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("engine_id")), engines).select("c_custkey", "engine_id", "status")
+
+
+@query("SELECT 'sales' AS schema_id, (SELECT count(DISTINCT context_id) FROM knowledge) AS context_count, (SELECT count(*) FROM cells) AS final_context_count, (SELECT count(*) FROM answer) AS row_count, true AS success, NULL::VARCHAR AS error UNION ALL SELECT 'sales', NULL, NULL, NULL, false, 'unknown representation ' || chr(39) || 'TABLE' || chr(39)")
+def query_log_rows(spark, d):
+    """The log of a query that is built and written, and of one that fails."""
+    root = tables.new_folder(spark)
+    ctx, links = index_tables(spark, d)
+    args = {"links": links, "triples": lambda names: S.triples(spark, d, names), "scope": S.scope_paths(), "roll_up": S.ROLL_UP}
+    for form in ("RDF", "TABLE"):
+        logged(CUBE, "sales", form, ctx, f"{root}/log", lambda a: rdf.write_nquads(a.quads, f"{root}/data"), representation=form, **args)
+    return spark.read.parquet(f"{root}/log").select("schema_id", "context_count", "final_context_count", "row_count", "success", "error")
+
+
 # --- logs: the events table stands in for a query log --------------------------------------------
 
 
@@ -129,6 +197,18 @@ def rolling_hit_ratio(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "hit_ratio")
 
 
+@plain(LOG + """SELECT start, sum(cache_hits) / greatest(sum(cache_hits + cache_misses), 1) AS hit_ratio FROM (
+ SELECT cache_hits, cache_misses, unnest(generate_series(time_bucket(INTERVAL 15 SECONDS, completed_at) - INTERVAL 285 SECONDS, time_bucket(INTERVAL 15 SECONDS, completed_at), INTERVAL 15 SECONDS)) AS start FROM log)
+ WHERE start + INTERVAL 5 MINUTES <= (SELECT max(completed_at) FROM log) - INTERVAL 10 MINUTES GROUP BY start""")
+def streaming_hit_ratio(spark, d):
+    """The same from a stream: windows that are closed when events may be ten minutes late."""
+    root = tables.new_folder(spark)
+    log(spark, d).write.parquet(f"{root}/log")
+    source = spark.readStream.schema(spark.read.parquet(f"{root}/log").schema).parquet(f"{root}/log")
+    L.stream_hit_ratio(source, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "hit_ratio")
+
+
 @query("SELECT engine_id, count(*) AS n_waiting FROM links WHERE context_id NOT IN (SELECT context_id FROM spec) GROUP BY engine_id")
 def backlog(spark, d):
     links = S.links(spark, d)
@@ -139,8 +219,10 @@ def backlog(spark, d):
 # --- streams ------------------------------------------------------------------------------------
 
 
+@once
 def stream(spark, d):
-    """Tasks for all files of the sales cube, in four JSON files with broken and repeated lines, run as a stream."""
+    """Tasks for all files of the sales cube, in four JSON files with broken and repeated lines, run as a stream. Customers
+    can't be read; those whose names end in 5 can on a second attempt."""
     root, links = tables.new_folder(spark), S.links(spark, d)
     task = F.to_json(F.struct(F.lit("sales").alias("schemaId"), F.col("stored_name").alias("storedName"), F.col("engine_id").alias("engineId"), F.lit(1).alias("extra")))
     lines = links.select(task.alias("value")).unionByName(links.where("engine_id = 'nation'").select(task.alias("value")))
@@ -149,45 +231,85 @@ def stream(spark, d):
     known_links = tables.stored(links)
 
     def links_of(tasks):
-        x = tasks.select(F.col("storedName").alias("stored_name")).join(known_links, "stored_name", "left")
-        return x.withColumn("status", F.when(F.col("engine_id") == "customer", F.lit("unreadable")))
+        x = tasks.select(F.col("storedName").alias("stored_name"), "attempts").join(known_links, "stored_name", "left")
+        lost = (F.col("engine_id") == "customer") & ~(F.col("stored_name").endswith("5") & (F.col("attempts") > 0))
+        return x.withColumn("status", F.when(lost, F.lit("unreadable"))).drop("attempts")
 
-    ingest.run(ingest.read_tasks(spark, f"{root}/tasks"), links_of, root, lambda x: C.write_index(CUBE, x, f"{root}/index", "sales"))
+    work = ingest.Ingestion(spark, root, links_of, lambda x: C.write_index(CUBE, x, f"{root}/index", "sales"))
+    work.run(ingest.read_tasks(spark, f"{root}/tasks", 2))
+    work.drain()
     return root
 
 
-@query("SELECT DISTINCT context_id, stored_name FROM links WHERE engine_id <> 'customer'")
+READ = "(engine_id <> 'customer' OR stored_name LIKE '%5')"
+
+
+@query(f"SELECT DISTINCT context_id, stored_name FROM links WHERE {READ}")
 def stream_ingest_index(spark, d):
     return C.read_index(spark, f"{stream(spark, d)}/index", "context_files", "sales").select("context_id", "stored_name")
 
 
-@query("SELECT DISTINCT stored_name, engine_id, 1 AS contexts_count FROM links WHERE engine_id <> 'customer'")
+@query(f"SELECT DISTINCT stored_name, engine_id, 1 AS contexts_count FROM links WHERE {READ}")
 def stream_events(spark, d):
     e = ingest.read_log(spark, stream(spark, d), "completed", "storedName string, engineId string, contexts_count int")
     return e.select(F.col("storedName").alias("stored_name"), F.col("engineId").alias("engine_id"), "contexts_count").distinct()
 
 
-@query("SELECT stored_name, 'unreadable' AS status, 2 AS attempts, false AS final FROM links WHERE engine_id = 'customer' AND stored_name NOT LIKE '%5' UNION ALL SELECT NULL, 'missing schemaId,storedName,engineId', 2, false FROM links WHERE engine_id = 'region'")
+@query("SELECT stored_name, 'unreadable' AS status, 3 AS attempts, true AS final, 'tasks' AS origin FROM links WHERE engine_id = 'customer' AND stored_name NOT LIKE '%5' UNION ALL SELECT NULL, 'missing schemaId,storedName,engineId', NULL, NULL, NULL FROM links WHERE engine_id = 'region'")
 def dead_letters(spark, d):
-    """Dead letters after one more attempt, in which names that end in 5 succeed."""
-    left = ingest.retry(spark, stream(spark, d), lambda dead: dead.where("storedName like '%5'"))
-    return left.select(F.col("storedName").alias("stored_name"), "status", "attempts", "final")
+    """Files that failed three times, and messages that couldn't be decoded."""
+    root = stream(spark, d)
+    dead = ingest.read_log(spark, root, "dead", ingest.DEAD).select(F.col("storedName").alias("stored_name"), "status", "attempts", "final", "origin")
+    return dead.unionByName(ingest.read_log(spark, root, "quarantine", "value string, status string").select("status"), allowMissingColumns=True)
 
 
-@query("SELECT context_id FROM contexts WHERE context_id NOT IN (SELECT context_id FROM links WHERE engine_id <> 'customer')")
+@query(f"SELECT context_id FROM contexts WHERE context_id NOT IN (SELECT context_id FROM links WHERE {READ})")
 def invalidated_contexts(spark, d):
     """Materialised graphs that are left when the stream has invalidated those of the contexts it touched."""
-    built = S.contexts(spark, d).select("context_id")
-    stale = ingest.read_log(spark, stream(spark, d), "invalidated", "context_id string")
-    return ingest.invalidate(built, stale)
+    cache = Materialised(spark, tables.new_folder(spark))
+    ctx = S.contexts(spark, d).select("context_id")
+    cache.add(ctx, ctx, "RDF", at(11, 0))
+    cache.invalidate(ingest.read_log(spark, stream(spark, d), "invalidated", "context_id string"), at(11, 30))
+    return cache.fresh("RDF", at(11, 45)).select("context_id")
+
+
+def at(hour: int, minute: int) -> datetime:
+    return datetime(2024, 1, 1, hour, minute, tzinfo=timezone.utc)
 
 
 @query("SELECT context_id, context_id IN (SELECT context_id FROM spec) AS hit FROM knowledge GROUP BY context_id")
 def materialised_hits(spark, d):
     """Graphs of specific contexts are fresh, those of covering ones were built too long ago."""
-    ctx = S.contexts(spark, d)
-    spec, cover = C.dice(CUBE, ctx, S.scope_paths()), C.covering(ctx, S.scope_paths())
-    now = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
-    built = spec.select("context_id", F.to_timestamp(F.lit("2024-01-01 11:30:00")).alias("built_at")).unionByName(cover.select("context_id", F.to_timestamp(F.lit("2024-01-01 10:30:00")).alias("built_at")))
-    hits, misses = ingest.split_hits(known(spark, d).select("context_id").distinct(), built, now)
+    ctx, cache = S.contexts(spark, d), Materialised(spark, tables.new_folder(spark))
+    for df, built in ((C.dice(CUBE, ctx, S.scope_paths()), at(11, 30)), (C.covering(ctx, S.scope_paths()), at(10, 30))):
+        cache.add(df, df.select("context_id"), "RDF", built)
+    hits, misses = cache.split(known(spark, d).select("context_id").distinct(), "RDF", at(12, 0))
     return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False)))
+
+
+@query("SELECT context_id, count(*) AS n, CASE WHEN context_id IN (SELECT context_id FROM spec) THEN 'first' ELSE 'again' END AS build FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge) GROUP BY context_id")
+def materialised_graphs(spark, d):
+    """All graphs are built; those of covering contexts become stale and are built again; the cache then has each once."""
+    graphs, cache = tables.stored(spec_graphs(spark, d)), Materialised(spark, tables.new_folder(spark))
+    needed = graphs.select("context_id").distinct()
+    cache.add(needed, graphs, "RDF", at(11, 0))
+    cache.invalidate(C.covering(S.contexts(spark, d), S.scope_paths()), at(11, 10))
+    misses = tables.stored(cache.split(needed, "RDF", at(11, 20))[1])
+    cache.add(misses, graphs.join(misses, "context_id", "left_semi"), "RDF", at(11, 20))
+    first = int(at(11, 0).timestamp() * 1_000_000)
+    rows = cache.rows("RDF", at(11, 30)).groupBy("context_id", "built").agg(F.count("*").alias("n"))
+    return rows.select("context_id", "n", F.when(F.col("built") == first, "first").otherwise("again").alias("build"))
+
+
+@query(CLOSED + " SELECT context_id, s, p, o, is_literal, true AS hit FROM eight WHERE context_id IN (SELECT context_id FROM knowledge) UNION ALL SELECT DISTINCT context_id, NULL, NULL, NULL, NULL, false FROM knowledge")
+def cached_derived(spark, d):
+    """Derived triples are kept by TBox version: with the same axioms all contexts are hits, with others none."""
+    cache, box = Materialised(spark, tables.new_folder(spark)), tbox(spark, d)
+    graphs = tables.stored(spec_graphs(spark, d))
+    needed, name = graphs.select("context_id").distinct(), derived(R.tbox_version(box).first().version)
+    cache.add(needed, R.closure(graphs, box), name, at(11, 0))
+    hits, _ = cache.split(needed, name, at(11, 30))
+    other = derived(R.tbox_version(box.where(F.col("p") != R.DOMAIN)).first().version)
+    _, misses = cache.split(needed, other, at(11, 30))
+    rows = cache.rows(name, at(11, 30)).join(hits, "context_id", "left_semi").select("context_id", "s", "p", "o", "is_literal", F.lit(True).alias("hit"))
+    return rows.unionByName(misses.withColumn("hit", F.lit(False)), allowMissingColumns=True)
