@@ -6,15 +6,17 @@ Mahalanobis distance from it is too large are rejected, besides those that fail
 
 The steps run as aggregations, so a source with a third of all rows is no single task: distances are
 binned on a logarithmic scale, each (group, bin) has additive moments, and the half-set of a step is
-the run of nearest bins that holds the share ``ALPHA`` of the group. The first distances come from
-medians and quartiles, found from histograms in the same way. All rows that pass the base rules take
-part; nothing is sampled.
+the run of nearest bins that holds the share ``ALPHA`` of the group. There are three deterministic starts, all
+centred on the medians and scaled by the quartiles, which histograms give in the same way: no correlation, that of
+the hyperbolic tangents of the scaled statistics, and that of their spatial signs. After ``TRIALS`` steps the
+start with the least determinant goes on. All rows that pass the base rules take part; nothing is sampled.
 
 Defined cases: a null text has no words and fails the base rules; null language or source is a group
-of its own; sources with fewer than ``LEAST`` documents of a language share one estimate for that
-language, and languages with fewer still share one for all; a statistic that hardly varies in a
-group gets the floor variance in ``FLOOR``, so that ties don't make the scatter singular; repeated rows count
-each time; an empty table gives an empty table.
+of its own; sources with fewer than ``least`` documents of a language share one estimate for that
+language, and languages with fewer still share one for all, as no scatter of six statistics can be told from a
+handful of documents; each statistic has the noise in ``FLOOR`` besides its scatter in a group, so that ties
+don't make that singular and a group of like documents isn't judged by trifles; repeated rows count each time; other columns, whatever their names, are not
+read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,9 +37,14 @@ from kgcube.llm.words import Words, chunks, covered, gram_hashes, mix, whole
 #: log words, characters a word, and roots of the shares of symbols, repeated lines, repeated windows and short words
 FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
 D = len(FEATURES)
-#: Least standard deviation of each feature.
+#: Standard deviation of the noise that each feature is taken to have besides its scatter.
 FLOOR = (0.5, 0.5, 0.06, 0.08, 0.08, 0.05)
-ALPHA, LEAST, STEPS = 0.75, 60, 5
+ALPHA, LEAST = 0.75, 60
+#: Concentration steps of each start, and of the best one after them.
+TRIALS, STEPS = 2, 4
+STARTS = 3
+#: Least eigenvalue of a correlation matrix.
+RIDGE = 0.02
 #: Rows beyond this quantile of the chi-squared distribution are rejected.
 QUANTILE = 0.99999
 #: Group tables of at most so many rows are broadcast.
@@ -147,21 +154,59 @@ def consistency() -> float:
     return ALPHA / lo
 
 
-def effective_groups(stats: DataFrame) -> DataFrame:
+def effective_groups(stats: DataFrame, least: int) -> DataFrame:
     """(lang, source) -> group: itself, or the rest of its language, or the rest of all."""
     n = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
     own = F.to_json(F.array("lang", "source"))
-    rest = F.sum(F.when(F.col("n") < LEAST, F.col("n"))).over(W.partitionBy("lang"))
-    level = F.when(F.col("n") >= LEAST, own).when(rest >= LEAST, F.to_json(F.array("lang"))).otherwise("[]")
+    rest = F.sum(F.when(F.col("n") < least, F.col("n"))).over(W.partitionBy("lang"))
+    level = F.when(F.col("n") >= least, own).when(rest >= least, F.to_json(F.array("lang"))).otherwise("[]")
     return n.select("lang", "source", level.alias("g"))
 
 
-def _moments() -> list:
-    pairs = [(i, j) for i in range(D) for j in range(i, D)]
-    return [F.count("*").cast("double").alias("m")] + [F.sum(f).alias(f"s_{f}") for f in FEATURES] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i, j in pairs]
+PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
-PARAMS = "g string, " + ", ".join([f"c{i} double" for i in range(D)] + [f"p{i}_{j} double" for i in range(D) for j in range(i, D)])
+def _moments(x: list, prefix: str = "") -> list:
+    return [F.sum(v).alias(f"{prefix}s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"{prefix}q{i}_{j}") for i, j in PAIRS]
+
+
+PARAMS = "g string, start int, " + ", ".join([f"c{i} double" for i in range(D)] + [f"p{i}_{j} double" for i, j in PAIRS]) + ", logdet double"
+
+
+def _scatter(r: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from moments."""
+    mu, cov = np.array([r[f"{prefix}s{i}"] for i in range(D)]) / r["m"], np.zeros((D, D))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = r[f"{prefix}q{i}_{j}"] / r["m"] - mu[i] * mu[j]
+    return mu, cov
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
+    """Positive definite, whatever the covariance."""
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    r = cov / np.outer(sd, sd)
+    np.fill_diagonal(r, 1.0)
+    w, v = np.linalg.eigh(r)
+    return (v * np.maximum(w, RIDGE)) @ v.T
+
+
+def _row(g: str, start: int, mu: np.ndarray, sd: np.ndarray, r: np.ndarray) -> list:
+    cov = r * np.outer(sd, sd)
+    p = np.linalg.inv(cov)
+    return [g, start, *mu, *(p[i, j] for i, j in PAIRS), float(np.linalg.slogdet(cov)[1])]
+
+
+def _params(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in PARAMS.split(", ")])
+
+
+def _starts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        rows = []
+        for r in pdf.to_dict("records"):
+            mid, sd = (np.array([r[f"{x}{i}"] for i in range(D)]) for x in ("mid", "sd"))
+            rows += [_row(r["g"], k, mid, sd, c) for k, c in enumerate([np.eye(D), *(_correlation(_scatter(r, x)[1]) for x in ("t", "u"))])]
+        yield _params(rows)
 
 
 def _estimates(scale: float):
@@ -169,37 +214,32 @@ def _estimates(scale: float):
         for pdf in parts:
             rows = []
             for r in pdf.to_dict("records"):
-                m = r["m"]
-                mu = np.array([r[f"s_{f}"] for f in FEATURES]) / m
-                cov = np.zeros((D, D))
-                for i in range(D):
-                    for j in range(i, D):
-                        cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / m - mu[i] * mu[j]
+                mu, cov = _scatter(r)
                 cov = cov * scale + np.diag(np.square(FLOOR))
-                p = np.linalg.inv(cov)
-                rows.append([r["g"], *mu, *(p[i, j] for i in range(D) for j in range(i, D))])
-            yield pd.DataFrame(rows, columns=["g", *(f"c{i}" for i in range(D)), *(f"p{i}_{j}" for i in range(D) for j in range(i, D))])
+                rows.append(_row(r["g"], r["start"], mu, np.sqrt(np.diag(cov)), _correlation(cov)))
+            yield _params(rows)
 
     return run
 
 
 def _distance():
     x = [F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)]
-    return reduce(lambda a, b: a + b, ((1 if i == j else 2) * x[i] * x[j] * F.col(f"p{i}_{j}") for i in range(D) for j in range(i, D)))
+    return reduce(lambda a, b: a + b, ((1 if i == j else 2) * x[i] * x[j] * F.col(f"p{i}_{j}") for i, j in PAIRS))
 
 
-def _near(x, start: DataFrame) -> DataFrame:
-    """Moments of the nearest ALPHA of each group; start has the rows with column ``d2``."""
-    bins = start.withColumn("b", F.floor(F.log2(F.greatest(x, F.lit(1e-6))) * 32)).groupBy("g", "b").agg(*_moments())
-    before = F.sum("m").over(W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum("m").over(W.partitionBy("g"))
+def _near(rows: DataFrame) -> DataFrame:
+    """Moments of the nearest ALPHA of each group and start; rows have their distance in ``d2``."""
+    key = ["g", "start"]
+    bins = rows.withColumn("b", F.floor(F.log2(F.greatest("d2", F.lit(1e-6))) * 32)).groupBy(*key, "b").agg(F.count("*").cast("double").alias("m"), *_moments([F.col(f) for f in FEATURES]))
+    before = F.sum("m").over(W.partitionBy(*key).orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum("m").over(W.partitionBy(*key))
     kept = bins.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("total", total).where(F.col("before") < ALPHA * F.col("total"))
-    names = [c for c in bins.columns if c not in ("g", "b")]
-    return kept.groupBy("g").agg(*(F.sum(c).alias(c) for c in names))
+    names = [c for c in bins.columns if c not in (*key, "b")]
+    return kept.groupBy(*key).agg(*(F.sum(c).alias(c) for c in names))
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """Centre and diagonal precision from each feature's median and quartiles."""
+def _middle(rows: DataFrame) -> DataFrame:
+    """Median and scale of each feature of each group."""
     step = 64.0
     long = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f) * step).alias("v")) for i, f in enumerate(FEATURES)))).alias("x"))
     n = long.groupBy("g", "x.i", "x.v").agg(F.count("*").alias("n"))
@@ -208,30 +248,43 @@ def _first(rows: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total"), F.col("v"))) / step
     per = cum.groupBy("g", "i").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
     out = per.groupBy("g").pivot("i", list(range(D))).agg(F.first("mid").alias("mid"), F.first(F.col("hi") - F.col("lo")).alias("iqr"))
-    sd2 = [F.pow(F.col(f"{i}_iqr") / 1.349, 2) + FLOOR[i] ** 2 for i in range(D)]
-    return out.select("g", *(F.col(f"{i}_mid").alias(f"c{i}") for i in range(D)), *((1 / sd2[i] if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i in range(D) for j in range(i, D)))
+    return out.select("g", *(F.col(f"{i}_mid").alias(f"mid{i}") for i in range(D)), *(F.greatest(F.col(f"{i}_iqr") / 1.349, F.lit(float(FLOOR[i]))).alias(f"sd{i}") for i in range(D)))
+
+
+def _first(rows: DataFrame, hint) -> DataFrame:
+    """Parameters of the three starts of each group."""
+    middle = _middle(rows)
+    z = [(F.col(f) - F.col(f"mid{i}")) / F.col(f"sd{i}") for i, f in enumerate(FEATURES)]
+    norm = F.sqrt(reduce(lambda a, b: a + b, (v * v for v in z)))
+    signs = [F.when(norm > 0, v / norm).otherwise(0.0) for v in z]
+    names = [f"{x}{i}" for x in ("mid", "sd") for i in range(D)]
+    per = rows.join(hint(middle), "g").groupBy("g").agg(F.count("*").cast("double").alias("m"), *(F.first(c).alias(c) for c in names), *_moments([F.tanh(v) for v in z], "t"), *_moments(signs, "u"))
+    return per.mapInPandas(_starts, PARAMS)
 
 
-def judge(stats: DataFrame, stored) -> DataFrame:
+def judge(stats: DataFrame, stored, least: int = LEAST) -> DataFrame:
     """stats plus the distance and ``kept``; stats should be a stored table, as it is read several times."""
-    groups = effective_groups(stats)
+    groups = stored(effective_groups(stats, least))
     small = groups.count() <= BROADCAST_GROUPS
     hint = F.broadcast if small else (lambda x: x)
-    keyed = stats.withColumns({c: F.coalesce(F.to_json(F.array(c)), F.lit("")) for c in ("lang", "source")})
-    key = groups.withColumns({c: F.coalesce(F.to_json(F.array(c)), F.lit("")) for c in ("lang", "source")})
-    rows = keyed.join(hint(key), ["lang", "source"], "left")
+    with_text = lambda df: df.withColumns({c: F.coalesce(F.to_json(F.array(c)), F.lit("")) for c in ("lang", "source")})
+    rows = with_text(stats).join(hint(with_text(groups)), ["lang", "source"], "left")
     good = rows.where(~F.col("base_failed")).select("g", *FEATURES)
-    params = stored(_first(good).coalesce(1))
-    for step in range(STEPS):
-        near = _near(F.col("d2"), good.join(hint(params), "g").withColumn("d2", _distance()))
-        params = stored(near.coalesce(1).mapInPandas(_estimates(1.0 if step < STEPS - 1 else consistency()), PARAMS))
+    params = stored(_first(good, hint))
+    for step in range(TRIALS + STEPS):
+        if step == TRIALS:  # the start with the least determinant goes on
+            best = params.groupBy("g").agg(F.min_by(F.struct(*params.columns[1:]), F.struct("logdet", "start")).alias("x"))
+            params = best.select("g", "x.*")
+        near = _near(good.join(hint(params), "g").withColumn("d2", _distance()))
+        params = stored(near.mapInPandas(_estimates(1.0 if step < TRIALS + STEPS - 1 else consistency()), PARAMS))
     d2 = _distance()
     cut = chi2_quantile(QUANTILE, D)
     out = rows.join(hint(params), "g", "left").withColumn("distance2", d2)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True)))
 
 
-def quality(docs: DataFrame, stored) -> DataFrame:
-    """Base counts, distance and verdict of every document; ``stored`` writes a table and rereads it."""
-    out = judge(stored(document_statistics(docs)), stored)
+def quality(docs: DataFrame, stored, least: int = LEAST) -> DataFrame:
+    """Base counts, distance and verdict of every document; ``stored`` writes a table and rereads it, and ``least``
+    is the number of documents from which on a source of a language has an estimate of its own."""
+    out = judge(stored(document_statistics(docs)), stored, least)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
