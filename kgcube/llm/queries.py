@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kgcube.llm import op1_quality, op2_counts, op3_simhash, op4_lm, op5_toxicity, op6_decontaminate, op7_revisits, op8_pack, op9_substrings, op10_secrets
-from kgcube.llm.store import shared_folder, stored
+from kgcube.llm.store import new_folder, stored
 from kgcube.llm.tables import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,8 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
-    return op2_counts.maintained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), root)
+    return op2_counts.maintained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), new_folder(spark))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
