@@ -6,18 +6,20 @@ counts only if a validator agrees: entity tags if both have one, else dates of l
 resolved record has the payload of the response, its headers, and from the revisit those headers
 that a 304 answer may update.
 
-A URL with a third of all captures is no single task: time is cut into blocks, the last response
-before each record is found within (URL, block), and the last response of earlier blocks, one row for
+A URL with a third of all captures is no single task: time is cut into blocks at quantiles of all records, the last
+response before each record is found within (URL, block), and the last response of earlier blocks, one row for
 each URL and block, is carried into the blocks that begin without one.
 
 Defined cases: records without URL or time are never resolved (reason no-url); no earlier response: reason
 no-response; validators missing or different: reason no-validator or changed; of responses with the same
-time the one with the largest id is the latest; repeated rows are resolved each; empty tables give
-empty tables; other columns pass through under their names.
+time the one with the largest id is the latest; names of header fields compare without case, come out in lower case,
+and of several fields with one name the first counts; null headers are none; repeated rows are resolved each; empty
+tables give empty tables; further columns of a revisit pass through, unless they have the name of a result column.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,14 +38,28 @@ def canonical(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(u, "^[^/?]*", 0)), F.regexp_replace(u, "^[^/?]*", ""))
 
 
+def fields(headers: Column) -> Column:
+    """Header fields by lower-case name."""
+    names = F.transform(F.map_keys(headers), F.lower)
+    entries = F.zip_with(names, F.map_values(headers), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
+def with_block(records: DataFrame) -> DataFrame:
+    """Add ``block``, which of ``BLOCKS`` quantiles of t a record lies in."""
+    cuts = records.agg(F.percentile_approx("t", [i / BLOCKS for i in range(1, BLOCKS)])).first()[0] or []
+    edges = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    if len(edges) < 3:
+        return records.withColumn("block", F.lit(0.0))
+    cut = Bucketizer(splits=edges, inputCol="_t", outputCol="block")
+    return cut.transform(records.withColumn("_t", F.col("t").cast("double"))).drop("_t")
+
+
 def latest_earlier(records: DataFrame) -> DataFrame:
-    """records(rid, url, t, full boolean, head struct) -> those that aren't full, with ``found``: the head of
+    """records(rid, url, t, full boolean, head struct, ...) -> those that aren't full, with ``found``: t, rid and head of
     the latest full record with the same canonical URL and a smaller t."""
-    span = records.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
-    lo, width = span.lo or 0, max(1, ((span.hi or 0) - (span.lo or 0)) // BLOCKS + 1)
-    r = records.withColumn("curl", canonical(F.col("url"))).withColumn("block", F.floor((F.col("t") - F.lit(lo)) / F.lit(width)))
-    usable = F.col("curl").isNotNull() & F.col("t").isNotNull()
-    r = r.where(usable)
+    r = records.withColumn("curl", canonical(F.col("url")))
+    r = with_block(r.where(F.col("curl").isNotNull() & F.col("t").isNotNull()))
     record, order = F.struct("t", "rid", "head"), F.when(F.col("full"), F.struct("t", "rid"))
     in_block = W.partitionBy("curl", "block").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
     inside = r.withColumn("own", F.max_by(record, order).over(in_block)).where(~F.col("full"))
@@ -60,15 +76,24 @@ def latest_earlier(records: DataFrame) -> DataFrame:
 
 def merged(response: Column, revisit: Column) -> Column:
     """Headers of the response, updated by those of the revisit that may be."""
+    none = F.create_map().cast("map<string,string>")
+    response, revisit = F.coalesce(response, none), F.coalesce(revisit, none)
     may = lambda k: k.isin(*PERMITTED)
     kept = F.map_filter(response, lambda k, v: ~(may(k) & F.coalesce(F.map_contains_key(revisit, k), F.lit(False))))
     return F.map_concat(kept, F.map_filter(revisit, lambda k, v: may(k)))
 
 
+RECORD = ("rid", "url", "t", "full", "headers", "payload_id")
+RESULT = ("rid", "curl", "t", "response_id", "payload_id", "headers", "reason")
+
+
 def resolve(records: DataFrame) -> DataFrame:
-    """records(rid, url, t, full, headers map, payload_id) -> one row for each revisit: rid, curl, t,
-    response_id, payload_id, headers, reason; reason is 'resolved' or why not."""
-    r = records.select("rid", "url", F.col("t").cast("long").alias("t"), F.coalesce(F.col("full"), F.lit(False)).alias("full"), F.struct("headers", "payload_id").alias("head"))
+    """records(rid, url, t, full, headers map, payload_id, ...) -> one row for each revisit: rid, curl, t,
+    response_id, payload_id, headers, reason, ...; reason is 'resolved' or why not."""
+    others = [c for c in records.columns if c not in (*RECORD, *RESULT)]
+    head = F.struct(fields(F.col("headers")).alias("headers"), "payload_id").alias("head")
+    full = F.coalesce(F.col("full"), F.lit(False))
+    r = records.select("rid", "url", F.col("t").cast("long").alias("t"), full.alias("full"), head, F.when(~full, F.struct(F.lit(1).alias("_"), *others)).alias("rest"))
     found = latest_earlier(r)
     own, other = F.col("head.headers"), F.col("found.head.headers")
     tag = lambda h, k: F.try_element_at(h, F.lit(k))
@@ -82,7 +107,7 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     out = found.withColumn("reason", reason)
     ok = F.col("reason") == "resolved"
-    return out.select("rid", "curl", "t", F.when(ok, F.col("found.rid")).alias("response_id"), F.when(ok, F.col("found.head.payload_id")).alias("payload_id"), F.when(ok, merged(other, own)).otherwise(own).alias("headers"), "reason")
+    return out.select("rid", "curl", "t", F.when(ok, F.col("found.rid")).alias("response_id"), F.when(ok, F.col("found.head.payload_id")).alias("payload_id"), F.when(ok, merged(other, own)).otherwise(own).alias("headers"), "reason", *(F.col("rest")[c].alias(c) for c in others))
 
 
 def crawl(pages: DataFrame) -> DataFrame:
