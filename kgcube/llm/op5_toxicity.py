@@ -1,19 +1,24 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams (with marks for its ends); each n-gram has a vector in a
-hashed table, a word is the mean of its vectors, a passage of ``PASSAGE`` words is the mean over its
-distinct words (a repeated or missing word adds nothing), and a linear softmax gives the passage's class. A document is as toxic as its most toxic
-passage: a few insults in a long text aren't averaged away. Vectors and softmax are trained jointly in
-numpy with Adam (its divisor has a floor, so that n-grams of few documents move little), first on evenly spread passages of each document, then on the passage that the model
-finds most toxic. An unseen misspelling shares most n-grams with the word that it distorts.
+hashed table, a word is the mean of its vectors, a passage of ``PASSAGE`` words is their average over its
+distinct words (a repeated or missing word adds nothing), and a linear softmax gives the passage's class. Vectors
+and softmax are trained jointly in numpy with Adam (its divisor has a floor, so that n-grams of few documents move
+little), first on evenly spread passages of each document, then on the passage that the model finds most toxic.
+An unseen misspelling shares most n-grams with the word that it distorts.
+
+The average is taken over passages, and a document is as toxic as its most toxic one, as a few insults in a long
+text vanish in the average of all its words (a test compares both). As averages and softmax are linear, a model of
+any width scores as one weight for each n-gram; the width only shapes the way there.
 
 The fit takes at most ``SAMPLE`` labelled documents, those with the smallest hash of their id; all
 documents are scored, whole, without a shuffle.
 
 Defined cases: a null or empty text has the score of the bias alone; labels that are null, or of
-documents that aren't there, are not used; of several labels of one document the largest counts;
-repeated rows are scored each; without both classes among the labels every score is zero; language,
-source and id are no inputs of a score.
+documents that aren't there, are not used; of several labels of one document the largest counts, and of several
+texts under one id the first in order; repeated rows and rows with a null id are scored each; without both classes
+among the labels every score is zero; a text of any length is scored whole; language, source, id and further columns,
+whatever their names, are no inputs of a score; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -179,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
