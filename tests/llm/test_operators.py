@@ -103,10 +103,31 @@ def test_counts_are_idempotent(spark, docs):
         if i % 2:
             want[source, lang] += len(words(t))
     assert {(r.source, r.lang): r.n_tokens for r in roll.totals().collect()} == dict(want)
+    for _ in range(2):  # the totals are a table of their own, and batches in it stay committed
+        roll.compact()
+        assert roll.waiting(roll.base()) == [] and not roll.commit("a", one) and not roll.commit("b", gone)
+    assert roll.base() == 1 and {(r.source, r.lang): r.n_tokens for r in roll.totals().collect()} == dict(want)
     roll.commit("c", op2_counts.deletes(counts.where("doc_id % 2 = 1"), "white-1", "white"))
     assert roll.totals().count() == 0
 
 
+def test_counts_are_revised_and_folded(spark, docs, empty):
+    counts = op2_counts.token_counts(docs.where("source is not null or true")).withColumn("new", F.col("white") + 2)
+    counts = counts.withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source")))
+    roll = op2_counts.Rollup(spark, f"{shared_folder(spark)}/roll-{random.random()}", fold=2)
+    roll.commit("in", op2_counts.inserts(counts, "white-1", "white"))
+    roll.commit("up", op2_counts.revisions(counts.where("doc_id < 30"), "white-1", "white", "new"))
+    assert roll.base() == 1 and not roll.commit("up", op2_counts.revisions(counts, "white-1", "white", "new"))
+    roll.commit("none", op2_counts.inserts(op2_counts.token_counts(empty), "white-1", "white"))
+    want, n = collections.Counter(), collections.Counter()
+    for i, t, lang, source, _ in corpus():
+        key = (None if i % 7 == 0 else source, lang)
+        want[key] += len(words(t)) + 2 * (i < 30)
+        n[key] += 1
+    got = roll.totals().collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {k: (n[k], want[k]) for k in n}
+
+
 def fingerprint(t):
     w = words(lower(t))
     h = [xxhash.xxh64_intdigest(" ".join(w[j : j + 3]).encode(), 42) for j in range(max(1, len(w) - 2))] if w else []
@@ -169,6 +190,22 @@ def test_golay_keys_and_hot_groups(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("members", [op3_simhash.PAIRS, op3_simhash.PAIRS + 1])
+def test_keys_at_the_bound_of_pairs(spark, members):
+    rng = random.Random(members)  # all share two segments, so one key has exactly so many members
+    last = [rng.getrandbits(21) for _ in range(members // 2)]
+    last += [x ^ 1 << rng.randrange(21) ^ 1 << rng.randrange(21) for x in last]
+    while len(set(last)) < members:
+        last.append(rng.getrandbits(21))
+    fps = sorted({0x2AAAAAAAAAA | x << 43 for x in last})[:members]
+    keys = collections.Counter(op3_simhash.golay_keys(np.array(fps, np.uint64))[1].tolist())
+    assert max(keys.values()) == members == len(fps)
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "node long, fp long")
+    got = {r.node: r.root for r in components(op3_simhash.links(nodes)).collect()}
+    want = merged(range(len(fps)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < members
+
+
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
@@ -270,6 +307,69 @@ def test_toxicity_held_out(spark, empty):
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.7}
 
 
+def slow_scores(text, weight, bias):
+    """The same score, a word at a time, with n-grams hashed one by one."""
+
+    def gram(g):
+        h = len(g)
+        for c in g:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return (h ^ h >> 31) % op5_toxicity.BUCKETS
+
+    def word(w):
+        w = f"<{w}>"
+        grams = [gram(w[i : i + n]) for n in op5_toxicity.GRAMS for i in range(len(w) - n + 1)]
+        return sum(weight[g] for g in grams) / len(grams)
+
+    w, n = words(lower(text)), op5_toxicity.PASSAGE
+    logits = [sum(map(word, set(w[i : i + n]))) / n + bias for i in range(0, len(w), n)] or [bias]
+    return 1 / (1 + math.exp(-max(logits)))
+
+
+def test_toxicity_scores_against_plain_python():
+    rng = np.random.default_rng(3)
+    weight, bias = rng.normal(0, 30, op5_toxicity.BUCKETS), -0.4
+    texts = [t for _, t, *_ in corpus()] + ["Ab aB AB ab", "x"]
+    got = op5_toxicity.scores(pa.array(texts), (weight, bias))
+    assert np.allclose(got, [slow_scores(t, weight, bias) for t in texts], rtol=1e-9)
+
+
+def test_passages_find_what_averages_lose():
+    rng = random.Random(9)
+    good = [f"wor{a}{b}" for a in "abcdefg" for b in "hijklmnop"]
+    make = lambda toxic: [rng.choice(good) for _ in range(1500)] + ["blockhead"] * (2 * toxic)
+    texts = [" ".join(rng.sample(w, len(w))) for w in (make(i % 4 == 0) for i in range(200))]
+    y = np.array([int(i % 4 == 0) for i in range(200)])
+    model = op5_toxicity.fit(pa.array(texts[:120]), y[:120])
+    found = op5_toxicity.scores(pa.array(texts[120:]), model) >= op5_toxicity.THRESHOLD
+    assert (found == y[120:]).mean() > 0.95
+    old = op5_toxicity.PASSAGE
+    op5_toxicity.PASSAGE = 2000  # a whole document is one passage
+    try:
+        model = op5_toxicity.fit(pa.array(texts[:120]), y[:120])
+        average = op5_toxicity.scores(pa.array(texts[120:]), model) >= op5_toxicity.THRESHOLD
+    finally:
+        op5_toxicity.PASSAGE = old
+    assert (average & (y[120:] == 1)).sum() < (found & (y[120:] == 1)).sum()
+
+
+def test_repeated_rows_and_ids(spark):
+    """Rows of one id, with one text or several, and null ids are rows of the result each."""
+    a, b = sentence(80, random.Random(1)), sentence(80, random.Random(2))
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (None, a, None, None, None), (None, None, None, None, None), (2, a + " " + b, "fr", None, 2)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"id": F.lit("x"), "h": F.lit("x"), "bucket": F.lit("x"), "g": F.lit("x"), "rid": F.lit("x")})
+    y = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    for out in (op1_quality.quality(df, stored), op3_simhash.near_duplicates(df, stored), op4_lm.score(df), op5_toxicity.score(df, y), op6_decontaminate.scan(df, bench), op9_substrings.remove_repeats(df), op10_secrets.scan(df)):
+        assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 1, 1, 2]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in op9_substrings.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, 80, 0), (1, 80, 0), (1, 80, 0), (None, 80, 80), (None, 0, 0), (2, 160, 160)], key=str)
+    kept = {(r.doc_id, r.kept) for r in op9_substrings.remove_repeats(df, texts=True).collect()}
+    assert kept == {(1, " ".join(words(a))), (1, " ".join(words(b))), (None, ""), (2, "")}
+
+
 def test_decontamination(spark, docs, empty):
     rows = corpus()
     items = [(1, rows[5][1]), (2, " ".join(words(rows[74][1])[1000:1040])), (3, "two Words"), (10, None), (11, "..."), (12, rows[5][1]), (None, "one"), (4, sentence(30))]
@@ -295,11 +395,14 @@ def test_decontamination(spark, docs, empty):
     check(got)
     assert any(r.contaminated for r in got.values()) and op6_decontaminate.scan(empty, bench).count() == 0
     assert not any(r.n_hit for r in op6_decontaminate.scan(docs, empty.withColumnRenamed("doc_id", "item_id")).collect())
-    assert len(op6_decontaminate.broadcast_blocks(bench, 64)) > 2
+    assert len(op6_decontaminate.broadcast_blocks(op6_decontaminate.items_of(bench), 64)) > 2
     kept = op6_decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
     cut = by_id(op6_decontaminate.clean(docs, bench, spans=True))
     assert all(len(alnum(cut[i].text)) == got[i].n_words - got[i].n_hit for i in got)
+    assert len(op6_decontaminate.passes(bench, 100)) > 2  # a benchmark beyond the bound goes out in passes
+    check(by_id(op6_decontaminate.scan(docs, bench, most=100)))
+    assert sorted(map(str, op6_decontaminate.clean(docs, bench, spans=True, most=100).collect())) == sorted(map(str, cut.values()))
 
 
 def test_decontamination_in_blocks(docs, monkeypatch, spark):
@@ -323,6 +426,13 @@ def test_revisits(spark):
         3: ("resolved", 1), 4: ("resolved", 2), 5: ("changed", None), 6: ("no-response", None), 7: ("no-url", None), 8: ("no-url", None), 9: ("no-response", None), 10: ("no-validator", None), 12: ("resolved", 11),
     }
     assert got[4].headers == {"etag": "2", "server": "s", "date": "later"} and got[4].payload_id == 2
+    upper = df.withColumns({"headers": F.transform_keys("headers", lambda k, v: F.upper(k)), "curl": F.lit("clash"), "note": F.concat(F.lit("n"), "rid"), "rest": F.lit(3)}).where("rid > 2")
+    mixed = df.where("rid <= 2").withColumns({"curl": F.lit("clash"), "note": F.lit("x"), "rest": F.lit(4)}).unionByName(upper)
+    again = {r.rid: r for r in op7_revisits.resolve(mixed.union(mixed.where("rid = 3"))).collect()}
+    assert {k: (r.reason, r.response_id, r.headers, r.curl) for k, r in again.items()} == {k: (r.reason, r.response_id, r.headers, r.curl) for k, r in got.items()}
+    assert all(r.note == f"n{k}" and r.rest == 3 for k, r in again.items()) and op7_revisits.resolve(mixed.union(mixed.where("rid = 3"))).count() == len(got) + 1
+    wild = df.union(spark.createDataFrame([(99, "http://z.com", 10**15, True, None, None)], df.schema))
+    assert {r.rid: r.reason for r in op7_revisits.resolve(wild).collect()} == {k: r.reason for k, r in got.items()}
     assert op7_revisits.resolve(df.limit(0)).count() == 0
 
 
@@ -427,6 +537,46 @@ def test_repeated_passages(spark, docs, empty):
     assert op9_substrings.remove_repeats(empty).count() == 0
 
 
+def test_symbols_of_any_number_of_words():
+    for size in (2, 128, 129, 1 << 14, (1 << 14) + 1, (1 << 21) + 1, 1 << 28):
+        codes = np.array([0, 1, size - 1, size // 2])
+        text, k = op9_substrings.symbols(codes, size)
+        parts = [text[i : i + k] for i in range(0, len(text), k)]
+        assert len(text) == k * len(codes) and len(set(parts)) == len(set(codes.tolist())) and 128**k >= size
+
+
+def test_anchors_are_least_phrases():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 40, 3000).astype(np.uint64)  # few words: many ties
+    h[500:900] = 7
+    old = op9_substrings.AT_BITS
+    op9_substrings.AT_BITS = 9  # in blocks
+    try:
+        phrases, place = op9_substrings.anchors(h, np.arange(len(h) - 49))
+    finally:
+        op9_substrings.AT_BITS = old
+    top = phrases >> np.uint64(9)
+    for i in range(len(h) - 49):
+        assert place[i] == i + int(np.argmin(top[i : i + 35]))
+
+
+def test_a_common_phrase_does_not_multiply_passages(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase, rows = " ".join(f"common{i}" for i in range(40)), []
+    for k in range(40):  # each passage is in two documents, and all have the phrase
+        passage = " ".join(f"w{k}x{rng.randrange(99)}" for _ in range(60)) + " " + phrase + " " + " ".join(f"w{k}y{rng.randrange(99)}" for _ in range(60))
+        rows += [(2 * k, passage), (2 * k + 1, passage + " end")]
+    sent = []
+    monkeypatch.setattr(op9_substrings, "bucket_pieces", lambda *a, f=op9_substrings.bucket_pieces: f(*a))
+    import kgcube.llm.store as store
+
+    monkeypatch.setattr(store, "stored", lambda df, *by, f=store.stored: (sent.append(f(df, *by)), sent[-1])[1])
+    got = by_id(op9_substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[2 * k].n_removed == 0 and got[2 * k + 1].n_removed == 160 for k in range(40))
+    wanted = sent[-1]
+    assert wanted.columns == ["rid", "block", "bucket"] and wanted.count() <= 80  # one or two blocks of each passage, to the bucket of its copy
+
+
 SECRET = "password: hunter2xyz"
 
 
