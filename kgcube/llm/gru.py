@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 
 HIDDEN, CLASS_SIZE, CLASS_MASS = 32, 40, 1 / 32
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 384
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 256, 384
 RATE, CLIP = 8e-3, 1.0
 #: In training, longer documents are taken as stretches of so many tokens, so that lanes end together;
 #: a stretch starts with a new state and the token before it.
@@ -78,103 +78,145 @@ class Model:
         return self
 
     def run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, record: bool):
-        """States after each of the inputs x (steps, lanes); keep is 0 where the state starts anew."""
-        p, H = self.p, HIDDEN
+        """States after each of the inputs x (steps, lanes); keep is 0 where the state starts anew. Also the last
+        state, and if recorded for the way back: states before, both gates, reset states and candidates of all steps.
+        All that a window needs is small enough for a core's share of the cache."""
+        p, H, kind = self.p, HIDDEN, h.dtype
         steps, n = x.shape
-        states = np.empty((steps, n, H), np.float32)
-        kept = []
+        for_gates, for_new = (np.ascontiguousarray(part) for part in np.split(p["X"], [2 * H], axis=1))
+        states, a, b = np.empty((steps, n, H), kind), np.empty((n, 2 * H), kind), np.empty((n, H), kind)
+        before, reset, new = (np.empty((steps if record else 1, n, H), kind) for _ in range(3))
+        gates = np.empty((steps if record else 1, n, 2 * H), kind)
         for t in range(steps):
-            h = h * keep[t][:, None]
-            a = p["X"][x[t]]
-            g = a[:, : 2 * H] + h @ p["U"]
+            k, out = t if record else 0, states[t]
+            old, g, r, c = before[k], gates[k], reset[k], new[k]
+            np.take(for_gates, x[t], axis=0, out=a, mode="clip")
+            np.take(for_new, x[t], axis=0, out=b, mode="clip")
+            np.multiply(h, keep[t][:, None], out=old)
+            np.matmul(old, p["U"], out=g)
+            g += a
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            z, r = g[:, :H], g[:, H:]
-            c = np.tanh(a[:, 2 * H :] + (r * h) @ p["N"])
-            if record:
-                kept.append((h, z, r, c))
-            h = c + z * (h - c)
-            states[t] = h
-        return states, h, kept
+            np.multiply(g[:, H:], old, out=r)
+            np.matmul(r, p["N"], out=c)
+            c += b
+            c *= -2  # tanh x = 2 / (1 + exp(-2 x)) - 1
+            np.minimum(c, 80, out=c)
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
+            np.subtract(old, c, out=out)
+            out *= g[:, :H]
+            out += c
+            h = out
+        return states, h, (before, gates, reset, new)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log P of targets y after states h; with grads, also the gradient of -log P by h, over a full window's tokens."""
         p, n = self.p, len(y)
-        cls, pos = self.cls[y], self.pos[y]
-        logit = h @ p["C"] + p["c"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
+        order = np.argsort(self.cls[y].astype(np.int16), kind="stable")  # a radix sort: tokens of one class lie together
+        h, y = h[order], y[order]
+        cls, pos, rows = self.cls[y], self.pos[y], np.arange(n)
+        e = h @ p["C"]
+        e += p["c"]
+        np.minimum(e, 60, out=e)  # far above what logits are; no exponential overflows, so none is shifted
+        at = e[rows, cls]
+        np.exp(e, out=e)
         total = e.sum(1)
-        rows = np.arange(n)
-        logp = (logit[rows, cls] - np.log(total)).astype(np.float64)
+        logp = (at - np.log(total)).astype(np.float64)
         dh = None
+        scale = h.dtype.type(1 / (TRAIN_LANES * WINDOW))
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            d /= TRAIN_LANES * WINDOW
-            grads["C"], grads["c"] = h.T @ d, d.sum(0)
-            dh = d @ p["C"].T
+            e *= (scale / total)[:, None]
+            e[rows, cls] -= scale
+            grads["C"], grads["c"] = h.T @ e, e.sum(0)
+            dh = e @ p["C"].T
             grads["W"], grads["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # a radix sort
-        edges = np.searchsorted(cls[order], np.arange(len(p["c"]) + 1))
-        for k in range(len(p["c"])):
-            i = order[edges[k] : edges[k + 1]]
-            if not len(i) or self.single[k]:
+        edges = np.searchsorted(cls, np.arange(len(p["c"]) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a == b or self.single[k]:
                 continue
-            hk, pk = h[i], pos[i]
-            logit = hk @ p["W"][k] + p["w"][k]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
+            hk, pk, some = h[a:b], pos[a:b], rows[: b - a]
+            e = hk @ p["W"][k]
+            e += p["w"][k]
+            np.minimum(e, 60, out=e)
+            at = e[some, pk]
+            np.exp(e, out=e)
             total = e.sum(1)
-            rows = np.arange(len(i))
-            logp[i] += logit[rows, pk] - np.log(total)
+            logp[a:b] += at - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[rows, pk] -= 1
-                d /= TRAIN_LANES * WINDOW
-                grads["W"][k], grads["w"][k] = hk.T @ d, d.sum(0)
-                dh[i] += d @ p["W"][k].T
-        return logp, dh
-
-    def back(self, x: np.ndarray, keep: np.ndarray, kept: list, dstates: np.ndarray, grads: dict) -> None:
+                e *= (scale / total)[:, None]
+                e[some, pk] -= scale
+                grads["W"][k], grads["w"][k] = hk.T @ e, e.sum(0)
+                dh[a:b] += e @ p["W"][k].T
+        out = np.empty(n)
+        out[order] = logp
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
+        return out, dh
+
+    def back(self, x: np.ndarray, keep: np.ndarray, kept: tuple, dstates: np.ndarray, grads: dict) -> None:
+        """Gradients of X, U and N from those of the states, through the steps of the window. What was kept of gates
+        and candidates makes room for their gradients."""
         p, H = self.p, HIDDEN
+        before, gates, reset, new = kept
         steps, n = x.shape
-        da = np.empty((steps, n, 3 * H), np.float32)
-        carry = np.zeros((n, H), np.float32)
+        back_n, back_u = np.ascontiguousarray(p["N"].T), np.ascontiguousarray(p["U"].T)
+        carry, dreset, one, dz, dr = (np.zeros((n, H), new.dtype) for _ in range(5))
         for t in range(steps - 1, -1, -1):
-            h, z, r, c = kept[t]
-            d = dstates[t] + carry
-            dc = d * (1 - z) * (1 - c * c)
-            drh = dc @ p["N"].T
-            da[t, :, :H] = d * (h - c) * z * (1 - z)
-            da[t, :, H : 2 * H] = drh * h * r * (1 - r)
-            da[t, :, 2 * H :] = dc
-            carry = (d * z + drh * r + da[t, :, : 2 * H] @ p["U"].T) * keep[t][:, None]
-        h = np.stack([k[0] for k in kept]).reshape(-1, H)
-        rh = np.stack([k[2] * k[0] for k in kept]).reshape(-1, H)
-        flat = da.reshape(-1, 3 * H)
-        grads["U"], grads["N"] = h.T @ flat[:, : 2 * H], rh.T @ flat[:, 2 * H :]
+            old, z, r, c = before[t], gates[t, :, :H], gates[t, :, H:], new[t]
+            carry += dstates[t]
+            np.subtract(old, c, out=dz)  # to dz: d (h - c) z (1 - z)
+            dz *= carry
+            dz *= z
+            np.subtract(1, z, out=one)
+            dz *= one
+            one *= carry  # to c: d (1 - z) (1 - c c)
+            c *= c
+            np.subtract(1, c, out=c)
+            c *= one
+            np.matmul(c, back_n, out=dreset)
+            np.multiply(dreset, reset[t], out=dr)  # to dr: dreset h r (1 - r)
+            np.subtract(1, r, out=one)
+            dr *= one
+            carry *= z
+            dreset *= r
+            carry += dreset
+            gates[t, :, :H], gates[t, :, H:] = dz, dr
+            carry += gates[t] @ back_u
+            carry *= keep[t][:, None]
+        flat = gates.reshape(-1, 2 * H), new.reshape(-1, H)
+        grads["U"], grads["N"] = before.reshape(-1, H).T @ flat[0], reset.reshape(-1, H).T @ flat[1]
         order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         grads["X"] = np.zeros_like(p["X"])
-        grads["X"][ids[first]] = np.add.reduceat(flat[order], first)
+        grads["X"][ids[first], : 2 * H] = np.add.reduceat(flat[0][order], first)
+        grads["X"][ids[first], 2 * H :] = np.add.reduceat(flat[1][order], first)
 
     def update(self, grads: dict) -> None:
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, CLIP / max(norm, 1e-12))
         self.t += 1
-        rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = np.float32(RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            g = g.astype(np.float32) * np.float32(scale)
             m, v = self.m[k], self.v[k]
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            self.p[k] -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
+            g *= np.float32(scale)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.999)
+            v += np.float32(0.001) * g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= rate
+            self.p[k] -= g
 
     def windows(self, docs: list[np.ndarray], most: int, before: list[int] | None = None):
         """Documents in lanes: (inputs, targets, document of each target or -1, keep) for each window.

@@ -6,14 +6,16 @@ probability of that id, given the state, times its share among such words. The n
 anew with each document and is carried across windows, so a document's score is the likelihood of all
 of it, however long.
 
-Every training document is trained on, once. Tasks train copies of the network on their documents by
-truncated backpropagation and the copies are averaged, weighted by tokens, after each of three rounds
-that grow from a sixty-fourth of the documents to most of them. Counts of the ``HEAD`` most frequent
+Every training document is trained on, once. Tasks of ``TASK_TOKENS`` tokens each train copies of the network
+on their documents by truncated backpropagation and the copies are averaged, weighted by tokens, after each
+of four rounds that grow from a sixty-fourth of the documents to most of them; neither the size of the cluster
+nor that of the input changes what a task does. Counts of the ``HEAD`` most frequent
 words are broadcast; other words, none of them frequent, are joined with the table of counts.
 
 Defined cases: a null text is empty and has the end as its only token; a null doc_id counts as an empty
-text in the choice of held-out documents; repeated rows are scored, and counted, each; an empty table
-gives an empty table; if no document is left to train on, every token is unknown.
+text in the choice of held-out documents; repeated rows are scored, and counted, each; other columns, whatever
+their names, are not read; an empty table gives an empty table; if no document is left to train on, every token
+is unknown.
 """
 
 from __future__ import annotations
@@ -32,11 +34,14 @@ from kgcube.llm.gru import Model
 from kgcube.llm.words import Words, chunks
 
 VOCABULARY, HEAD = 1000, 150_000
-#: Tokens that are worth a training task of their own, and documents it takes up at a time.
-TASK_TOKENS, TRAIN_DOCS = 300_000, 1024
+#: Tokens of a training task, and documents it takes up at a time.
+TASK_TOKENS, TRAIN_DOCS = 2_000_000, 1024
 #: Shares of the training documents, in sixty-fourths, up to which the rounds go.
-ROUNDS = (1, 8, 64)
-PIECE = 8192
+ROUNDS = (1, 4, 16, 64)
+#: Counts of words that a task holds to look those of rare words up.
+JOINED = 200_000
+#: Parameters that are averaged together.
+PIECE = 1024
 END = ""
 
 ENCODED = "rid long, doc_id long, held_out boolean, round int, ids binary, n_tokens long, head_known long, head_base double, head_rare double, tail array<struct<word:string,n:int>>"
@@ -107,8 +112,8 @@ def encode(docs: DataFrame, lex) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lex.value
         value_set = pa.array(x.words, pa.large_string())
-        ids = np.append(x.id, x.rare)
-        counts = np.append(x.counts, 0)
+        ids = np.append(x.id, x.rare).astype("<i2")
+        base_of, rare_of = np.append(x.base(x.counts), 0.0), np.append(np.where(x.id == x.rare, x.among_rare(x.counts), 0.0), 0.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch):
@@ -116,23 +121,24 @@ def encode(docs: DataFrame, lex) -> DataFrame:
                 codes, words = w.codes()
                 at = np.asarray(pc.fill_null(pc.index_in(words, value_set=value_set), len(x.words)), np.int64)
                 word = at[codes] if len(codes) else codes
-                c, head = counts[word], word < len(x.words)
+                head = word < len(x.words)
                 n = part.num_rows
                 total = lambda v: np.bincount(w.doc, v, minlength=n)
-                base = total(np.where(head, x.base(c), 0)) + x.base(x.n_end)
-                rare = total(np.where(head & (ids[word] == x.rare), x.among_rare(c), 0))
-                known = total(head).astype(np.int64) + (x.n_end > 0)
-                pairs, times = np.unique(np.stack([w.doc[~head], codes[~head]]), axis=1, return_counts=True)
-                tails = pa.StructArray.from_arrays([words.take(pa.array(pairs[1])).cast(pa.string()), pa.array(times, pa.int32())], names=["word", "n"])
-                edges = np.searchsorted(pairs[0], np.arange(n + 1)).astype(np.int32)
-                tokens = ids[word].astype("<i2")
-                raw = [np.append(tokens[a:b], np.int16(x.end)).astype("<i2").tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+                base, rare, known = total(base_of[word]) + x.base(x.n_end), total(rare_of[word]), np.bincount(w.doc[head], minlength=n) + (x.n_end > 0)
+                pairs, times = np.unique(w.doc[~head] * len(words) + codes[~head], return_counts=True)
+                own, other = np.divmod(pairs, max(len(words), 1))
+                tails = pa.StructArray.from_arrays([words.take(pa.array(other)).cast(pa.string()), pa.array(times, pa.int32())], names=["word", "n"])
+                edges = np.searchsorted(own, np.arange(n + 1)).astype(np.int32)
+                tokens = np.full(len(word) + n, x.end, "<i2")  # each text is followed by the end
+                tokens[np.arange(len(word)) + w.doc] = ids[word]
+                ends = ((w.first + np.arange(n + 1)) * 2).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
                 held = held_out(part.column("doc_id"))
                 rid = row + np.arange(n)
                 row += n
                 bucket = (rid * 0x9E3779B1 >> 7) % ROUNDS[-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), part.column("doc_id"), pa.array(held), pa.array(np.where(held, -1, np.searchsorted(ROUNDS, bucket, "right")).astype(np.int32)), pa.array(raw, pa.binary()), pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(rare), pa.ListArray.from_arrays(pa.array(edges), tails)],
+                    [pa.array(rid), part.column("doc_id"), pa.array(held), pa.array(np.where(held, -1, np.searchsorted(ROUNDS, bucket, "right")).astype(np.int32)), raw, pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(rare), pa.ListArray.from_arrays(pa.array(edges), tails)],
                     names=["rid", "doc_id", "held_out", "round", "ids", "n_tokens", "head_known", "head_base", "head_rare", "tail"],
                 )
 
@@ -171,14 +177,20 @@ def train(encoded: DataFrame, lex: Lexicon) -> np.ndarray:
                 pieces = [own[i : i + PIECE].astype("<f4").tobytes() for i in range(0, len(own), PIECE)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.binary())], names=["piece", "weight", "w"])
 
-        def mean(table: pa.Table) -> pa.Table:
-            w = np.array(table.column("weight"))
-            x = np.stack([np.frombuffer(b, "<f4") for b in table.column("w").to_pylist()])
-            return pa.table({"piece": table.column("piece").slice(0, 1), "w": pa.array([(w @ x / w.sum()).astype("<f4").tobytes()], pa.binary())})
-
-        tasks = int(max(1, min(spark.sparkContext.defaultParallelism, tokens // TASK_TOKENS)))
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list] = {}  # one row of each copy comes after the other; only sums are held
+            for batch in batches:
+                for piece, weight, w in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "w")), strict=True):
+                    x = total.setdefault(piece, [0.0, 0.0])
+                    x[0] += weight
+                    x[1] = x[1] + weight * np.frombuffer(w, "<f4").astype(np.float64)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in total.values()], pa.binary())], names=["piece", "w"])
+
+        tasks = int(max(1, -(-tokens // TASK_TOKENS)))
         dealt = encoded.where(F.col("round") == k).select("rid", "ids").repartition(tasks, "rid").sortWithinPartitions("rid")
-        parts = dealt.select("ids").mapInArrow(run, "piece int, weight double, w binary").groupBy("piece").applyInArrow(mean, "piece int, w binary").collect()
+        copies = dealt.select("ids").mapInArrow(run, "piece int, weight double, w binary")
+        parts = copies.repartition("piece").mapInArrow(mean, "piece int, w binary").collect()
         flat = np.concatenate([np.frombuffer(w, "<f4") for _, w in sorted(map(tuple, parts))])
     return flat
 
@@ -202,7 +214,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in SCORED.split(", ")]
     scored = encoded.select(*names[:4], "head_known", "head_base", "head_rare", "ids").mapInArrow(run, SCORED)
-    tail = encoded.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.n").alias("k")).join(counts, "word", "left")
+    tail = encoded.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
+    parts = int(lex.distinct // JOINED + 1)  # so a part's counts fit into a hash table; no word in the tail is frequent
+    tail = tail.repartition(parts, "word").join(counts.repartition(parts, "word").hint("shuffle_hash"), "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1)
     tail = tail.groupBy("rid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("tail_known"),
