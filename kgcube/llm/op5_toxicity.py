@@ -8,8 +8,8 @@ little), first on evenly spread passages of each document, then on the passage t
 An unseen misspelling shares most n-grams with the word that it distorts.
 
 The average is taken over passages, and a document is as toxic as its most toxic one, as a few insults in a long
-text vanish in the average of all its words (a test compares both). As averages and softmax are linear, a model of
-any width scores as one weight for each n-gram; the width only shapes the way there.
+text vanish in the average of all its words (the README compares both). As averages and softmax are linear, a model
+of any width scores as one weight for each n-gram; the width only shapes the way there.
 
 The fit takes at most ``SAMPLE`` labelled documents, those with the smallest hash of their id; all
 documents are scored, whole, without a shuffle.

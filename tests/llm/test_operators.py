@@ -336,25 +336,6 @@ def test_toxicity_scores_against_plain_python():
     assert np.allclose(got, [slow_scores(t, weight, bias) for t in texts], rtol=1e-9)
 
 
-def test_passages_find_what_averages_lose():
-    rng = random.Random(9)
-    good = [f"wor{a}{b}" for a in "abcdefg" for b in "hijklmnop"]
-    make = lambda toxic: [rng.choice(good) for _ in range(1500)] + ["blockhead"] * (2 * toxic)
-    texts = [" ".join(rng.sample(w, len(w))) for w in (make(i % 4 == 0) for i in range(200))]
-    y = np.array([int(i % 4 == 0) for i in range(200)])
-    model = op5_toxicity.fit(pa.array(texts[:120]), y[:120])
-    found = op5_toxicity.scores(pa.array(texts[120:]), model) >= op5_toxicity.THRESHOLD
-    assert (found == y[120:]).mean() > 0.95
-    old = op5_toxicity.PASSAGE
-    op5_toxicity.PASSAGE = 2000  # a whole document is one passage
-    try:
-        model = op5_toxicity.fit(pa.array(texts[:120]), y[:120])
-        average = op5_toxicity.scores(pa.array(texts[120:]), model) >= op5_toxicity.THRESHOLD
-    finally:
-        op5_toxicity.PASSAGE = old
-    assert (average & (y[120:] == 1)).sum() < (found & (y[120:] == 1)).sum()
-
-
 def test_repeated_rows_and_ids(spark):
     """Rows of one id, with one text or several, and null ids are rows of the result each."""
     a, b = sentence(80, random.Random(1)), sentence(80, random.Random(2))

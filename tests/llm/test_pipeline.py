@@ -4,6 +4,7 @@ import collections
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from kgcube.llm import op5_toxicity, op10_secrets
+from kgcube.llm import queries as llm_queries
 from kgcube.llm.store import stored
 
 from test_operators import SCHEMA, fingerprint, lower, merged, sentence
@@ -33,6 +35,18 @@ def test_stages_take_effect(spark):
     assert got == want and {i for i, _ in got} == {r.doc_id for r in docs.collect()}
 
 
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = entry.queries()[name](spark, SF), con.sql(llm_queries.oracle_sql()[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns) and got.count() > 0
+    rows = lambda columns, values: sorted(str([r[columns.index(c)] for c in order]) for r in values)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
 def contaminated(text, items):
     alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     windows = {tuple(w[i : i + 13]) for w in map(alnum, items) for i in range(max(1, len(w) - 12)) if w}
