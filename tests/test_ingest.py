@@ -174,3 +174,17 @@ def test_percentiles_of_nulls_and_ties(spark):
     got = {r.schema_id: (r.n, r.p50, r.p95) for r in L.latency(log, "schema_id").collect()}
     assert got[None][:2] == (3, 5.0) and abs(got[None][2] - 7.7) < 1e-9 and got["a"] == (1, None, None) and got["b"] == (1, None, None)
     assert L.latency(log).count() == 1 and L.latency(log.limit(0)).count() == 1
+
+
+def test_registered_roll_up(spark):
+    from kgcube.plans import cube
+
+    cube.register_roll_up("first_letter", lambda c: F.substring(c, 1, 1))
+    try:
+        levels = [{"name": "letter", "depth": 0}, {"name": "word", "depth": 1, "rollup_to": "letter", "rollup_function": "first_letter"}]
+        own = Cube.load({"id": "words", "dimensions": {"text": {"levels": levels}}})
+        assert own.scope(spark, {"text": {"word": "abc"}}) == {"text": ["a", "abc"]}
+        flags = {(r.level, r.other): r.rolls_up for r in own.level_order(spark).collect()}
+        assert flags == {("letter", "letter"): True, ("letter", "word"): False, ("word", "letter"): True, ("word", "word"): True}
+    finally:
+        del cube.ROLL_UPS["first_letter"]
