@@ -548,7 +548,6 @@ def test_a_common_phrase_does_not_multiply_passages(spark, monkeypatch):
         passage = " ".join(f"w{k}x{rng.randrange(99)}" for _ in range(60)) + " " + phrase + " " + " ".join(f"w{k}y{rng.randrange(99)}" for _ in range(60))
         rows += [(2 * k, passage), (2 * k + 1, passage + " end")]
     sent = []
-    monkeypatch.setattr(op9_substrings, "bucket_pieces", lambda *a, f=op9_substrings.bucket_pieces: f(*a))
     import kgcube.llm.store as store
 
     monkeypatch.setattr(store, "stored", lambda df, *by, f=store.stored: (sent.append(f(df, *by)), sent[-1])[1])
