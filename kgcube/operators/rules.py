@@ -1,11 +1,11 @@
 """Derived knowledge: rule closure over the triples of each context against a TBox.
 
-Facts are (context_id, s, p, o, is_literal, datatype, lang); the TBox is (s, p, o), schema axioms only,
-closed under class and property chains once, so that a round of the closure takes a fact all the way up. Closure
-is semi-naive: each round joins what the last one found with the axioms, which are broadcast if they are few, and
-the rules over two facts join it with those facts that they can use. What is derived is compared only with facts
-that some axiom can derive. Rules without axioms don't run. Each round is written to the shared folder, so the
-plan doesn't grow and lost executors cost one round at most.
+Facts are (context_id, s, p, o, is_literal, datatype, lang), or a graph of numbered terms; the rules see numbers only. The
+TBox is (s, p, o), schema axioms only, closed under class and property chains once, so that a round of the closure
+takes a fact all the way up. Closure is semi-naive: each round joins what the last one found with the axioms, which are
+broadcast if they are few, and the rules over two facts join it with those facts that they can use. What is derived
+is compared only with facts that some axiom can derive. Rules without axioms don't run. Each round is written to the
+shared folder, so the plan doesn't grow and lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgcube.operators.terms import Dictionary, Graph, is_resource, resources, statements
 from kgcube.operators.triples import RDF_TYPE, TRIPLE
-from kgcube.sources.tables import MOST_BROADCAST_ROWS, small, stored
+from kgcube.sources.tables import MOST_BROADCAST_ROWS, local, small, stored
 
 # RDF, RDFS and OWL terms.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -30,6 +31,7 @@ INTERSECTION, SOME, VALUE, ON = OWL + "intersectionOf", OWL + "someValuesFrom",
 META = [RDFS + "Class", RDFS + "Datatype", RDF + "Property", OWL + "Class", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "Restriction", RDF + "List"]
 
 FACT = ["context_id", *TRIPLE]
+CODED = ["context_id", "s", "p", "o"]
 
 
 def tbox_from_dimension(table: DataFrame, levels: list[str], base: str) -> DataFrame:
@@ -53,36 +55,58 @@ def tbox_version(tbox: DataFrame) -> DataFrame:
 
 
 def reachable(tbox: DataFrame, predicate: str) -> DataFrame:
-    """(sub, sup) of all chains of one predicate, by doubling, without sub = sup."""
-    pairs = stored(tbox.where((F.col("p") == predicate) & (F.col("s") != F.col("o"))).select(F.col("s").alias("sub"), F.col("o").alias("sup")).distinct())
+    """(sub, sup) of all chains of one predicate, without sub = sup: on the driver for few axioms, else by doubling."""
+    pairs = tbox.where((F.col("p") == predicate) & (F.col("s") != F.col("o"))).select(F.col("s").alias("sub"), F.col("o").alias("sup")).distinct()
+    few = pairs.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return local(tbox.sparkSession, _chains(few), "sub string, sup string")
+    pairs = stored(pairs)
     size = pairs.count()
-    while size:
+    while True:
         longer = pairs.select("sub", F.col("sup").alias("mid")).join(pairs.select(F.col("sub").alias("mid"), "sup"), "mid").select("sub", "sup").where("sub <> sup")
         pairs = stored(pairs.unionByName(longer).distinct())
         now = pairs.count()
         if now == size:
-            break
+            return pairs
         size = now
-    return pairs
+
+
+#: Axioms of one predicate whose chains the driver follows.
+FEW = 1000
+
+
+def _chains(pairs: list) -> list[tuple[str, str]]:
+    above: dict[str, set] = {}
+    for sub, sup in pairs:
+        above.setdefault(sub, set()).add(sup)
+    out = []
+    for start in above:
+        seen, todo = {start}, [start]
+        while todo:
+            new = above.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        out += [(start, x) for x in seen if x != start]
+    return out
 
 
 #: Joins one table of facts with another.
 Rule2 = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def _fact(s: Column, p: Column, o: Column, literal: Column | None = None, datatype: Column | None = None, lang: Column | None = None) -> list[Column]:
-    none = F.lit(None).cast("string")
-    return ["context_id", s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(False) if literal is None else literal).alias("is_literal"), (none if datatype is None else datatype).alias("datatype"), (none if lang is None else lang).alias("lang")]
+def _fact(s: str, p: str | Column, o: str) -> list[Column | str]:
+    return ["context_id", F.col(s).alias("s"), (F.col(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o")]
 
 
 class TBox:
-    """Axioms by rule; each table is stored once, and broadcast if it is small."""
+    """Axioms by rule, as numbers; each table is stored once, and broadcast if it is small."""
 
     #: Columns of the tables of axioms.
     TABLES = {"classes": ("sub", "sup"), "properties": ("sub", "sup"), "domain": ("p", "cls"), "range": ("p", "cls"), "chains": ("q", "first", "second"), "intersections": ("first", "second", "sup"), "some": ("prop", "filler", "sup"), "value": ("cls", "prop", "val")}
 
-    def __init__(self, triples: DataFrame, closed: bool = False):
+    def __init__(self, triples: DataFrame, terms: Dictionary, closed: bool = False):
         """``closed``: domains and ranges hold for sub-properties and super-classes too."""
+        self.type = terms.number(RDF_TYPE)
         t = triples.select("s", "p", "o").distinct()
         found = {"classes": reachable(t, SUB_CLASS), "properties": reachable(t, SUB_PROPERTY)}
         by = lambda p, s, o: t.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
@@ -101,17 +125,25 @@ class TBox:
         found["value"] = by(VALUE, "node", "val").join(on, "node").join(by(SUB_CLASS, "cls", "node"), "node").select("cls", "prop", "val")
         none = F.lit(None).cast("string")
         rows = [found[k].select(F.lit(k).alias("kind"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(v)), *(none.alias(f"x{i}") for i in range(len(v), 3))) for k, v in self.TABLES.items()]
-        self.table = stored(reduce(lambda a, b: a.unionByName(b), rows).distinct())
+        self.table = stored(terms.encode(reduce(lambda a, b: a.unionByName(b), rows).distinct(), ["x0", "x1", "x2"]))
         self.sizes = {r["kind"]: r["n"] for r in self.table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        self.few = self.table.collect() if sum(self.sizes.values()) <= MOST_BROADCAST_ROWS else None
         for name in self.TABLES:
             setattr(self, name, self._of(name))
 
     def _of(self, kind: str) -> DataFrame:
-        rows = self.table.where(F.col("kind") == kind).select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(self.TABLES[kind])))
+        names = self.TABLES[kind]
+        if self.few is not None:
+            rows = [tuple(r)[1 : 1 + len(names)] for r in self.few if r["kind"] == kind]
+            return F.broadcast(local(self.table.sparkSession, rows, ", ".join(f"{c} long" for c in names)))
+        rows = self.table.where(F.col("kind") == kind).select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(names)))
         return F.broadcast(rows) if self.sizes.get(kind, 0) <= MOST_BROADCAST_ROWS else rows
 
     def keys(self, *names: tuple[str, str]) -> DataFrame:
         """(key): the distinct values of columns (kind, column)."""
+        if self.few is not None:
+            found = {r[f"x{self.TABLES[kind].index(column)}"] for kind, column in names for r in self.few if r["kind"] == kind}
+            return F.broadcast(local(self.table.sparkSession, [(x,) for x in sorted(found)], "key long"))
         parts = [getattr(self, kind).select(F.col(column).alias("key")) for kind, column in names]
         rows = reduce(lambda a, b: a.union(b), parts).distinct()
         return F.broadcast(rows) if sum(self.sizes.get(kind, 0) for kind, _ in names) <= MOST_BROADCAST_ROWS else rows
@@ -125,16 +157,16 @@ def kept(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return rows.join(keys, F.col(column) == F.col("key"), "left_semi")
 
 
-def types(f: DataFrame) -> DataFrame:
-    return f.where(F.col("p") == RDF_TYPE).select("context_id", "s", F.col("o").alias("cls"))
+def types(f: DataFrame, t: TBox) -> DataFrame:
+    return f.where(F.col("p") == t.type).select("context_id", "s", F.col("o").alias("cls"))
 
 
 def sub_class(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
-    return types(new).join(t.classes, F.col("cls") == F.col("sub")).select(*_fact(F.col("s"), F.lit(RDF_TYPE), F.col("sup")))
+    return types(new, t).join(t.classes, F.col("cls") == F.col("sub")).select(*_fact("s", t.type, "sup"))
 
 
 def sub_property(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
-    return new.join(t.properties, F.col("p") == F.col("sub")).select(*_fact(F.col("s"), F.col("sup"), F.col("o"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
+    return new.join(t.properties, F.col("p") == F.col("sub")).select(*_fact("s", "sup", "o"))
 
 
 def _both(new: DataFrame, facts: DataFrame, one: Rule2) -> DataFrame:
@@ -144,84 +176,130 @@ def _both(new: DataFrame, facts: DataFrame, one: Rule2) -> DataFrame:
 
 def chain(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.where("not is_literal").join(t.chains, F.col("p") == F.col("first")).select("context_id", F.col("s").alias("a"), F.col("o").alias("mid"), "q", "second")
-        b = kept(right, "p", t.keys(("chains", "second"))).select("context_id", F.col("s").alias("mid"), F.col("p").alias("second"), F.col("o").alias("b"), "is_literal", "datatype", "lang")
-        return a.join(b, ["context_id", "mid", "second"]).select(*_fact(F.col("a"), F.col("q"), F.col("b"), F.col("is_literal"), F.col("datatype"), F.col("lang")))
+        a = left.where(is_resource(F.col("o"))).join(t.chains, F.col("p") == F.col("first")).select("context_id", F.col("s").alias("a"), F.col("o").alias("mid"), "q", "second")
+        b = kept(right, "p", t.keys(("chains", "second"))).select("context_id", F.col("s").alias("mid"), F.col("p").alias("second"), F.col("o").alias("b"))
+        return a.join(b, ["context_id", "mid", "second"]).select(*_fact("a", "q", "b"))
 
     return _both(new, facts, one)
 
 
 def intersection(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = types(left).join(t.intersections, F.col("cls") == F.col("first")).select("context_id", "s", "second", "sup")
-        b = kept(types(right), "cls", t.keys(("intersections", "second"))).withColumnRenamed("cls", "second")
-        return a.join(b, ["context_id", "s", "second"]).select(*_fact(F.col("s"), F.lit(RDF_TYPE), F.col("sup")))
+        a = types(left, t).join(t.intersections, F.col("cls") == F.col("first")).select("context_id", "s", "second", "sup")
+        b = kept(types(right, t), "cls", t.keys(("intersections", "second"))).withColumnRenamed("cls", "second")
+        return a.join(b, ["context_id", "s", "second"]).select(*_fact("s", t.type, "sup"))
 
     return _both(new, facts, one)
 
 
 def some_values(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.where("not is_literal").join(t.some, F.col("p") == F.col("prop")).select("context_id", F.col("s").alias("x"), F.col("o").alias("s"), F.col("filler").alias("cls"), "sup")
-        return a.join(kept(types(right), "cls", t.keys(("some", "filler"))), ["context_id", "s", "cls"]).select(*_fact(F.col("x"), F.lit(RDF_TYPE), F.col("sup")))
+        a = left.where(is_resource(F.col("o"))).join(t.some, F.col("p") == F.col("prop")).select("context_id", F.col("s").alias("x"), F.col("o").alias("s"), F.col("filler").alias("cls"), "sup")
+        return a.join(kept(types(right, t), "cls", t.keys(("some", "filler"))), ["context_id", "s", "cls"]).select(*_fact("x", t.type, "sup"))
 
     return _both(new, facts, one)
 
 
 def has_value(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
-    return types(new).join(t.value, "cls").select(*_fact(F.col("s"), F.col("prop"), F.col("val")))
+    return types(new, t).join(t.value, "cls").select(*_fact("s", "prop", "val"))
 
 
 def domain(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
-    return new.join(t.domain, "p").select(*_fact(F.col("s"), F.lit(RDF_TYPE), F.col("cls")))
+    return new.join(t.domain, "p").select(*_fact("s", t.type, "cls"))
 
 
 def range_(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
-    return new.where("not is_literal").join(t.range, "p").select(*_fact(F.col("o"), F.lit(RDF_TYPE), F.col("cls")))
+    return new.where(is_resource(F.col("o"))).join(t.range, "p").select(*_fact("o", t.type, "cls"))
 
 
 SIX: list[Rule] = [sub_class, sub_property, chain, intersection, some_values, has_value]
 EIGHT: list[Rule] = [*SIX, domain, range_]
 RDFS_RULES: list[Rule] = [sub_class, sub_property, domain, range_]
 
-#: The axioms that a rule needs; a rule of one's own, that isn't here, always runs.
+#: Rules that join two facts; the others look at each new one by itself.
+PAIRING = {chain, intersection, some_values}
+
+#: The axioms that a rule needs; a rule of one's own, that isn't here, always runs, and sees facts as text.
 AXIOMS = {sub_class: "classes", sub_property: "properties", chain: "chains", intersection: "intersections", some_values: "some", has_value: "value", domain: "domain", range_: "range"}
 
 
+def without_noise(graph: Graph) -> DataFrame:
+    """Numbered facts but for reflexive ones, statements about vocabulary terms or schema, and types that say nothing."""
+    d = graph.terms
+    schema = (SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, CHAIN, FIRST, REST)
+    own = d.terms.where(~F.col("is_literal") & reduce(lambda x, y: x | y, (F.col("value").startswith(v) for v in (RDF, RDFS, OWL)))).select("id", "value")
+    rows = own.limit(MOST_BROADCAST_ROWS + 1).collect()
+    ids = {r["value"]: r["id"] for r in rows if r["value"] in (RDF_TYPE, RESOURCE, *schema, *META)} if len(rows) <= MOST_BROADCAST_ROWS else dict(own.where(F.col("value").isin(RDF_TYPE, RESOURCE, *schema, *META)).select("value", "id").collect())
+    vocabulary = F.broadcast(local(d.spark, [(r["id"],) for r in rows], "s long")) if len(rows) <= MOST_BROADCAST_ROWS else own.select(F.col("id").alias("s"))
+    among = lambda c, *names: F.col(c).isin([ids[n] for n in names if n in ids])
+    empty = among("o", RESOURCE) | (among("p", RDF_TYPE) & among("o", *META))
+    return graph.facts.where(~((F.col("s") == F.col("o")) | among("p", *schema) | empty)).join(vocabulary, "s", "left_anti")
+
+
 def drop_noise(derived: DataFrame) -> DataFrame:
-    """Without reflexive triples, statements about vocabulary terms or schema, and types that say nothing."""
-    vocabulary = F.col("s").startswith(RDF) | F.col("s").startswith(RDFS) | F.col("s").startswith(OWL)
-    schema = F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, CHAIN, FIRST, REST)
-    empty = (F.col("o") == RESOURCE) | ((F.col("p") == RDF_TYPE) & F.col("o").isin(*META))
-    return derived.where(~((F.col("s") == F.col("o")) | vocabulary | schema | empty))
+    """The same for facts as text."""
+    graph = Graph.of(derived.select(*FACT))
+    return Graph(without_noise(graph), graph.terms).rows().select(*FACT)
 
 
 def new_facts(found: DataFrame, *known: DataFrame) -> DataFrame:
-    """Rows of found that aren't known; null datatypes and languages compare equal."""
-    null_safe = lambda df: df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("datatype", "lang")})
-    out = null_safe(found).distinct()
-    for k in known:
-        out = out.join(null_safe(k), FACT, "left_anti")
-    return out.withColumns({c: F.nullif(c, F.lit("")) for c in ("datatype", "lang")})
+    """Numbered facts of found, each once, that aren't known."""
+    return reduce(lambda out, k: out.join(k.select(*CODED), CODED, "left_anti"), known, found.distinct())
+
+
+def _with_axioms(facts: DataFrame | Graph, tbox: DataFrame) -> tuple[Graph, DataFrame]:
+    """The facts as numbers that the TBox's terms have too, and the TBox as a stored table."""
+    box = stored(tbox.select("s", "p", "o").distinct())
+    graph = facts if isinstance(facts, Graph) else Graph.of(facts.select(*FACT))
+    more = resources(box.select("s", "p", "o", F.lit(RDF_TYPE).alias("type")), "s", "p", "o", "type")
+    return Graph(graph.facts.select(*CODED), Dictionary.of(more, base=graph.terms)), box
+
 
+def once(rule: Rule, facts: DataFrame | Graph, tbox: DataFrame) -> DataFrame:
+    """What one rule derives at once, as text."""
+    graph, box = _with_axioms(facts, tbox)
+    found = new_facts(rule(graph.facts, graph.facts, TBox(box, graph.terms)).select(*CODED), graph.facts)
+    return graph.terms.decode(found, CODED[:3], True).select(*FACT)
 
-def closure(facts: DataFrame, tbox: DataFrame, rules: list[Rule] = EIGHT) -> DataFrame:
-    """Derived facts only: the fixpoint without the facts and the TBox. ``facts`` should be a stored table."""
-    t = TBox(tbox, closed=sub_class in rules and sub_property in rules)
+
+def derive(facts: DataFrame | Graph, tbox: DataFrame, rules: list[Rule] = EIGHT) -> Graph:
+    """Derived facts only, as numbers: the fixpoint without the facts, the TBox and noise."""
+    graph, box = _with_axioms(facts, tbox)
+    terms, facts = graph.terms, graph.facts
+    t = TBox(box, terms, closed=sub_class in rules and sub_property in rules)
     rules = [r for r in rules if t.sizes.get(AXIOMS.get(r, ""), 1 if r not in AXIOMS else 0)]
-    facts = facts.select(*FACT)
-    known, new, found = facts, facts, None
-    own = any(r not in AXIOMS for r in rules)  # of a rule of one's own anything may come
-    predicates, classes = t.keys(("properties", "sup"), ("chains", "q"), ("value", "prop")), t.keys(("classes", "sup"), ("domain", "cls"), ("range", "cls"), ("intersections", "sup"), ("some", "sup"))
-    while rules:
-        out = reduce(lambda a, b: a.unionByName(b), (rule(new, known, t).select(*FACT) for rule in rules))
-        typed = F.col("p") == RDF_TYPE
-        rivals = known if own else kept(known.where(~typed), "p", predicates).unionByName(kept(known.where(typed), "o", classes))
-        new = stored(new_facts(out, rivals))
+    own = [r for r in rules if r not in AXIOMS]  # of a rule of one's own anything may come
+    rules = [r for r in rules if r in AXIOMS]
+    typed = F.col("p") == t.type
+
+    def among(df: DataFrame, predicates: DataFrame, classes: DataFrame) -> DataFrame:
+        return kept(df.where(~typed), "p", predicates).unionByName(kept(df.where(typed), "o", classes))
+
+    pairing = [r for r in rules if r in PAIRING]  # rules over two facts meet only those that an axiom names
+    pairs = t.keys(("chains", "first"), ("chains", "second"), ("some", "prop")), t.keys(("intersections", "first"), ("intersections", "second"), ("some", "filler"))
+    usable = lambda df: stored(among(df, *pairs)) if pairing else df.where(F.lit(False))
+    derivable = t.keys(("properties", "sup"), ("chains", "q"), ("value", "prop")), t.keys(("classes", "sup"), ("domain", "cls"), ("range", "cls"), ("intersections", "sup"), ("some", "sup"))
+    new, fit, found = facts, usable(facts), None
+    fits, rivals = fit, facts if own else stored(among(facts, *derivable))
+    while rules or own:
+        parts = [(rule(fit, fits, t) if rule in PAIRING else rule(new, new, t)).select(*CODED) for rule in rules]
+        for rule in own:
+            text = lambda df: terms.decode(df, CODED[:3], True).select(*FACT)  # noqa: B023, E731
+            made = stored(rule(text(new), text(facts if found is None else facts.unionByName(found)), t).select(*FACT))
+            terms = Dictionary.of(statements(made), base=terms)
+            parts.append(terms.encode(made, CODED[:3], True).select(*CODED))
+        new = stored(new_facts(reduce(lambda a, b: a.unionByName(b), parts), rivals if found is None else rivals.unionByName(found)))
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
-        known = facts.unionByName(found)
+        fit = usable(new)
+        fits = fits.unionByName(fit)
     if found is None:
-        return facts.where(F.lit(False))
-    return drop_noise(found).join(small(tbox.select("s", "p", "o")), ["s", "p", "o"], "left_anti").select(*FACT)
+        return Graph(facts.where(F.lit(False)), terms)
+    axioms = terms.encode(box, ["s", "p", "o"])
+    return Graph(without_noise(Graph(found, terms)).join(small(axioms), ["s", "p", "o"], "left_anti").select(*CODED), terms)
+
+
+def closure(facts: DataFrame | Graph, tbox: DataFrame, rules: list[Rule] = EIGHT) -> DataFrame:
+    """What is derived, as text. ``facts`` should be a stored table."""
+    return derive(facts, tbox, rules).rows().select(*FACT)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from kgcube.operators import contexts as C
 from kgcube.operators import graphs as G
 from kgcube.operators import rules as R
 from kgcube.operators import triples as T
+from kgcube.operators.terms import Dictionary, Graph, resources, statements
 from kgcube.plans.cube import Cube
 from kgcube.sources.tables import stored
 
+QUAD = ["s", "p", "o", "graph"]
+
 
 @dataclass
 class Answer:
@@ -57,21 +61,28 @@ def build(cube: Cube, ctx: DataFrame, links: DataFrame, triples: Triples, scope:
     finals = C.final_cells(cube, ctx, scope, rho)
     used = C.files_of(known, links).select("context_id", "stored_name")
     mapped = triples(used.select("stored_name").distinct()) if callable(triples) else triples
-    if representation == "RDF" and tbox is None:  # one distinct, after stamping
+    cells = T.membership(cube, finals, cube.base)
+    if representation == "RDF" and tbox is None:
+        rows = stored(mapped.join(used.select("stored_name").distinct(), "stored_name", "left_semi") if not callable(triples) else mapped)
         feeds = used.join(known, "context_id").select("stored_name", paths.graph_iri(cube.base, F.col("final_id"), "-mod").alias("graph")).distinct()
-        asserted = mapped.join(feeds, "stored_name").select(*T.TRIPLE, "graph")
-        return Answer(T.union(asserted, T.membership(cube, finals, cube.base)), None, None, known, finals)
+        terms = Dictionary.of(statements(rows), resources(feeds, "graph"))
+        asserted = terms.encode(rows, ["s", "p"], True).join(terms.encode(feeds, ["graph"]), "stored_name").select(*QUAD).distinct()
+        return Answer(terms.decode(asserted, ["s", "p", "graph"], True).select(*T.TRIPLE, "graph").unionByName(cells), None, None, known, finals)
     if representation == "RDF":
-        graphs = stored(T.context_graph(used, mapped))
-        derived = R.closure(graphs, tbox)
-        parts = [T.stamp(graphs, known, cube.base), T.membership(cube, finals, cube.base)]
-        parts += [T.stamp(derived, known, cube.base, "-inf"), T.derived_metadata(finals, cube.base), T.coverage_quads(C.coverage(cube, ctx, scope, rho), cube.base)]
-        return Answer(T.union(*parts), None, None, known, finals)
+        graph = Graph.of_files(used, mapped)
+        found = R.derive(graph, tbox)
+        feeds = known.select("context_id", *(paths.graph_iri(cube.base, F.col("final_id"), suffix).alias(suffix[1:]) for suffix in ("-mod", "-inf")))
+        terms = Dictionary.of(resources(feeds.select("mod", "inf").distinct(), "mod", "inf"), base=found.terms)
+        feeds = stored(terms.encode(feeds, ["context_id", "mod", "inf"]))
+        stamped = [facts.join(feeds, "context_id").select("s", "p", "o", F.col(module).alias("graph")) for facts, module in ((graph.facts, "mod"), (found.facts, "inf"))]
+        stamped = terms.decode(stamped[0].unionByName(stamped[1]).distinct(), ["s", "p", "graph"], True).select(*T.TRIPLE, "graph")
+        parts = [stamped, cells, T.derived_metadata(finals, cube.base), T.coverage_quads(C.coverage(cube, ctx, scope, rho), cube.base)]
+        return Answer(reduce(lambda x, y: x.unionByName(y), parts), None, None, known, finals)  # no two parts share a quad
     one = T.as_set(T.context_bag(used, mapped))
     v, e = G.REPRESENTATIONS[representation](one)
-    cells = T.membership_vertices(cube, finals, cube.base)
-    cells = cells.withColumn("props", F.transform_values("props", lambda k, x: F.array(x)))
-    return Answer(None, v.unionByName(cells), e, known, finals)
+    vertices = T.membership_vertices(cube, finals, cube.base)
+    vertices = vertices.withColumn("props", F.transform_values("props", lambda k, x: F.array(x)))
+    return Answer(None, v.unionByName(vertices), e, known, finals)
 
 
 QUERY_LOG = "id string, schema_id string, query_text string, resolve_ms long, construct_ms long, total_ms long, context_count long, final_context_count long, row_count long, success boolean, error string, completed_at timestamp"

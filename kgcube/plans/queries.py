@@ -12,6 +12,7 @@ from kgcube.operators import contexts as C
 from kgcube.operators import graphs as G
 from kgcube.operators import rules as R
 from kgcube.operators import triples as T
+from kgcube.operators.terms import Graph
 from kgcube.plans import sales as S
 from kgcube.plans.answer import build
 from kgcube.plans.cube import dimension_violations, lookup_parent
@@ -386,6 +387,11 @@ def spec_graphs(spark, d):
     return T.context_graph(C.files_of(known(spark, d), S.links(spark, d)), S.triples(spark, d))
 
 
+def spec_graph(spark, d):
+    """The same as numbers."""
+    return Graph.of_files(C.files_of(known(spark, d), S.links(spark, d)), S.triples(spark, d))
+
+
 @query("SELECT context_id, s, p, o, is_literal FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge)")
 def context_graph(spark, d):
     return spec_graphs(spark, d).select("context_id", "s", "p", "o", "is_literal")
@@ -539,7 +545,7 @@ def tbox(spark, d):
         (B + "Customer", R.SUB_CLASS, "_:value"), ("_:value", R.VALUE, B + "Sales"), ("_:value", R.ON, B + "handledBy"),
         ("_:both", R.INTERSECTION, "_:c"), ("_:c", R.FIRST, B + "Document"), ("_:c", R.REST, "_:d"), ("_:d", R.FIRST, B + "Purchase"), ("_:d", R.REST, R.RDF + "nil"), ("_:both", R.SUB_CLASS, B + "PaidDocument"),
     ]
-    return R.merged_tbox(place, spark.createDataFrame(rows, "s string, p string, o string"))
+    return R.merged_tbox(place, tables.local(spark, rows, "s string, p string, o string"))
 
 
 SQL_PLACE_TBOX = f"SELECT '{B}' || n_name AS s, '{R.SUB_CLASS}' AS p, '{B}' || r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> r_name"
@@ -556,12 +562,11 @@ def tbox_version(spark, d):
 
 
 def facts(spark, d):
-    return tables.stored(T.context_graph(S.links(spark, d), S.triples(spark, d)))
+    return Graph.of_files(S.links(spark, d), S.triples(spark, d))
 
 
 def one_rule(spark, d, rule):
-    f = facts(spark, d)
-    return R.new_facts(rule(f, f, R.TBox(tbox(spark, d))).select(*R.FACT), f).select("context_id", "s", "p", "o", "is_literal")
+    return R.once(rule, facts(spark, d), tbox(spark, d)).select("context_id", "s", "p", "o", "is_literal")
 
 
 TYPE = T.RDF_TYPE
@@ -646,8 +651,7 @@ UNION SELECT '{B}context/' || final_id, '{T.CKR}hasModule', '{B}context/' || fin
 UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}closureOf', '{B}context/' || final_id, false, '{B}context/' || final_id FROM cells
 UNION SELECT '{B}context/' || final_id || '-inf', '{T.CKR}derivedFrom', '{B}context/' || final_id || '-mod', false, '{B}context/' || final_id FROM cells""")
 def derived_quads(spark, d):
-    graphs = tables.stored(spec_graphs(spark, d))
-    derived = T.stamp(R.closure(graphs, tbox(spark, d)), known(spark, d), B, "-inf")
+    derived = T.stamp(R.closure(spec_graph(spark, d), tbox(spark, d)), known(spark, d), B, "-inf")
     return T.union(derived, T.derived_metadata(finals(spark, d), B)).select(*QUAD)
 
 

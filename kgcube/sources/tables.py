@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -67,3 +70,10 @@ def delete(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """With a hint to broadcast it, if it has few rows; a larger table is joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the plan itself holds, so that reading or broadcasting them takes no job."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
