@@ -72,8 +72,14 @@ def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def local(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """A few rows that the plan itself holds, so that reading or broadcasting them takes no job."""
-    fields = to_arrow_schema(StructType.fromDDL(schema))
+    fields = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
+
+
+def held(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A small table read once, to be broadcast without a job; a larger one is stored and joined by a shuffle."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(local(df.sparkSession, rows, df.schema)) if len(rows) <= most else stored(df)
