@@ -164,19 +164,57 @@ def schema_stats(cube: Cube, ctx: DataFrame, links: DataFrame, files: DataFrame)
 
 
 TABLES = {"contexts": ["context_id"], "context_files": ["context_id", "stored_name"]}
+#: Folders by hash of the key that a table of a schema has, and places of a key in a bucket's membership bits.
+BUCKETS, PLACES = 32, 1 << 20
+BITS = "bucket int, chunk long, bits binary"
+
+
+def _keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    h = F.xxhash64(*keys)
+    place = F.pmod(F.shiftright(h, 20), F.lit(PLACES))
+    return rows.withColumns({"bucket": F.pmod(h, F.lit(BUCKETS)).cast("int"), "chunk": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
+
+
+def _is_set(bits: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0
 
 
 def write_index(cube: Cube, links: DataFrame, root: str, schema_id: str) -> None:
-    """Append contexts and links that the index doesn't have yet; running it again adds nothing. Of what is
-    stored only the keys of this schema are read."""
+    """Append contexts and links that the index doesn't have yet; running it again adds nothing.
+
+    A table lies in BUCKETS folders by hash of the key, and each has bits of the keys that it may hold. A batch looks
+    at the bits of the buckets that its keys fall into, and reads the keys of only those that may hold one of them. Bits
+    are written before rows, so that they never miss one when a batch is broken off."""
     spark = links.sparkSession
     rows = {"contexts": level_columns(cube, contexts_of(cube, links)), "context_files": links.select("stored_name", "engine_id", "context_id").distinct()}
     for name, keys in TABLES.items():
-        path, new = _schema_folder(root, name, schema_id), rows[name]
-        if exists(spark, path):
-            known = spark.read.schema(new.select(*keys).schema).parquet(path)
-            new = new.join(known, keys, "left_anti")
-        new.write.mode("append").parquet(path)
+        path = _schema_folder(root, name, schema_id)
+        new = stored(_keyed(rows[name], keys))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+        if hit := _may_hold(new, path, touched):
+            known = spark.read.schema(new.select(*keys, "bucket").schema).parquet(path).where(F.col("bucket").isin(hit))
+            new = stored(new.join(known.select(*keys), keys, "left_anti"))
+        if touched:
+            bits = new.groupBy("bucket", "chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+            bits.coalesce(1).write.mode("append").parquet(_bits_folder(path))
+            new.drop("chunk", "bit").repartition(min(BUCKETS, len(touched)), "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _may_hold(new: DataFrame, path: str, touched: list[int]) -> list[int]:
+    """Buckets that may hold one of the keys."""
+    spark = new.sparkSession
+    if not exists(spark, _bits_folder(path)):
+        return []
+    bits = spark.read.schema(BITS).parquet(_bits_folder(path)).where(F.col("bucket").isin(touched))
+    bits = bits.groupBy("bucket", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))  # at most 128 kB a bucket, 4 MB in all
+    maybe = new.select("bucket", "chunk", "bit").join(F.broadcast(bits), ["bucket", "chunk"]).where(_is_set(F.col("bits"), F.col("bit")))
+    return [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
+
+
+def _bits_folder(path: str) -> str:
+    head, _, tail = path.rpartition("/")
+    return f"{head}_bits/{tail}"
 
 
 def _schema_folder(root: str, name: str, schema_id: str) -> str:
@@ -187,15 +225,22 @@ def compact_index(cube: Cube, spark, root: str, schema_id: str) -> None:
     """Write the tables of a schema anew, in fewer files than many small batches left."""
     for name in TABLES:
         path = _schema_folder(root, name, schema_id)
-        stored(spark.read.parquet(path)).write.mode("overwrite").parquet(path)
+        bits = spark.read.schema(BITS).parquet(_bits_folder(path))
+        stored(bits.groupBy("bucket", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))).coalesce(1).write.mode("overwrite").parquet(_bits_folder(path))
+        stored(spark.read.parquet(path)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_index(spark, root: str, name: str, schema_id: str) -> DataFrame:
     """A table of the index, pruned to one schema."""
-    return spark.read.parquet(f"{root}/{name}").where(F.col("schema_id") == schema_id)
+    return spark.read.parquet(f"{root}/{name}").where(F.col("schema_id") == schema_id).drop("bucket")
 
 
 def reset(spark, root: str, schema_id: str | None = None) -> None:
     """Drop the rows of one schema, or of all."""
     for name in TABLES:
-        delete(spark, f"{root}/{name}" if schema_id is None else _schema_folder(root, name, schema_id))
+        if schema_id is None:
+            delete(spark, f"{root}/{name}")
+            delete(spark, f"{root}/{name}_bits")
+        else:
+            delete(spark, path := _schema_folder(root, name, schema_id))
+            delete(spark, _bits_folder(path))

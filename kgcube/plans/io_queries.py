@@ -11,12 +11,13 @@ from kgcube.operators import graphs as G
 from kgcube.operators import logs as L
 from kgcube.operators import rules as R
 from kgcube.operators import triples as T
+from kgcube.operators.terms import Graph
 from kgcube.plans import sales as S
 from kgcube.plans.answer import logged
 from kgcube.plans.queries import CLOSED, CUBE, QUAD, SQL_QUAD, flat_vertices, full_answer, graph_triples, index_tables, known, once, place_table, plain, query, spec_graphs, tbox, with_graph
 from kgcube.sources import files, rdf, tables
 from kgcube.streaming import ingest
-from kgcube.streaming.materialised import Materialised, derived
+from kgcube.streaming.materialised import Materialised, derived, touched
 
 # --- text forms ---------------------------------------------------------------------------------
 
@@ -313,3 +314,38 @@ def cached_derived(spark, d):
     _, misses = cache.split(needed, other, at(11, 30))
     rows = cache.rows(name, at(11, 30)).join(hits, "context_id", "left_semi").select("context_id", "s", "p", "o", "is_literal", F.lit(True).alias("hit"))
     return rows.unionByName(misses.withColumn("hit", F.lit(False)), allowMissingColumns=True)
+
+
+NUMBER = "CAST(split_part(stored_name, '/', 2) AS BIGINT)"
+LATER = CLOSED.replace("f AS (SELECT context_id, s, p, o, is_literal FROM graphs)", f"f AS (SELECT DISTINCT context_id, s, p, o, is_literal FROM links JOIN tri USING (stored_name) WHERE {NUMBER} % 6 <> 0)")
+
+
+@query(LATER + f" SELECT context_id, s, p, o, is_literal, context_id IN (SELECT context_id FROM links WHERE {NUMBER} % 6 < 2) AS again FROM eight")
+def closure_after_changes(spark, d):
+    """A sixth of the files is withdrawn and another comes in: only the contexts that these touch are closed again."""
+    cache, box, number = Materialised(spark, tables.new_folder(spark)), tables.stored(tbox(spark, d)), F.substring_index("stored_name", "/", -1).cast("long")
+    links = tables.stored(S.links(spark, d).select("stored_name", "context_id"))
+    before, after = links.where(number % 6 != 1), links.where(number % 6 != 0)
+
+    def facts_of(links):
+        def facts(contexts):
+            own = tables.stored(links.join(contexts, "context_id", "left_semi"))
+            return Graph.of_files(own, S.triples(spark, d, own.select("stored_name").distinct()))
+
+        return facts
+
+    cache.derived(before.select("context_id"), facts_of(before), box, at(11, 0))
+    cache.invalidate(touched(before, after), at(11, 10))
+    rows = cache.derived(after.select("context_id"), facts_of(after), box, at(11, 20))
+    first = int(at(11, 0).timestamp() * 1_000_000)
+    return rows.select("context_id", "s", "p", "o", "is_literal", (F.col("built") != first).alias("again"))
+
+
+@query("SELECT context_id, count(*) AS n FROM graphs WHERE context_id IN (SELECT context_id FROM knowledge) AND context_id NOT IN (SELECT context_id FROM cover) GROUP BY context_id")
+def cleared_graphs(spark, d):
+    """What the files of the cache hold after the covering contexts were cleared: nothing of these."""
+    graphs, root = tables.stored(spec_graphs(spark, d)), tables.new_folder(spark)
+    cache = Materialised(spark, root)
+    cache.add(graphs.select("context_id").distinct(), graphs, "RDF", at(11, 0))
+    cache.clear(C.covering(S.contexts(spark, d), S.scope_paths()))
+    return spark.read.parquet(f"{root}/rows").groupBy("context_id").agg(F.count("*").alias("n"))

@@ -277,7 +277,7 @@ def canonical_order(spark, d):
 @query("SELECT context_id, time[1] AS time_year, len(place) AS n FROM contexts WHERE context_id IN (SELECT context_id FROM links)")
 def index_roundtrip(spark, d):
     """Write the index twice, read it back: the second write adds nothing."""
-    root, links = tables.new_folder(spark), S.links(spark, d)
+    root, links = tables.new_folder(spark), tables.stored(S.links(spark, d))
     C.write_index(CUBE, links, root, "sales")
     C.write_index(CUBE, links, root, "sales")
     return C.read_index(spark, root, "contexts", "sales").select("context_id", "time_year", F.size("place").cast("long").alias("n"))
@@ -286,7 +286,7 @@ def index_roundtrip(spark, d):
 @query("SELECT context_id FROM contexts")
 def reset_schema(spark, d):
     """Of two schemas in an index one is dropped; the other stays."""
-    root, links = tables.new_folder(spark), S.links(spark, d)
+    root, links = tables.new_folder(spark), tables.stored(S.links(spark, d))
     C.write_index(CUBE, links, root, "sales")
     C.write_index(CUBE, links, root, "other")
     C.reset(spark, root, "other")

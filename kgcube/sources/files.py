@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgcube.functions import paths
@@ -19,14 +19,32 @@ def checked(schema_id: str) -> str:
     return schema_id
 
 
-def write_raw(raw: DataFrame, root: str, schema_id: str) -> None:
-    """raw(stored_name, content) as JSON lines below the schema's folder: small files in few objects."""
-    raw.select("stored_name", "content").write.mode("append").json(f"{root}/{checked(schema_id)}")
+#: Folders by hash of the name that raw messages of a schema lie in, and names that go down to the scan as a list.
+RAW_BUCKETS, LISTED = 32, 1000
+
 
+def _bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(RAW_BUCKETS)).cast("int")
 
-def read_raw(spark: SparkSession, root: str, schema_id: str) -> DataFrame:
-    df = spark.read.schema("stored_name string, content string").json(f"{root}/{checked(schema_id)}")
-    return df.withColumns({"schema_id": F.lit(schema_id), "size_bytes": F.octet_length("content").cast("long")})
+
+def write_raw(raw: DataFrame, root: str, schema_id: str) -> None:
+    """raw(stored_name, content) below the schema's folder: small files in few objects, by hash of the name and sorted by it."""
+    rows = raw.select("stored_name", "content", _bucket(F.col("stored_name")).alias("bucket"))
+    rows.repartition(RAW_BUCKETS, "bucket").sortWithinPartitions("bucket", "stored_name").write.mode("append").partitionBy("bucket").parquet(f"{root}/{checked(schema_id)}")
+
+
+def read_raw(spark: SparkSession, root: str, schema_id: str, names: DataFrame | None = None) -> DataFrame:
+    """All raw messages of a schema; with names(stored_name) only these, from the buckets that they lie in, and for a
+    few names also by the statistics of the files."""
+    df = spark.read.schema("stored_name string, content string, bucket int").parquet(f"{root}/{checked(schema_id)}")
+    if names is not None:
+        few = [r["stored_name"] for r in names.select("stored_name").distinct().limit(LISTED + 1).collect()]
+        if len(few) <= LISTED:
+            wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, few)).cast("array<string>")).alias("n")).select(_bucket(F.col("n")).alias("b")).distinct()
+            df = df.where(F.col("bucket").isin([r["b"] for r in wanted.collect()]) & F.col("stored_name").isin(few))
+        else:
+            df = df.join(names.select("stored_name").distinct(), "stored_name", "left_semi")
+    return df.select("stored_name", "content", F.lit(schema_id).alias("schema_id"), F.octet_length("content").cast("long").alias("size_bytes"))
 
 
 def read_files(spark: SparkSession, root: str, schema_id: str) -> DataFrame:

@@ -188,3 +188,99 @@ def test_registered_roll_up(spark):
         assert flags == {("letter", "letter"): True, ("letter", "word"): False, ("word", "letter"): True, ("word", "word"): True}
     finally:
         del cube.ROLL_UPS["first_letter"]
+
+
+def test_a_small_batch_reads_a_bounded_part_of_the_index(spark):
+    root = tables.new_folder(spark)
+    many = spark.range(20_000).select(F.concat(F.lit("f"), F.col("id")).alias("stored_name"), F.lit("e").alias("engine_id"), F.array(F.lit("ASIA"), F.concat(F.lit("N"), F.col("id") % 3000)).alias("place"), F.array().cast("array<string>").alias("segment"), F.array().cast("array<string>").alias("time")).withColumn("context_id", CUBE.context_id())
+    C.write_index(CUBE, many, root, "sales")
+    size = lambda name: C.read_index(spark, root, name, "sales").count()
+    assert (size("contexts"), size("context_files")) == (3000, 20_000)
+    new = links(spark, *(f"x{i}" for i in range(10)))
+    path = f"{root}/context_files/schema_id=sales"
+    keyed = C._keyed(new, C.TABLES["context_files"])
+    touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]
+    assert len(touched) <= 10 and len(C._may_hold(keyed, path, touched)) <= 2  # bits of 20,000 keys among 32 * 2**20 places
+    old = C._keyed(many.where("stored_name in ('f7', 'f8')"), C.TABLES["context_files"])
+    assert len(C._may_hold(old, path, [r.bucket for r in old.select("bucket").distinct().collect()])) == old.select("bucket").distinct().count()
+    for _ in range(2):
+        C.write_index(CUBE, new.unionByName(many.where("stored_name < 'f11'"), allowMissingColumns=True), root, "sales")
+        assert (size("contexts"), size("context_files")) == (3001, 20_010)
+    C.compact_index(CUBE, spark, root, "sales")
+    C.write_index(CUBE, many, root, "sales")
+    assert (size("contexts"), size("context_files")) == (3001, 20_010)
+
+
+def test_late_tasks_and_other_schemas(spark):
+    root, indexed, engines = tables.new_folder(spark), [], []
+
+    def analyse(tasks):
+        engines.append({r.storedName: r.engineId for r in tasks.collect()})
+        return tasks.select(F.col("storedName").alias("stored_name"), F.col("engineId").alias("engine_id"), F.lit("c").alias("context_id"), F.lit(None).cast("string").alias("status"))
+
+    work = ingest.Ingestion(spark, root, analyse, lambda x: indexed.append(sorted((r.schema_id, r.stored_name) for r in x.collect())))
+
+    def tasks(*rows):
+        return ingest.parse_tasks(spark.createDataFrame([(f'{{"schemaId":"{s}","storedName":"{n}","engineId":"{e}","timestamp":"{t}"}}',) for s, n, e, t in rows], "value string"))
+
+    work.batch(tasks(("a", "f", "new", "2024-01-02"), ("a", "f", "old", "2024-01-01"), ("b", "g", "e", "2024-01-01")), "000000000000-000")
+    assert engines[-1] == {"f": "new", "g": "e"} and indexed == [[("a", "f")], [("b", "g")]]
+    again = ingest.Ingestion(spark, root, analyse, lambda x: indexed.append(sorted((r.schema_id, r.stored_name) for r in x.collect())))  # after a restart
+    again.batch(tasks(("a", "f", "older", "2024-01-01"), ("b", "g", "newer", "2024-01-03")), "000000000001-000")
+    assert engines[-1] == {"g": "newer"}
+    again.batch(tasks(("b", "g", "last", "2024-01-02"), ("b", "h", "e", "")), "000000000002-000")
+    assert engines[-1] == {"h": "e"}
+
+
+def test_raw_messages_by_name(spark):
+    root = tables.new_folder(spark)
+    raw = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("stored_name"), F.repeat(F.lit("x"), 50).alias("content"))
+    files.write_raw(raw, root, "s")
+    few = raw.where("stored_name in ('n5', 'n17', 'nowhere')")
+    got = files.read_raw(spark, root, "s", few)
+    assert {r.stored_name for r in got.collect()} == {"n5", "n17"} and len(got.inputFiles()) <= 64
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:60]
+    assert files.read_raw(spark, root, "s", raw.limit(2000)).count() == 2000 and files.read_raw(spark, root, "s").count() == 5000
+
+
+def test_a_store_that_forgets(spark):
+    root = tables.new_folder(spark)
+    cache, at = Materialised(spark, root), lambda h, m=0: datetime(2024, 1, 1, h, m, tzinfo=timezone.utc)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "context_id string")
+    rows = spark.createDataFrame([(f"c{i}", k) for i in range(40) for k in range(i % 3)], "context_id string, k int")
+    for hour in (9, 10):
+        cache.add(rows.select("context_id").distinct(), rows, "RDF", at(hour))
+    cache.add(ids("c1"), rows.where("context_id = 'c1'"), "LPG", at(9))
+    cache.invalidate(ids("c1", "c2"), at(9, 30))
+    for _ in range(2):  # also again, as after a failure
+        cache.clear(ids("c1", "c4", "c5", "nothing"))
+        held = {(r.representation, r.context_id) for r in spark.read.schema("context_id string, k int, representation string").parquet(f"{root}/rows").collect()}
+        assert held == {("RDF", r.context_id) for r in rows.collect()} - {("RDF", c) for c in ("c1", "c4", "c5")}
+    assert cache.fresh("LPG", at(9, 10)).count() == 0 and cache.rows("LPG", at(9, 10)).count() == 0
+    assert cache.rows("RDF", at(10, 10)).count() == rows.where("context_id not in ('c1', 'c4', 'c5')").count()
+    stale = lambda: {r.context_id for r in spark.read.parquet(f"{root}/stale").collect()}
+    assert stale() == {"c2"}
+    cache.compact(at(10, 40))
+    assert stale() == set() and tables.names(spark, f"{root}/rows/representation=RDF") == [f"built={int(at(10).timestamp() * 1_000_000)}"]
+    assert cache.rows("RDF", at(10, 40)).where("context_id = 'c2'").count() == 2
+
+
+def test_only_misses_are_closed(spark):
+    cache, asked = Materialised(spark, tables.new_folder(spark)), []
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m, tzinfo=timezone.utc)
+    f = spark.createDataFrame([(c, f"{c}{i}", R.RDF_TYPE, "A", False, None, None) for c in "abcd" for i in range(2)], "context_id string, s string, p string, o string, is_literal boolean, datatype string, lang string")
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "context_id string")
+
+    def facts(contexts):
+        asked.append("".join(sorted(r.context_id for r in contexts.collect())))
+        return f.join(contexts, "context_id", "left_semi")
+
+    box = tbox(spark, ("A", R.SUB_CLASS, "B"))
+    assert cache.derived(ids("ab"), facts, box, at(9)).count() == 4
+    assert cache.derived(ids("abc"), facts, box, at(9, 10)).count() == 6
+    cache.invalidate(ids("a"), at(9, 20))
+    assert cache.derived(ids("abce"), facts, box, at(9, 30)).count() == 6
+    assert cache.derived(ids("abce"), facts, box, at(9, 40)).count() == 6
+    assert cache.derived(ids("ab"), facts, tbox(spark, ("A", R.SUB_CLASS, "B"), ("B", R.SUB_CLASS, "C")), at(9, 50)).count() == 8
+    assert asked == ["ab", "c", "ae", "ab"]
