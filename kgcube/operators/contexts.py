@@ -119,6 +119,47 @@ def inverted_index(cube: Cube, ctx: DataFrame) -> DataFrame:
     return context_dim(cube, ctx).groupBy("dimension", "hierarchy_id").agg(F.count("*").alias("n_contexts"), F.min("context_id").alias("first_context"))
 
 
+#: Contexts that the bits of one posting tell apart.
+CHUNK = 1 << 15
+
+
+def ordinals(ctx: DataFrame) -> DataFrame:
+    """(ordinal, chunk, bit, context_id): contexts numbered from 0 without gaps; a stored table."""
+    rows = stored(ctx.select("context_id").withColumns({"task": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
+    tasks = rows.groupBy("task").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    base = tasks.select("task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    ordinal = F.col("row") + F.col("shift")
+    return stored(rows.join(F.broadcast(base), "task").select(ordinal.alias("ordinal"), F.floor(ordinal / CHUNK).alias("chunk"), F.pmod(ordinal, F.lit(CHUNK)).alias("bit"), "context_id"))
+
+
+def postings(cube: Cube, ctx: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(dimension, hierarchy_id, chunk, bits): for each hierarchy, ALL included, which contexts are at or below it. A
+    posting is cut into chunks of CHUNK contexts, so that no row or task holds all contexts of a value."""
+    def above(d) -> Column:
+        one = lambda n: F.struct(F.lit(d.name).alias("dimension"), paths.hierarchy_id(d.name, d.names, paths.prefix(F.col(d.name), n)).alias("hierarchy_id"))
+        return F.transform(F.sequence(F.lit(0), F.size(d.name)), one)
+
+    rows = ctx.select("context_id", F.explode(F.flatten(F.array(*(above(d) for d in cube.dimensions)))).alias("h")).join(numbers, "context_id")
+    return rows.groupBy("h.dimension", "h.hierarchy_id", "chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def select_bits(cube: Cube, posted: DataFrame, scope: Scope) -> DataFrame:
+    """(chunk, bits): the contexts of a scope, by intersecting a posting for each dimension that it names, chunk by
+    chunk; those of an empty scope are the postings of ALL in the first dimension."""
+    named = scope or {cube.names[0]: []}
+    wanted = [F.struct(F.lit(d).alias("dimension"), paths.hierarchy_id(d, cube.dimension(d).names, paths.lit_path(path) if path else paths.all_path()).alias("hierarchy_id")) for d, path in named.items()]
+    keys = posted.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("k")).select("k.*")
+    found = posted.join(F.broadcast(keys), ["dimension", "hierarchy_id"])  # a row a dimension
+    both = found.groupBy("chunk").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
+    return both.where(F.col("n") == len(named)).select("chunk", "bits")
+
+
+def of_bits(selected: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(context_id) of the bits that are set."""
+    return numbers.join(selected, "chunk").where(_is_set(F.col("bits"), F.col("bit"))).select("context_id")
+
+
 def canonical(rows: DataFrame, out: str, *keys: str) -> DataFrame:
     """Hierarchies (dimension, hierarchy_id) of each of the keys numbered in canonical order; this order makes ids."""
     w = W.partitionBy(*keys).orderBy("dimension", "hierarchy_id")

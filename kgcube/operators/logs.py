@@ -105,9 +105,11 @@ def page(log: DataFrame, schema_id: str | None = None, limit: int = 20) -> DataF
 
 
 def rolling_hit_ratio(log: DataFrame, size: str = "5 minutes", step: str = "15 seconds") -> DataFrame:
-    """Hit ratio of sliding windows; on a stream give ``log`` a watermark on completed_at."""
-    hits, all_ = F.sum("cache_hits"), F.sum(F.col("cache_hits") + F.col("cache_misses"))
-    return log.groupBy(F.window("completed_at", size, step).alias("w")).agg((hits / F.greatest(all_, F.lit(1))).alias("hit_ratio")).select(F.col("w.start").alias("start"), "hit_ratio")
+    """Hit ratio of sliding windows, whose size is a multiple of the step; on a stream give ``log`` a watermark on
+    completed_at. Events are summed by panes of one step first, and only these few rows go into all their windows."""
+    panes = log.groupBy(F.window("completed_at", step).alias("pane")).agg(F.sum("cache_hits").alias("hits"), F.sum(F.col("cache_hits") + F.col("cache_misses")).alias("all"))
+    windows = panes.groupBy(F.window(F.window_time("pane"), size, step).alias("w"))
+    return windows.agg((F.sum("hits") / F.greatest(F.sum("all"), F.lit(1))).alias("hit_ratio")).select(F.col("w.start").alias("start"), "hit_ratio")
 
 
 def stream_hit_ratio(log: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", size: str = "5 minutes", step: str = "15 seconds") -> None:

@@ -321,6 +321,29 @@ def specific_by_intersection(spark, d):
     return C.specific_by_intersection(CUBE, S.contexts(spark, d), SCOPE)
 
 
+def posted(spark, d):
+    ctx = contexts_table(spark, d)
+    numbers = C.ordinals(ctx)
+    return C.postings(CUBE, ctx, numbers), numbers
+
+
+@query("SELECT context_id FROM spec")
+def scope_from_postings(spark, d):
+    """The scope's contexts from bitmaps of two hierarchies."""
+    bits, numbers = posted(spark, d)
+    return C.of_bits(C.select_bits(CUBE, bits, SCOPE), numbers)
+
+
+@query(f"""SELECT dimension, hierarchy_id, count(*) AS n FROM (
+ SELECT 'place' AS dimension, {S.hid('place', 'p')} AS hierarchy_id FROM (SELECT unnest([place[1:n] FOR n IN range(0, len(place) + 1)]) AS p FROM contexts)
+ UNION ALL SELECT 'segment', {S.hid('segment', 'p')} FROM (SELECT unnest([segment[1:n] FOR n IN range(0, len(segment) + 1)]) AS p FROM contexts)
+ UNION ALL SELECT 'time', {S.hid('time', 'p')} FROM (SELECT unnest([time[1:n] FOR n IN range(0, len(time) + 1)]) AS p FROM contexts)) GROUP BY ALL""")
+def posting_sizes(spark, d):
+    """How many contexts are at or below each hierarchy, from its bitmaps."""
+    bits, _ = posted(spark, d)
+    return bits.groupBy("dimension", "hierarchy_id").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
 # --- roll-up ------------------------------------------------------------------------------------
 
 

@@ -146,3 +146,18 @@ def test_aixm_message(spark):
     t = [(r.s, r.p.split("#")[-1], r.o) for r in map_triples(raw, "aixm", "b#").where("stored_name = 'f' and is_literal").collect()]
     assert t == [("b#U1", "operationalStatus", "NORMAL"), ("b#U1", "location", "LOWS")]
     assert units(raw, MEMBER).where("error is not null").count() == 2
+
+
+def test_postings_are_cut_into_chunks(spark, monkeypatch):
+    from kgcube.operators import contexts as C
+
+    monkeypatch.setattr(C, "CHUNK", 64)
+    ctx = spark.createDataFrame([(f"c{i}", ["R", f"N{i % 7}"] if i % 3 else ["R"], ["s"], [f"{i % 2}"]) for i in range(500)], "context_id string, place array<string>, segment array<string>, time array<string>").repartition(3)
+    numbers = C.ordinals(ctx)
+    assert sorted(r.ordinal for r in numbers.collect()) == list(range(500))
+    posted = C.postings(CUBE, ctx, numbers)
+    sizes = posted.groupBy("dimension", "hierarchy_id").agg(F.count("*").alias("chunks"), F.sum(F.bitmap_count("bits")).alias("n"))
+    assert sizes.where("n = 500 and chunks = 8").count() == 5  # ALL of three dimensions, R, and s
+    for scope in ({}, {"place": ["R", "N2"]}, {"place": ["R"], "time": ["1"]}, {"place": ["R", "N1"], "segment": ["s"], "time": ["0"]}, {"place": ["nowhere"]}):
+        got = sorted(r.context_id for r in C.of_bits(C.select_bits(CUBE, posted, scope), numbers).collect())
+        assert got == sorted(r.context_id for r in C.dice(CUBE, ctx, scope).collect()), scope
