@@ -14,6 +14,7 @@ from kgcube.operators import triples as T
 from kgcube.operators.terms import Graph
 from kgcube.plans import sales as S
 from kgcube.plans.answer import logged
+from kgcube.plans.cube import Catalog, Cube, register_roll_up
 from kgcube.plans.queries import CLOSED, CUBE, QUAD, SQL_QUAD, flat_vertices, full_answer, graph_triples, index_tables, known, once, place_table, plain, query, spec_graphs, tbox, with_graph
 from kgcube.sources import files, rdf, tables
 from kgcube.streaming import ingest
@@ -349,3 +350,77 @@ def cleared_graphs(spark, d):
     cache.add(graphs.select("context_id").distinct(), graphs, "RDF", at(11, 0))
     cache.clear(C.covering(S.contexts(spark, d), S.scope_paths()))
     return spark.read.parquet(f"{root}/rows").groupBy("context_id").agg(F.count("*").alias("n"))
+
+
+# --- schemas, noise, late tasks -----------------------------------------------------------------
+
+
+def region_cubes(spark, d):
+    """A schema for each region, with its number of nations as levels; ids as the regions are called."""
+    rows = S.geography(spark, d).groupBy("r_name").agg(F.count("*").alias("n")).orderBy("r_name").collect()  # a row a region
+    levels = [{"name": "year", "depth": 0}, {"name": "month", "depth": 1, "rollup_to": "year", "rollup_function": "date_to_year"}]
+    return [{"id": r.r_name.lower(), "dimensions": {"time": {"levels": levels[: 1 + r.n % 2]}}} for r in rows]
+
+
+@plain("SELECT lower(r_name) AS id, CASE WHEN regexp_full_match(lower(r_name), '[a-z][a-z0-9_-]*') THEN CASE WHEN count(*) % 2 = 0 THEN 'year' ELSE 'year>month' END END AS levels FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def cataloged_schemas(spark, d):
+    """Schemas that two writers registered, each reading what the other wrote; ids that no schema may have are refused."""
+    path, refused = tables.new_folder(spark), []
+    for data in region_cubes(spark, d):
+        for writer in (Catalog(spark, path), Catalog(spark, path)):
+            try:
+                writer.register(data)
+            except ValueError:
+                refused.append((data["id"], None))
+    reader = Catalog(spark, path)
+    known = [(r.id, reader.describe(r.id).first().levels) for r in reader.list().select("id").collect()]
+    return tables.local(spark, known + refused[::2], "id string, levels string")
+
+
+@plain("SELECT DISTINCT substr(c_name, 1, 1) || '>' || c_name AS path, c_name AS name FROM customer")
+def registered_roll_up(spark, d):
+    """Paths of names under their first letters, by a roll-up function of the user."""
+    register_roll_up("first_letter", lambda c: F.substring(c, 1, 1))
+    levels = [{"name": "letter", "depth": 0}, {"name": "name", "depth": 1, "rollup_to": "letter", "rollup_function": "first_letter"}]
+    own = Cube.load({"id": "names", "dimensions": {"text": {"levels": levels}}})
+    names = S.table(spark, d, "customer").select(F.col("c_name").alias("name")).distinct()
+    return own.member_path(None, names, "text", "name", "name", "path").select(F.array_join("path", ">").alias("path"), "name")
+
+
+@query("SELECT s, p, o FROM tri WHERE is_literal AND (contains(o, '\"') OR contains(o, chr(10)))")
+def escaped_literals(spark, d):
+    """Literals with quotes, backslashes, tabs and line ends, written as N-Quads and read again."""
+    path = tables.new_folder(spark)
+    rows = S.triples(spark, d).where(F.col("is_literal") & (F.col("o").contains('"') | F.col("o").contains("\n")))
+    rdf.write_nquads(rows.select(*T.TRIPLE, F.lit("urn:kgcube:context/x-mod").alias("graph")), path)
+    return rdf.read_nquads(spark, path)[0].select("s", "p", "o")
+
+
+@query("SELECT DISTINCT context_id, s, p, o FROM graphs WHERE p = 'urn:kgcube:placedBy'")
+def noise_left_out(spark, d):
+    """Of facts and as many each that are reflexive, about vocabulary, about schema, or types that say nothing, the facts."""
+    f = T.context_graph(S.links(spark, d), S.triples(spark, d)).where(F.col("p") == S.BASE + "placedBy").select(*R.FACT)
+    noise = [f.withColumn("o", F.col("s")), f.withColumn("s", F.concat(F.lit(R.RDFS), "s")), f.withColumn("p", F.lit(R.DOMAIN)), f.withColumns({"p": F.lit(T.RDF_TYPE), "o": F.lit(R.META[3])}), f.withColumns({"p": F.lit("urn:p"), "o": F.lit(R.RESOURCE)})]
+    for n in noise:
+        f = f.unionByName(n)
+    return R.drop_noise(tables.stored(f)).select("context_id", "s", "p", "o")
+
+
+@query(f"SELECT stored_name, 'first' AS engine_id FROM links UNION ALL SELECT stored_name, 'later' FROM links WHERE {NUMBER} % 2 = 1")
+def late_tasks(spark, d):
+    """What was processed when, over two batches, tasks of even files come late and those of odd ones anew."""
+    root = tables.new_folder(spark)
+    number = F.substring_index("stored_name", "/", -1).cast("long")
+    found = tables.stored(S.links(spark, d).select("stored_name", "context_id"))
+
+    def tasks(engine, time):
+        task = F.struct(F.lit("sales").alias("schemaId"), F.col("stored_name").alias("storedName"), F.lit(engine).alias("engineId"), time.alias("timestamp"))
+        return ingest.parse_tasks(found.select(F.to_json(task).alias("value")))
+
+    def analyse(x):
+        return x.select(F.col("storedName").alias("stored_name"), F.col("engineId").alias("engine_id")).join(found, "stored_name").withColumn("status", F.lit(None).cast("string"))
+
+    work = ingest.Ingestion(spark, root, analyse, lambda x: None)
+    work.batch(tasks("first", F.lit("2024-01-02T00:00:00Z")), "000000000000-000")
+    work.batch(tasks("later", F.when(number % 2 == 1, "2024-01-03T00:00:00Z").otherwise("2024-01-01T00:00:00Z")), "000000000001-000")
+    return ingest.read_log(spark, root, "log", ingest.LOG).select("stored_name", "engine_id")
