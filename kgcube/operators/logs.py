@@ -6,25 +6,44 @@ cache_misses, quads, success, completed_at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgcube.sources.tables import small
+from kgcube.sources.tables import small, stored
 
 
 def succeeded(log: DataFrame) -> DataFrame:
     return log.where("success")
 
 
+#: Blocks that the different values of a column are cut into, at quantiles that a KLL sketch finds among them.
+BLOCKS = 256
+
+
 def percentiles(df: DataFrame, column: str, wanted: dict[str, float], *keys: str) -> DataFrame:
-    """Exact percentiles, interpolated, of a column by keys, under the names given. Values are counted before they
-    meet, so a group is as large as its number of different values."""
-    h = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    """Exact percentiles, interpolated, of a column by keys, under the names given.
+
+    Values are counted before they meet, and cut into blocks of about as many different values each. Sums by block say
+    which blocks the wanted ranks fall into, and only the values of these are put in order, each block by itself: the
+    sketch's error makes blocks less even, never the result less exact."""
+    h = stored(df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n")))
+    ranks = F.array(*(F.lit(i / BLOCKS) for i in range(1, BLOCKS)))
+    found = h.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col("_v").cast("double")), ranks)).first()[0] if not h.isEmpty() else []
+    splits = F.array(*map(F.lit, sorted(set(found)))).cast("array<double>")
+    h = h.withColumn("_b", F.size(F.filter(splits, lambda x: x < F.col("_v"))))
     w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    h = h.withColumns({"_cum": F.sum("_n").over(w.orderBy("_v")), "_last": F.sum("_n").over(w) - 1})
-    value = lambda at: F.min(F.when(F.col("_cum") > at, F.col("_v"))).cast("double")
-    out = h.groupBy(*keys).agg(F.max("_last").alias("_last"), *(value(f(F.col("_last") * p)).alias(f"{name}_{k}") for name, p in wanted.items() for k, f in (("lo", F.floor), ("hi", F.ceil))))
+    b = h.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))  # at most BLOCKS rows for each of the keys
+    b = b.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_last": F.sum("_m").over(w) - 1})
+    places = {f"{name}_{k}": f(F.col("_last") * p) for name, p in wanted.items() for k, f in (("lo", F.floor), ("hi", F.ceil))}
+    held = reduce(lambda x, y: x | y, ((at >= F.col("_before")) & (at < F.col("_before") + F.col("_m")) for at in places.values()))
+    b = b.where(held).drop("_m").withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("_b", "_c")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_b") == F.col("_c"))
+    x = h.join(b, same).drop("_c", *(f"_{k}" for k in keys))
+    x = x.withColumn("_cum", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v")))
+    out = x.groupBy(*keys).agg(F.max("_last").alias("_last"), *(F.min(F.when(F.col("_cum") > at, F.col("_v"))).cast("double").alias(n) for n, at in places.items()))
     part = lambda p: F.col("_last") * p - F.floor(F.col("_last") * p)
     return out.select(*keys, *((F.col(f"{n}_lo") + part(p) * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n) for n, p in wanted.items()))
 

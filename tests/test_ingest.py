@@ -284,3 +284,17 @@ def test_only_misses_are_closed(spark):
     assert cache.derived(ids("abce"), facts, box, at(9, 40)).count() == 6
     assert cache.derived(ids("ab"), facts, tbox(spark, ("A", R.SUB_CLASS, "B"), ("B", R.SUB_CLASS, "C")), at(9, 50)).count() == 8
     assert asked == ["ab", "c", "ae", "ab"]
+
+
+def test_percentiles_of_many_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = {"a": np.exp(rng.normal(5, 2, 5000)).astype(int).tolist(), "b": list(range(1000)), None: [7]}
+    log = spark.createDataFrame([(k, int(v)) for k, vs in data.items() for v in vs], "k string, v long")
+    wanted = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in L.percentiles(log, "v", wanted, "k").collect()}
+    for k, vs in data.items():
+        for name, p in wanted.items():
+            assert abs(got[k][name] - np.quantile(vs, p)) < 1e-6, (k, name)
+    assert L.percentiles(log, "v", wanted).count() == 1
