@@ -38,7 +38,7 @@ def test_stages_take_effect(spark):
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = entry.queries()[name](spark, SF), con.sql(llm_queries.oracle_sql()[name])
     order = sorted(got.columns)

@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +11,7 @@ from pyspark.sql import functions as F
 from kgcube.llm import op11_cover_tree as cover
 from kgcube.llm import op12_zone_maps as zone
 from kgcube.llm import op13_orchard as orchard
-from kgcube.llm import queries as llm
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, label int"
 RNG = np.random.default_rng(4)
 
@@ -214,13 +211,3 @@ def test_orchard_search_is_exact_and_skips():
     d = ((x[:, None] - book.entries[None]) ** 2).sum(2)
     assert (at == d.argmin(1)).all() and (best == d.min(1)).all()
     assert compared < 0.9 * d.size
-
-
-@pytest.mark.parametrize("name", ["op11_cover_tree_links", "op12_zone_map_clusters", "op13_orchard_codes"])
-def test_same_rows_as_sql(spark, name):
-    con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    want = con.sql(llm.oracle_sql()[name])
-    got = llm.queries()[name](spark, SF)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
