@@ -8,8 +8,9 @@ of it, however long.
 
 Every training document is trained on, once. Tasks of ``TASK_TOKENS`` tokens each train copies of the network
 on their documents by truncated backpropagation and the copies are averaged, weighted by tokens, after each
-of four rounds that grow from a sixty-fourth of the documents to most of them; neither the size of the cluster
-nor that of the input changes what a task does. Counts of the ``HEAD`` most frequent
+of four rounds that grow from a sixty-fourth of the documents to most of them. Round, task and order of a document
+hang on a hash of its id and text, so neither the size of the cluster nor how the input is split changes the network,
+and a task that is run again trains the same copy. Counts of the ``HEAD`` most frequent
 words are broadcast; other words, none of them frequent, are joined with the table of counts.
 
 Defined cases: a null text is empty and has the end as its only token; a null doc_id counts as an empty
@@ -44,7 +45,7 @@ JOINED = 200_000
 PIECE = 1024
 END = ""
 
-ENCODED = "rid long, doc_id long, held_out boolean, round int, ids binary, n_tokens long, head_known long, head_base double, head_rare double, tail array<struct<word:string,n:int>>"
+ENCODED = "rid long, key long, doc_id long, held_out boolean, round int, ids binary, n_tokens long, head_known long, head_base double, head_rare double, tail array<struct<word:string,n:int>>"
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_rare double, lm double"
 
 
@@ -136,13 +137,14 @@ def encode(docs: DataFrame, lex) -> DataFrame:
                 held = held_out(part.column("doc_id"))
                 rid = row + np.arange(n)
                 row += n
-                bucket = (rid * 0x9E3779B1 >> 7) % ROUNDS[-1]
+                bucket = np.asarray(part.column("key"), np.int64) % ROUNDS[-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), part.column("doc_id"), pa.array(held), pa.array(np.where(held, -1, np.searchsorted(ROUNDS, bucket, "right")).astype(np.int32)), raw, pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(rare), pa.ListArray.from_arrays(pa.array(edges), tails)],
-                    names=["rid", "doc_id", "held_out", "round", "ids", "n_tokens", "head_known", "head_base", "head_rare", "tail"],
+                    [pa.array(rid), part.column("key"), part.column("doc_id"), pa.array(held), pa.array(np.where(held, -1, np.searchsorted(ROUNDS, bucket, "right")).astype(np.int32)), raw, pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(rare), pa.ListArray.from_arrays(pa.array(edges), tails)],
+                    names=["rid", "key", "doc_id", "held_out", "round", "ids", "n_tokens", "head_known", "head_base", "head_rare", "tail"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    return own.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(run, ENCODED)
 
 
 def token_ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -175,7 +177,8 @@ def train(encoded: DataFrame, lex: Lexicon) -> np.ndarray:
             if seen:
                 own = model.flat()
                 pieces = [own[i : i + PIECE].astype("<f4").tobytes() for i in range(0, len(own), PIECE)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.binary())], names=["piece", "weight", "w"])
+                task = [TaskContext.get().partitionId()] * len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(task, pa.int32()), pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.binary())], names=["piece", "task", "weight", "w"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}  # one row of each copy comes after the other; only sums are held
@@ -188,9 +191,9 @@ def train(encoded: DataFrame, lex: Lexicon) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in total.values()], pa.binary())], names=["piece", "w"])
 
         tasks = int(max(1, -(-tokens // TASK_TOKENS)))
-        dealt = encoded.where(F.col("round") == k).select("rid", "ids").repartition(tasks, "rid").sortWithinPartitions("rid")
-        copies = dealt.select("ids").mapInArrow(run, "piece int, weight double, w binary")
-        parts = copies.repartition("piece").mapInArrow(mean, "piece int, w binary").collect()
+        dealt = encoded.where(F.col("round") == k).select("key", "ids").repartition(tasks, "key").sortWithinPartitions("key", "ids")
+        copies = dealt.select("ids").mapInArrow(run, "piece int, task int, weight double, w binary")
+        parts = copies.repartition("piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, w binary").collect()
         flat = np.concatenate([np.frombuffer(w, "<f4") for _, w in sorted(map(tuple, parts))])
     return flat
 

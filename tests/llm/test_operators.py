@@ -226,6 +226,19 @@ def test_language_model_base(docs, empty):
     assert op4_lm.score(empty).count() == 0
 
 
+def test_language_model_does_not_depend_on_how_the_input_is_split(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, int(rng.integers(1, 90))))) for i in range(150)]
+    rows += [(None, None), (3, rows[3][1]), (900, " ".join(f"w{x % 7}" for x in range(20_000)))]
+    got = []
+    for parts, order in ((1, rows), (4, rows), (3, rows[::-1])):
+        out = op4_lm.score(spark.createDataFrame(order, "doc_id long, text string").repartition(parts)).collect()
+        got.append(sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.score) for r in out))
+    for other in got[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in got[0]]
+        assert np.allclose([x[2] for x in other], [x[2] for x in got[0]], rtol=1e-5)
+
+
 def test_gru_gradients_and_carried_state():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 50, 30).astype(float)
