@@ -39,8 +39,8 @@ SAMPLE = 10_000
 BUCKETS, WIDTH, GRAMS = 1 << 18, 4, (3, 4, 5)
 PASSAGE, SPREAD, WARM, ROUNDS, RATE, RARE = 64, 4, 20, 80, 0.5, 0.03
 THRESHOLD = 0.7
-#: Distinct words whose n-grams are found at a time.
-WORD_BLOCK = 50_000
+#: Distinct words whose n-grams are found at a time, and n-grams that a step of the fit takes up at a time.
+WORD_BLOCK, GRAM_BLOCK = 50_000, 1 << 19
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -71,8 +71,7 @@ class Passages:
     """Texts as passages of word codes, and the n-grams of the distinct words."""
 
     def __init__(self, texts: pa.Array):
-        known: dict[str, int] = {}
-        codes, starts, docs, at, size = [], [], [], 0, 0
+        codes, starts, docs, vocabularies, at, size, seen = [], [], [], [], 0, 0, 0
         for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"])):
             w = Words(part.column("text"), lower=True)
             own, words = w.codes()
@@ -80,17 +79,22 @@ class Passages:
             first = place % PASSAGE == 0
             pairs = np.unique((np.cumsum(first) - 1) * len(words) + own)  # a passage is the set of its words
             of = pairs // max(len(words), 1)
-            shared = np.fromiter((known.setdefault(x, len(known)) for x in words.to_pylist()), np.int32, len(words))
-            codes.append(shared[pairs % max(len(words), 1)])
+            codes.append((pairs % max(len(words), 1) + seen).astype(np.int32))
+            vocabularies.append(words)
+            seen += len(words)
             starts.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])) + size if len(of) else np.zeros(0, np.int64))
             docs.append(w.doc[first] + at)
             at, size = at + part.num_rows, size + len(of)
         none = [np.zeros(0, np.int64)]
-        self.n, self.codes, self.starts, self.doc = at, np.concatenate(codes or none), np.concatenate(starts or none), np.concatenate(docs or none)
+        known = pa.concat_arrays(vocabularies or [pa.array([], pa.large_string())]).dictionary_encode()  # chunks may share words
+        vocabularies.clear()
+        self.codes = np.asarray(known.indices)[np.concatenate(codes or none)]
+        codes.clear()
+        self.n, self.starts, self.doc = at, np.concatenate(starts or none), np.concatenate(docs or none)
         self.sizes = np.diff(np.append(self.starts, size))
-        blocks, words = [], list(known)
+        blocks, words = [], known.dictionary
         for i in range(0, len(words), WORD_BLOCK):
-            blocks.append(word_grams(pa.array(words[i : i + WORD_BLOCK], pa.large_string())))
+            blocks.append(word_grams(words.slice(i, WORD_BLOCK)))
         self.grams = np.concatenate([g for g, _ in blocks] or [np.zeros(0, np.int32)])
         shift = np.cumsum([0, *(len(g) for g, _ in blocks)])
         self.begin = np.concatenate([b + k for (_, b), k in zip(blocks, shift, strict=False)] or none)
@@ -129,9 +133,14 @@ class Model:
         at = np.repeat(x.starts[rows], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         used, code = np.unique(x.codes[at], return_inverse=True)
         many = x.many[used]
-        g = x.grams[np.repeat(x.begin[used], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         edge, cut = np.cumsum(many) - many, np.cumsum(size) - size
-        words = np.add.reduceat(vectors[g], edge) / many[:, None]
+        blocks = np.split(np.arange(len(used)), np.flatnonzero(np.diff(edge // GRAM_BLOCK)) + 1)
+
+        def grams(b: np.ndarray) -> np.ndarray:
+            """Those of the used words at b, one word's after the other's."""
+            return x.grams[np.repeat(x.begin[used[b]] - (edge[b] - edge[b[0]]), many[b]) + np.arange(many[b].sum())]
+
+        words = np.concatenate([np.add.reduceat(vectors[grams(b)], edge[b] - edge[b[0]]) for b in blocks]) / many[:, None]
         h = np.add.reduceat(words[code], cut) / PASSAGE
         z = h @ out + bias
         z -= z.max(1, keepdims=True)
@@ -142,7 +151,11 @@ class Model:
         d = (p * importance[:, None]).astype(np.float32)
         dh = (d @ out.T) / PASSAGE
         dwords = np.stack([np.bincount(code, np.repeat(dh[:, j], size), len(used)) for j in range(WIDTH)], 1) / many[:, None]
-        dvec = np.stack([np.bincount(g, np.repeat(dwords[:, j], many), BUCKETS) for j in range(WIDTH)], 1)
+        dvec = np.zeros((BUCKETS, WIDTH))
+        for b in blocks:
+            g = grams(b)
+            for j in range(WIDTH):
+                dvec[:, j] += np.bincount(g, np.repeat(dwords[b, j], many[b]), BUCKETS)
         self.t += 1
         for i, grad in enumerate((dvec, h.T @ d, d.sum(0))):
             grad = grad.astype(np.float32)
@@ -190,7 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         parts = [b for b in batches if b.num_rows]
         if parts:
             t = pa.Table.from_batches(parts).sort_by("doc_id")  # the fit doesn't depend on the order of arrival
-            weight, bias = fit(t.column("text").combine_chunks(), np.asarray(t.column("toxic"), np.int64).clip(0, 1))
+            parts.clear()
+            texts, y = t.column("text").combine_chunks(), np.asarray(t.column("toxic"), np.int64).clip(0, 1)
+            del t
+            weight, bias = fit(texts, y)
             yield pa.RecordBatch.from_arrays([pa.array([weight.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
 
     found = rows.repartition(1).mapInArrow(run, "weight binary, bias double").collect()
