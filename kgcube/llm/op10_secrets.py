@@ -120,6 +120,22 @@ def replaced(text: str, pieces: list[tuple[int, int, str]], within: list[tuple[n
     return "".join([*out, text[at:]]), lambda i: place(i, False), lambda i: place(i, True)
 
 
+def deflated(data: bytes) -> Iterator[bytes]:
+    """What raw deflate holds, in parts of at most MOST_LAYER, if all of the data are: so the first part must come from
+    data that either go on or end as they should."""
+    d, first = zlib.decompressobj(-15), True
+    while not d.eof:
+        try:
+            out = d.decompress(data, MOST_LAYER)
+        except zlib.error:
+            return
+        data = d.unconsumed_tail
+        if not out or len(d.unused_data) >= 4 or (first and not (d.eof or data or len(out) == MOST_LAYER)):
+            return
+        yield out
+        first = False
+
+
 def inflated(source: Iterator[bytes], done: list[int]) -> Iterator[bytes]:
     """What a stream of bytes holds if it begins with compressed data, in parts of at most MOST_LAYER, with
     the members that follow the first one. done[0]: bytes of the members that have ended."""
@@ -149,10 +165,15 @@ def inflated(source: Iterator[bytes], done: list[int]) -> Iterator[bytes]:
 
 
 def opened(source: Iterator[bytes], done: list[int], above: tuple[bytes, ...] = ()) -> Iterator[tuple[str, bool]]:
-    """Overlapping texts of all that is compressed in a stream from its beginning on; no level is held as a
+    """Overlapping texts of all that is compressed in a stream from its beginning on."""
+    return searched(inflated(source, done), above)
+
+
+def searched(parts: Iterator[bytes], above: tuple[bytes, ...] = ()) -> Iterator[tuple[str, bool]]:
+    """Overlapping texts of decompressed parts, and of what is compressed in these from their beginning on; no level is held as a
     whole. A stream that begins like one above it isn't opened again. With each text: does it begin with compressed
     data that this chain doesn't open?"""
-    parts, waiting, tail = inflated(source, done), [], b""
+    waiting, tail = [], b""
     if (first := next(parts, None)) is None:
         return
     begins = hashlib.blake2b(first, digest_size=16).digest()
@@ -191,16 +212,6 @@ def below(data: bytes, start: int = 0) -> Iterator[tuple[str, bool, int]]:
             end = at + done[0]
 
 
-def deflated(data: bytes) -> str | None:
-    """Raw deflate, if all of the data are: a first part of it, in which further layers are sought as in any other."""
-    d = zlib.decompressobj(-15)
-    try:
-        out = d.decompress(data, MOST_LAYER)
-    except zlib.error:
-        return None
-    return out.decode("latin-1") if out and (d.eof or d.unconsumed_tail) and len(d.unused_data) < 4 else None
-
-
 Layer = tuple[str, Place, Place, bool | None]
 
 
@@ -236,9 +247,9 @@ def encoded(text: str, opens: bool | None) -> Iterator[Layer]:
         for k in range(4):
             n = len(run) - k - ((len(run) - k) % 4 == 1)
             data = base64.b64decode(run[k : k + n] + "=" * (-n % 4))
-            raw = deflated(data) if not k else None
-            if raw is not None:
-                yield raw, *one(m.start(), m.end()), False
+            if not k:
+                for out, full in searched(deflated(data)):
+                    yield out, *one(m.start(), m.end()), full
             if not WORTH.search(data):
                 continue
             begin = lambda i, w=where, k=k: int(w[k + i // 3 * 4 + i % 3])

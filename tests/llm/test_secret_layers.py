@@ -58,6 +58,12 @@ def test_any_depth(pack, depth):
     assert op10_secrets.spans(f"see {text} there")[1]
 
 
+@pytest.mark.parametrize("inner", [(b"plain words " * 500_000) + SECRET.encode() + b" end", gzip.compress(SECRET.encode()), gzip.compress(b"plain words " * 500_000 + SECRET.encode())])
+def test_all_of_raw_deflate_is_searched(inner):
+    text = b64(deflate(inner))
+    assert (4, 4 + len(text), 0) in op10_secrets.spans(f"see {text} there")[1]
+
+
 def test_a_layer_that_holds_itself_ends():
     assert op10_secrets.spans("%25" * 2000 + " " + "&amp;" * 2000)[1] == []
 
