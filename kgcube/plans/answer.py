@@ -67,7 +67,7 @@ def build(cube: Cube, ctx: DataFrame, links: DataFrame, triples: Triples, scope:
         feeds = used.join(known, "context_id").select("stored_name", paths.graph_iri(cube.base, F.col("final_id"), "-mod").alias("graph")).distinct()
         terms = Dictionary.of(statements(rows), resources(feeds, "graph"))
         asserted = terms.encode(rows, ["s", "p"], True).join(terms.encode(feeds, ["graph"]), "stored_name").select(*QUAD).distinct()
-        return Answer(terms.decode(asserted, ["s", "p", "graph"], True).select(*T.TRIPLE, "graph").unionByName(cells), None, None, known, finals)
+        return Answer(terms.decode(stored(asserted) if not terms.broadcast else asserted, ["s", "p", "graph"], True).select(*T.TRIPLE, "graph").unionByName(cells), None, None, known, finals)
     if representation == "RDF":
         graph = Graph.of_files(used, mapped)
         found = R.derive(graph, tbox)
@@ -75,7 +75,8 @@ def build(cube: Cube, ctx: DataFrame, links: DataFrame, triples: Triples, scope:
         terms = Dictionary.of(resources(feeds.select("mod", "inf").distinct(), "mod", "inf"), base=found.terms)
         feeds = stored(terms.encode(feeds, ["context_id", "mod", "inf"]))
         stamped = [facts.join(feeds, "context_id").select("s", "p", "o", F.col(module).alias("graph")) for facts, module in ((graph.facts, "mod"), (found.facts, "inf"))]
-        stamped = terms.decode(stamped[0].unionByName(stamped[1]).distinct(), ["s", "p", "graph"], True).select(*T.TRIPLE, "graph")
+        stamped = stamped[0].unionByName(stamped[1]).distinct()
+        stamped = terms.decode(stamped if terms.broadcast else stored(stamped), ["s", "p", "graph"], True).select(*T.TRIPLE, "graph")
         parts = [stamped, cells, T.derived_metadata(finals, cube.base), T.coverage_quads(C.coverage(cube, ctx, scope, rho), cube.base)]
         return Answer(reduce(lambda x, y: x.unionByName(y), parts), None, None, known, finals)  # no two parts share a quad
     one = T.as_set(T.context_bag(used, mapped))

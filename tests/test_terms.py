@@ -42,6 +42,35 @@ def test_large_dictionaries_are_joined_by_shuffle(spark, facts, monkeypatch):
     assert sorted(map(str, graph.rows().select(*facts.columns).collect())) == sorted(map(str, facts.collect()))
 
 
+def test_contexts_and_axioms_are_broadcast_when_the_dictionary_is_not(spark, facts, monkeypatch):
+    monkeypatch.setattr("kgcube.operators.terms.MOST_BROADCAST_BYTES", 400)
+    graph = Graph.of(facts)
+    assert not graph.terms.broadcast and set(graph.terms.named) == {"context_id"}
+    box = spark.createDataFrame([("p0", R.SUB_PROPERTY, "q"), ("q", R.DOMAIN, "A"), ("A", R.SUB_CLASS, "B")], "s string, p string, o string")
+    found = R.derive(graph, box)
+    assert {r.value for r in found.terms.often.collect()} >= {"A", "B", R.RDF_TYPE}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = found.rows().select(*facts.columns)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        have = sorted(map(str, rows.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # of the six joins with terms or their keys only two are shuffled: that of rare objects, and that of subjects
+    assert plan.count("Join LeftOuter") - plan.count("rightHint=(strategy=broadcast)") <= 2
+    old = facts.where("p = 'p0'").select("context_id", "s", "o", "is_literal", "datatype", "lang").collect()
+    want = {(r.context_id, r.s, "q", r.o, r.is_literal, r.datatype, r.lang) for r in old} | {(r.context_id, r.s, R.RDF_TYPE, c, False, None, None) for r in old for c in "AB"}
+    assert have == sorted(str(x) for x in spark.createDataFrame(sorted(want, key=str), FACT).collect())
+
+
+def test_later_rounds_read_only_facts_like_those_made(spark):
+    f = spark.createDataFrame([("c", 1, 5, 7), ("c", 1, 9, 2), ("c", 1, 9, 3)], "context_id string, s long, p long, o long")
+    made = spark.createDataFrame([("d", 8, 5, 0), ("d", 8, 9, 3)], "context_id string, s long, p long, o long")
+    t = type("Box", (), {"type": F.lit(9).cast("long")})
+    assert sorted((r.p, r.o) for r in R._alike(f, made, t).collect()) == [(5, 7), (9, 3)]
+    assert R._alike(f, made.limit(0), t).count() == 0
+
+
 def test_closure_of_clashing_numbers(spark, monkeypatch):
     f = spark.createDataFrame([("c", f"x{i}", R.RDF_TYPE, "A", False, None, None) for i in range(9)] + [("d", "x1", "p", "lit", True, None, None)], FACT)
     box = spark.createDataFrame([("A", R.SUB_CLASS, "B"), ("B", R.SUB_CLASS, "C"), ("p", R.SUB_PROPERTY, "q"), ("q", R.DOMAIN, "A")], "s string, p string, o string")
