@@ -211,6 +211,23 @@ def test_a_small_batch_reads_a_bounded_part_of_the_index(spark):
     assert (size("contexts"), size("context_files")) == (3001, 20_010)
 
 
+def test_a_batch_moves_no_more_than_it_must(spark):
+    root = tables.new_folder(spark)
+    found = links(spark, "a1", "a2", "b1").withColumn("status", F.when(F.col("stored_name") == "b1", "bad"))
+    found = found.unionByName(links(spark, "b1").withColumn("status", F.lit(None).cast("string")))  # good and bad rows: the file fails as a whole
+    work = ingest.Ingestion(spark, root, lambda tasks: found.join(tasks.select(F.col("storedName").alias("stored_name")), "stored_name"), lambda x: C.write_index(CUBE, x, f"{root}/index", "sales"))
+    work.batch(lines(spark, "a1", "b1"), "000000000000-000")
+    path = f"{root}/index/context_files/schema_id=sales"
+    new = C._keyed(links(spark, "a1", "a2"), C.TABLES["context_files"])
+    assert [r.stored_name for r in C._maybe(new, path, list(range(C.BUCKETS))).collect()] == ["a1"]  # only this key is compared
+    work.batch(lines(spark, "a1", "a2"), "000000000001-000")
+    assert sorted(r.stored_name for r in C.read_index(spark, f"{root}/index", "context_files", "sales").collect()) == ["a1", "a2"]
+    assert {r.storedName: r.status for r in ingest.read_log(spark, root, "waiting/batch=000000000000-000", ingest.WAITING).collect()} == {"b1": "bad"}
+    for kind in ("log", "completed", "invalidated", "waiting"):
+        parts = [n for n in tables.names(spark, f"{root}/{kind}/batch=000000000000-000") if n.startswith("part-")]
+        assert parts and all(n.endswith(".gz") for n in parts)
+
+
 def test_late_tasks_and_other_schemas(spark):
     root, indexed, engines = tables.new_folder(spark), [], []
 
