@@ -315,3 +315,35 @@ def test_percentiles_of_many_values(spark):
         for name, p in wanted.items():
             assert abs(got[k][name] - np.quantile(vs, p)) < 1e-6, (k, name)
     assert L.percentiles(log, "v", wanted).count() == 1
+
+
+def test_links_of_other_files_and_repeated_ones(spark):
+    """A file has each context once, whatever the analysis gives; files that no task names don't come in."""
+    root, seen = tables.new_folder(spark), []
+
+    def analyse(tasks):
+        rows = links(spark, "a1", "a1", "b1", "c1", "other").withColumn("status", F.when(F.col("stored_name") == "c1", "bad"))
+        return rows.unionByName(rows.where("stored_name = 'c1'").withColumn("status", F.lit(None).cast("string")))
+
+    def index(x):
+        seen.append(sorted((r.stored_name, r.schema_id) for r in x.collect()))
+        C.write_index(CUBE, x, f"{root}/index", "sales", unique=True)
+
+    work = ingest.Ingestion(spark, root, analyse, index)
+    for _ in range(2):  # delivered twice
+        work.batch(lines(spark, "a1", "b1", "c1", "d1"), "000000000000-000")
+    assert seen == [[("a1", "sales"), ("b1", "sales")]] * 2
+    assert C.read_index(spark, f"{root}/index", "context_files", "sales").count() == 2
+    log = {r.stored_name: r.contexts_count for r in ingest.read_log(spark, root, "log", ingest.LOG).collect()}
+    assert log == {"a1": 1, "b1": 1, "d1": 0}
+    assert [(r.storedName, r.status) for r in work.waiting("000000000000-001").collect()] == [("c1", "bad")]
+
+
+def test_raw_messages_are_found_without_moving_text(spark):
+    root = tables.new_folder(spark)
+    raw = tables.stored(spark.range(5000).select(F.concat(F.lit("f/"), "id").alias("stored_name"), F.repeat(F.lit("text"), 3).alias("content")))
+    files.write_raw(raw, root, "s")
+    names = tables.stored(raw.select("stored_name").limit(2000))
+    found = files.read_raw(spark, root, "s", names, exact=False)
+    assert found.join(names, "stored_name", "left_semi").count() == 2000 and found.count() < 3000
+    assert "hashpartitioning(stored_name" not in found._jdf.queryExecution().toString()
