@@ -225,19 +225,19 @@ def backlog(spark, d):
 def stream(spark, d):
     """Tasks for all files of the sales cube, in four JSON files with broken and repeated lines, run as a stream. Customers
     can't be read; those whose names end in 5 can on a second attempt."""
-    root, links = tables.new_folder(spark), S.links(spark, d)
+    root, links = tables.new_folder(spark), tables.stored(S.links(spark, d).drop("context_id"))
     task = F.to_json(F.struct(F.lit("sales").alias("schemaId"), F.col("stored_name").alias("storedName"), F.col("engine_id").alias("engineId"), F.lit(1).alias("extra")))
     lines = links.select(task.alias("value")).unionByName(links.where("engine_id = 'nation'").select(task.alias("value")))
     broken = links.where("engine_id = 'region'").select(F.to_json(F.struct("stored_name")).alias("value"))
-    lines.unionByName(broken).repartition(4).write.text(f"{root}/tasks")
-    known_links = tables.stored(links)
+    lines.unionByName(broken).repartition(4).write.option("compression", "gzip").text(f"{root}/tasks")
 
     def links_of(tasks):
-        x = tasks.select(F.col("storedName").alias("stored_name"), "attempts").join(known_links, "stored_name", "left")
+        x = tasks.select(F.col("storedName").alias("stored_name"), "attempts").join(links, "stored_name", "left")
         lost = (F.col("engine_id") == "customer") & ~(F.col("stored_name").endswith("5") & (F.col("attempts") > 0))
-        return x.withColumn("status", F.when(lost, F.lit("unreadable"))).drop("attempts")
+        found = F.when(F.col("engine_id").isNotNull(), CUBE.context_id()).alias("context_id")  # behind the shuffle, as ids are long
+        return x.select("stored_name", "engine_id", "size_bytes", *CUBE.names, found, F.when(lost, F.lit("unreadable")).alias("status"))
 
-    work = ingest.Ingestion(spark, root, links_of, lambda x: C.write_index(CUBE, x, f"{root}/index", "sales"))
+    work = ingest.Ingestion(spark, root, links_of, lambda x: C.write_index(CUBE, x, f"{root}/index", "sales", unique=True))
     work.run(ingest.read_tasks(spark, f"{root}/tasks", 2))
     work.drain()
     return root
