@@ -79,3 +79,16 @@ def test_closure_of_clashing_numbers(spark, monkeypatch):
     monkeypatch.setattr("kgcube.operators.terms.MASK", 0b11110)
     monkeypatch.setattr(Dictionary.of.__func__, "__kwdefaults__", {"base": None, "mask": 0b11110})
     assert sorted(map(str, R.closure(f, box).collect())) == want
+
+
+def test_facts_of_a_subject_stay_together(spark):
+    """Each fact once, and all of a subject and context in one file, side by side."""
+    n = 40
+    links = spark.range(n).select(F.concat(F.lit("f"), "id").alias("stored_name"), F.concat(F.lit("c"), F.col("id") % 5).alias("context_id"))
+    row = lambda o: F.struct(F.concat(F.lit("urn:s"), F.floor(F.col("id") / 10)).alias("s"), F.lit("urn:p").alias("p"), o.alias("o"))
+    triples = spark.range(n).select(F.concat(F.lit("f"), "id").alias("stored_name"), F.explode(F.array(*(row(F.lit(f"urn:o{k}")) for k in range(4)))).alias("t")).select("stored_name", "t.*")
+    none = F.lit(None).cast("string")
+    graph = Graph.of_files(links, triples.select("*", F.lit(False).alias("is_literal"), none.alias("datatype"), none.alias("lang")))
+    files = graph.facts.select("context_id", "s", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("row"))
+    found = files.groupBy("context_id", "s").agg(F.count_distinct("file").alias("files"), (F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n")).collect()
+    assert len(found) == 20 and all((r.files, r.span, r.n) == (1, 4, 4) for r in found)
