@@ -4,13 +4,15 @@ Facts are (context_id, s, p, o, is_literal, datatype, lang), or a graph of numbe
 TBox is (s, p, o), schema axioms only, closed under class and property chains once, so that a round of the closure
 takes a fact all the way up. Closure is semi-naive: each round joins what the last one found with the axioms, which are
 broadcast if they are few, and the rules over two facts join it with those facts that they can use, if it holds any that they name.
+Only facts that the rules can read or derive take part, if ``Axioms.relevant`` leaves the others out before they become numbers.
 What is derived is compared only with facts that some axiom can derive, and after the first round only with those of the
-same predicates and classes. Rules without axioms don't run. Each round is written to the
+same predicates and classes. Rules without axioms don't run. A rule doesn't see again what a closed table of axioms made of facts that it has seen. Each round is written to the
 shared folder, so the plan doesn't grow and lost executors cost one round at most.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -99,21 +101,21 @@ def _fact(s: str, p: str | Column, o: str) -> list[Column | str]:
     return ["context_id", F.col(s).alias("s"), (F.col(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o")]
 
 
-class TBox:
-    """Axioms by rule, as numbers; each table is stored once, and broadcast if it is small."""
+class Axioms:
+    """What rules read of a TBox, as text. ``table`` (kind, x0, x1, x2) is stored, and ``few`` are its rows if a broadcast may
+    hold them. With ``wanted`` only axioms count that lead to types of these classes, and ``derive`` returns no others."""
 
     #: Columns of the tables of axioms.
     TABLES = {"classes": ("sub", "sup"), "properties": ("sub", "sup"), "domain": ("p", "cls"), "range": ("p", "cls"), "chains": ("q", "first", "second"), "intersections": ("first", "second", "sup"), "some": ("prop", "filler", "sup"), "value": ("cls", "prop", "val")}
 
-    def __init__(self, triples: DataFrame, terms: Dictionary, closed: bool = False):
-        """``closed``: domains and ranges hold for sub-properties and super-classes too."""
-        self.type = terms.number(RDF_TYPE)
-        t = triples.select("s", "p", "o").distinct()
+    def __init__(self, tbox: DataFrame, rules: list[Rule], wanted: tuple[str, ...] = ()):
+        self.rules, self.wanted = rules, wanted
+        self.box = t = stored(tbox.select("s", "p", "o").distinct())
         found = {"classes": reachable(t, SUB_CLASS), "properties": reachable(t, SUB_PROPERTY)}
         by = lambda p, s, o: t.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
         for name, predicate in (("domain", DOMAIN), ("range", RANGE)):
             pairs = by(predicate, "p", "cls")
-            if closed:
+            if sub_class in rules and sub_property in rules:  # they hold for sub-properties and super-classes too
                 pairs = pairs.unionByName(pairs.join(found["properties"], F.col("p") == F.col("sup")).select(F.col("sub").alias("p"), "cls"))
                 pairs = pairs.unionByName(pairs.join(found["classes"], F.col("cls") == F.col("sub")).select("p", F.col("sup").alias("cls"))).distinct()
             found[name] = pairs
@@ -125,10 +127,60 @@ class TBox:
         found["some"] = by(SOME, "node", "filler").join(on, "node").where(F.col("prop") != RDF_TYPE).join(sub, "node").select("prop", "filler", "sup")
         found["value"] = by(VALUE, "node", "val").join(on, "node").join(by(SUB_CLASS, "cls", "node"), "node").select("cls", "prop", "val")
         none = F.lit(None).cast("string")
-        rows = [found[k].select(F.lit(k).alias("kind"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(v)), *(none.alias(f"x{i}") for i in range(len(v), 3))) for k, v in self.TABLES.items()]
-        self.table = stored(terms.encode(reduce(lambda a, b: a.unionByName(b), rows).distinct(), ["x0", "x1", "x2"]))
-        self.sizes = {r["kind"]: r["n"] for r in self.table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        self.few = self.table.collect() if sum(self.sizes.values()) <= MOST_BROADCAST_ROWS else None
+        own = any(r not in AXIOMS for r in rules)  # a rule of one's own may read any
+        rows = [found[k].select(F.lit(k).alias("kind"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(v)), *(none.alias(f"x{i}") for i in range(len(v), 3))) for k, v in self.TABLES.items() if own or k in {AXIOMS[r] for r in rules}]
+        self.table = stored(reduce(lambda a, b: a.unionByName(b), rows).distinct())
+        rows = self.table.limit(MOST_BROADCAST_ROWS + 1).collect()
+        self.few = rows if len(rows) <= MOST_BROADCAST_ROWS else None
+        if wanted and self.few is not None and not own:
+            self.few = self._leading()
+            self.table = local(t.sparkSession, [tuple(r) for r in self.few], "kind string, x0 string, x1 string, x2 string")
+
+    def _leading(self) -> list:
+        """The few axioms that can take part in deriving a wanted type, from its class backwards."""
+        names = {"p": set(), "o": set(self.wanted)}  # wanted predicates and classes; all classes if the type is such a predicate
+        kept = {}
+        while True:
+            wants = lambda x, side: x in names[side] or RDF_TYPE in names["p"] if side == "o" else x in names["p"] or x == RDF_TYPE  # noqa: B023, E731
+            new = {tuple(r): r for r in self.few if tuple(r) not in kept and any(wants(x, side) for side, x in self._named(r, DERIVABLE))}
+            if not new:
+                return list(kept.values())
+            kept |= new
+            for r in new.values():
+                for side, x in self._named(r, READ):
+                    names[side].add(x)
+
+    @classmethod
+    def _named(cls, row, columns: tuple) -> list[tuple[str, str]]:
+        """(p or o, name): the predicates and classes in the columns of a row."""
+        return [(side, row[f"x{cls.TABLES[kind].index(c)}"]) for side, names in zip("po", columns, strict=True) for kind, c in names if kind == row["kind"]]
+
+    def relevant(self, triples: DataFrame) -> DataFrame:
+        """Triples that the rules can read or derive; all others change nothing. Where a rule of one's own is among them, all."""
+        if any(r not in AXIOMS for r in self.rules):
+            return triples
+        pairs = lambda side: [F.struct(F.lit(side).alias("side"), self._column(kind, c).alias("name")) for names in (READ, DERIVABLE) for kind, c in names["po".index(side)]]
+        keys = held(self.table.select(F.explode(F.array(*pairs("p"), *pairs("o"))).alias("k")).select("k.*").where("name is not null").distinct())
+        types = keys.where((F.col("side") == "p") & (F.col("name") == RDF_TYPE)).isEmpty()  # else the type itself is a predicate that is read
+        typed = (F.col("p") == RDF_TYPE) & F.lit(types)
+        key = F.col("side") == F.when(typed, "o").otherwise("p"), F.col("name") == F.when(typed, F.col("o")).otherwise(F.col("p"))
+        return triples.join(keys, key[0] & key[1], "left_semi")
+
+    @classmethod
+    def _column(cls, kind: str, column: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col(f"x{cls.TABLES[kind].index(column)}"))
+
+
+class TBox:
+    """Axioms by rule, as numbers; each table is broadcast if it is small."""
+
+    TABLES = Axioms.TABLES
+
+    def __init__(self, axioms: Axioms, terms: Dictionary):
+        self.type = terms.number(RDF_TYPE)
+        self.table = stored(terms.encode(axioms.table, ["x0", "x1", "x2"]))
+        self.few = self.table.collect() if axioms.few is not None else None
+        self.sizes = dict(Counter(r["kind"] for r in self.few)) if self.few is not None else {r["kind"]: r["n"] for r in self.table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         for name in self.TABLES:
             setattr(self, name, self._of(name))
 
@@ -173,35 +225,36 @@ def sub_property(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
     return new.join(t.properties, F.col("p") == F.col("sub")).select(*_fact("s", "sup", "o"))
 
 
-def _both(new: DataFrame, facts: DataFrame, one: Rule2) -> DataFrame:
-    """Pairs of a new fact with any, on either side; in the first round all facts are new."""
-    return one(new, facts) if new is facts else one(new, facts).unionByName(one(facts, new))
+def _both(new: DataFrame, facts: DataFrame, old: DataFrame | None, one: Rule2) -> DataFrame:
+    """Pairs of a new fact with any, on either side; in the first round all facts are new. ``old`` are facts without the
+    new ones, so that two of these meet once."""
+    return one(new, facts) if new is facts else one(new, facts).unionByName(one(facts if old is None else old, new))
 
 
-def chain(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
+def chain(new: DataFrame, facts: DataFrame, t: TBox, old: DataFrame | None = None) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.where(is_resource(F.col("o"))).join(t.chains, F.col("p") == F.col("first")).select("context_id", F.col("s").alias("a"), F.col("o").alias("mid"), "q", "second")
         b = kept(right, "p", t.keys(("chains", "second"))).select("context_id", F.col("s").alias("mid"), F.col("p").alias("second"), F.col("o").alias("b"))
         return a.join(b, ["context_id", "mid", "second"]).select(*_fact("a", "q", "b"))
 
-    return _both(new, facts, one)
+    return _both(new, facts, old, one)
 
 
-def intersection(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
+def intersection(new: DataFrame, facts: DataFrame, t: TBox, old: DataFrame | None = None) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = types(left, t).join(t.intersections, F.col("cls") == F.col("first")).select("context_id", "s", "second", "sup")
         b = kept(types(right, t), "cls", t.keys(("intersections", "second"))).withColumnRenamed("cls", "second")
         return a.join(b, ["context_id", "s", "second"]).select(*_fact("s", t.type, "sup"))
 
-    return _both(new, facts, one)
+    return _both(new, facts, old, one)
 
 
-def some_values(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
+def some_values(new: DataFrame, facts: DataFrame, t: TBox, old: DataFrame | None = None) -> DataFrame:
     def one(left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.where(is_resource(F.col("o"))).join(t.some, F.col("p") == F.col("prop")).select("context_id", F.col("s").alias("x"), F.col("o").alias("s"), F.col("filler").alias("cls"), "sup")
         return a.join(kept(types(right, t), "cls", t.keys(("some", "filler"))), ["context_id", "s", "cls"]).select(*_fact("x", t.type, "sup"))
 
-    return _both(new, facts, one)
+    return _both(new, facts, old, one)
 
 
 def has_value(new: DataFrame, facts: DataFrame, t: TBox) -> DataFrame:
@@ -226,6 +279,11 @@ PAIRING = {chain, intersection, some_values}
 #: What the facts that these join are named by in axioms.
 SIDES = {chain: (("chains", "first"), ("chains", "second")), intersection: (("intersections", "first"), ("intersections", "second")), some_values: (("some", "prop"), ("some", "filler"))}
 
+#: Of these rules a rule needn't see what they have made: its axioms are closed, so it has made the same of what they read.
+#: The second table holds as well where domains and ranges are closed.
+CLOSED = {sub_class: {sub_class}, sub_property: {sub_property}}
+CLOSED_TOO = {sub_class: {sub_class, domain, range_}, sub_property: {sub_property}, domain: {sub_property}, range_: {sub_property}}
+
 #: The axioms that a rule needs; a rule of one's own, that isn't here, always runs, and sees facts as text.
 AXIOMS = {sub_class: "classes", sub_property: "properties", chain: "chains", intersection: "intersections", some_values: "some", has_value: "value", domain: "domain", range_: "range"}
 
@@ -250,18 +308,22 @@ def drop_noise(derived: DataFrame) -> DataFrame:
 
 
 def new_facts(found: DataFrame, *known: DataFrame) -> DataFrame:
-    """Numbered facts of found, each once, that aren't known."""
-    return reduce(lambda out, k: out.join(k.select(*CODED), CODED, "left_anti"), known, Graph.together(found.select(*CODED)).distinct())
+    """Numbered facts of found, each once, that aren't known; with the bits of all rules that made it in ``by``, if it has these."""
+    rows = Graph.together(found)
+    rows = rows.groupBy(*CODED).agg(F.bit_or("by").alias("by")) if "by" in found.columns else rows.select(*CODED).distinct()
+    return reduce(lambda out, k: out.join(k.select(*CODED), CODED, "left_anti"), known, rows)
 
 
-def _with_axioms(facts: DataFrame | Graph, tbox: DataFrame) -> tuple[Graph, DataFrame]:
-    """The facts as numbers that the TBox's terms have too, and the TBox as a stored table."""
-    box = stored(tbox.select("s", "p", "o").distinct())
-    graph = facts if isinstance(facts, Graph) else Graph.of(facts.select(*FACT))
-    more = resources(box.select("s", "p", "o", F.lit(RDF_TYPE).alias("type")), "s", "p", "o", "type")
-    return Graph(graph.facts.select(*CODED), Dictionary.of(more, base=graph.terms)), box
+def _with_axioms(facts: DataFrame | Graph, axioms: Axioms) -> Graph:
+    """The facts as numbers that the axioms' terms have too."""
+    graph = facts if isinstance(facts, Graph) else Graph.of(axioms.relevant(facts.select(*FACT)))
+    more = resources(axioms.box.select("s", "p", "o", F.lit(RDF_TYPE).alias("type")), "s", "p", "o", "type")
+    return Graph(graph.facts.select(*CODED), Dictionary.of(more, base=graph.terms))
 
 
+#: What axioms read: the predicates of statements, and classes.
+READ = (("properties", "sub"), ("chains", "first"), ("chains", "second"), ("some", "prop"), ("domain", "p"), ("range", "p")), (("classes", "sub"), ("intersections", "first"), ("intersections", "second"), ("some", "filler"), ("value", "cls"))
+
 #: What axioms can derive: the predicates of statements, and classes.
 DERIVABLE = (("properties", "sup"), ("chains", "q"), ("value", "prop")), (("classes", "sup"), ("domain", "cls"), ("range", "cls"), ("intersections", "sup"), ("some", "sup"))
 
@@ -279,25 +341,33 @@ def _alike(facts: DataFrame, made: DataFrame, t: TBox) -> DataFrame:
     return facts.join(kinds.select(F.col("p").alias("_p"), F.col("cls").alias("_cls")), (F.col("p") == F.col("_p")) & (kind["cls"] == F.col("_cls")), "left_semi")
 
 
-def once(rule: Rule, facts: DataFrame | Graph, tbox: DataFrame) -> DataFrame:
+def once(rule: Rule, facts: DataFrame | Graph, tbox: DataFrame | Axioms) -> DataFrame:
     """What one rule derives at once, as text."""
-    graph, box = _with_axioms(facts, tbox)
-    t = TBox(box, graph.terms)
+    axioms = tbox if isinstance(tbox, Axioms) else Axioms(tbox, [rule])
+    graph = _with_axioms(facts, axioms)
+    t = TBox(axioms, graph.terms)
     rivals = _among(graph.facts, t, *(t.keys(*names) for names in DERIVABLE)) if rule in AXIOMS else graph.facts
     found = stored(new_facts(rule(graph.facts, graph.facts, t).select(*CODED), rivals).sortWithinPartitions("context_id", "s"))
     return graph.terms.decode(found, CODED[:3], True).select(*FACT)
 
 
-def derive(facts: DataFrame | Graph, tbox: DataFrame, rules: list[Rule] = EIGHT) -> Graph:
-    """Derived facts only, as numbers: the fixpoint without the facts, the TBox and noise."""
-    graph, box = _with_axioms(facts, tbox)
+def derive(facts: DataFrame | Graph, tbox: DataFrame | Axioms, rules: list[Rule] = EIGHT) -> Graph:
+    """Derived facts only, as numbers: the fixpoint without the facts, the TBox and noise. Axioms bring their own rules."""
+    axioms = tbox if isinstance(tbox, Axioms) else Axioms(tbox, rules)
+    graph = _with_axioms(facts, axioms)
     terms, facts = graph.terms, graph.facts
-    t = TBox(box, terms, closed=sub_class in rules and sub_property in rules)
-    rules = [r for r in rules if t.sizes.get(AXIOMS.get(r, ""), 1 if r not in AXIOMS else 0)]
+    t = TBox(axioms, terms)
+    rules = [r for r in axioms.rules if t.sizes.get(AXIOMS.get(r, ""), 1 if r not in AXIOMS else 0)]
     own = [r for r in rules if r not in AXIOMS]  # of a rule of one's own anything may come
     alone, pairing = [r for r in rules if r in AXIOMS and r not in PAIRING], [r for r in rules if r in PAIRING]
     pairs = t.keys(("chains", "first"), ("chains", "second"), ("some", "prop")), t.keys(("intersections", "first"), ("intersections", "second"), ("some", "filler"))
-    usable = lambda df: stored(_among(df, t, *pairs)) if pairing else df.where(F.lit(False))
+    usable = lambda df: _among(df, t, *pairs) if pairing else df.where(F.lit(False))
+    bit = {r: 1 << k for k, r in enumerate(alone)}
+    past = CLOSED_TOO if sub_class in rules and sub_property in rules else CLOSED
+
+    def unseen(rule: Rule, new: DataFrame) -> DataFrame:
+        seen = sum(bit.get(r, 0) for r in past.get(rule, ()))
+        return new.where(F.col("by").bitwiseAND(F.lit(seen)) == 0) if seen and "by" in new.columns else new
 
     def meeting(fit: DataFrame) -> list[Rule]:
         """The rules over two facts that name one of these."""
@@ -307,33 +377,37 @@ def derive(facts: DataFrame | Graph, tbox: DataFrame, rules: list[Rule] = EIGHT)
         return [r for r in pairing if there & t.numbers(*SIDES[r])]
 
     new, fit, found = facts, usable(facts), None
-    fits, rivals = fit, facts if own else stored(_among(facts, t, *(t.keys(*names) for names in DERIVABLE)))
+    fits, old, rivals = fit, None, facts if own else _among(facts, t, *(t.keys(*names) for names in DERIVABLE))
     while rules:
-        parts = [rule(new, new, t).select(*CODED) for rule in alone] + [rule(fit, fits, t).select(*CODED) for rule in meeting(fit)]
+        parts = [rule(unseen(rule, new), new, t).select(*CODED, F.lit(bit[rule]).alias("by")) for rule in alone]
+        parts += [rule(fit, fits, t, old).select(*CODED, F.lit(0).alias("by")) for rule in meeting(fit)]
         for rule in own:
             text = lambda df: terms.decode(df, CODED[:3], True).select(*FACT)  # noqa: B023, E731
             made = stored(rule(text(new), text(facts if found is None else facts.unionByName(found)), t).select(*FACT))
             terms = Dictionary.of(statements(made), base=terms)
-            parts.append(terms.encode(made, CODED[:3], True).select(*CODED))
+            parts.append(terms.encode(made, CODED[:3], True).select(*CODED, F.lit(0).alias("by")))
         if not parts:
             break
         made = reduce(lambda a, b: a.unionByName(b), parts)
         if found is None:
             new = stored(new_facts(made, rivals).sortWithinPartitions("context_id", "s"))
         else:
-            made = stored(Graph.together(made).distinct().sortWithinPartitions("context_id", "s"))
-            new = stored(new_facts(made, _alike(rivals.unionByName(found), made, t)))
+            made = stored(new_facts(made).sortWithinPartitions("context_id", "s"))
+            new = made if made.isEmpty() else stored(new_facts(made, _alike(rivals.unionByName(found), made, t)))
         if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
-        fit = usable(new)
+        found = new.select(*CODED) if found is None else found.unionByName(new.select(*CODED))
+        fit, old = usable(new.select(*CODED)), fits
         fits = fits.unionByName(fit)
     if found is None:
         return Graph(facts.where(F.lit(False)), terms)
-    axioms = terms.encode(box, ["s", "p", "o"])
-    return Graph(without_noise(Graph(found, terms)).join(small(axioms), ["s", "p", "o"], "left_anti").select(*CODED), terms)
+    if axioms.wanted:
+        classes = terms.encode(local(terms.spark, [(x,) for x in axioms.wanted], "key string"), ["key"])
+        found = kept(found.where(F.col("p") == t.type), "o", F.broadcast(classes))
+    stated = terms.encode(axioms.box, ["s", "p", "o"])
+    return Graph(without_noise(Graph(found, terms)).join(small(stated), ["s", "p", "o"], "left_anti").select(*CODED), terms)
 
 
-def closure(facts: DataFrame | Graph, tbox: DataFrame, rules: list[Rule] = EIGHT) -> DataFrame:
+def closure(facts: DataFrame | Graph, tbox: DataFrame | Axioms, rules: list[Rule] = EIGHT) -> DataFrame:
     """What is derived, as text. ``facts`` should be a stored table."""
     return derive(facts, tbox, rules).rows().select(*FACT)

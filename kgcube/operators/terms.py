@@ -175,7 +175,7 @@ class Dictionary:
         """The other way. Where the terms aren't broadcast, df should be a stored table, as it may be read several times."""
         names = [*columns, *(["o"] if statement else [])]
         wide = [c for c in names if not (self.broadcast or c == "p" or c in self.named)]
-        often = self.often if statement and "o" in wide else None
+        often, predicates = self.often if statement and "o" in wide else None, df.select(F.col("p").alias("id")) if "p" in names and not self.broadcast else None  # before texts are joined, which a distinct of predicates would repeat
         plain = lambda t, c: t.select(F.col("id").alias("_id"), *(F.col(x).alias(f"_{c}_{x}") for x in (TERM if statement and c == "o" else TERM[:1])))
 
         def texts(rows: DataFrame, c: str, table: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ class Dictionary:
             elif c in self.named:
                 df = texts(df, c, F.broadcast(self.named[c]))
             elif c == "p":
-                known = held(df.select(F.col("p").alias("id")).distinct())
+                known = held(predicates.distinct())
                 df = texts(df, c, small(self.terms.join(known, "id", "left_semi")))
         if often is not None:
             of = plain(often, "o").withColumnsRenamed({f"_o_{x}": f"_often_{x}" for x in TERM})

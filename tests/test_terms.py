@@ -92,3 +92,24 @@ def test_facts_of_a_subject_stay_together(spark):
     files = graph.facts.select("context_id", "s", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("row"))
     found = files.groupBy("context_id", "s").agg(F.count_distinct("file").alias("files"), (F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n")).collect()
     assert len(found) == 20 and all((r.files, r.span, r.n) == (1, 4, 4) for r in found)
+
+
+def test_facts_that_no_axiom_reads_are_left_out(spark):
+    """The closure is the same without them; of wanted classes only what leads to these is read and returned."""
+    none = (False, None, None)
+    f = [("c", "x", R.RDF_TYPE, "A", *none), ("c", "x", "p", "y", *none), ("c", "x", "other", "y", *none), ("c", "x", R.RDF_TYPE, "Other", *none), ("c", "y", R.RDF_TYPE, "E", *none), ("c", "x", "q", "y", *none)]
+    f = spark.createDataFrame(f, FACT)
+    rows = [("A", R.SUB_CLASS, "B"), ("p", R.SUB_PROPERTY, "q"), ("p", R.DOMAIN, "D"), ("q", R.RANGE, "R"), ("E", R.SUB_CLASS, "G"), ("n", R.SUB_CLASS, "Both"), ("n", R.INTERSECTION, "l"), ("l", R.FIRST, "B"), ("l", R.REST, "m"), ("m", R.FIRST, "D"), ("m", R.REST, R.RDF + "nil")]
+    box = spark.createDataFrame(rows, "s string, p string, o string")
+    read = lambda a: {(r.p, r.o) for r in a.relevant(f).collect()}
+    every = R.Axioms(box, R.EIGHT)
+    assert read(every) == {(R.RDF_TYPE, "A"), ("p", "y"), ("q", "y"), (R.RDF_TYPE, "E")}
+    want = {("x", "B"), ("x", "D"), ("y", "R"), ("y", "G"), ("x", "Both")}
+    assert {(r.s, r.o) for r in R.closure(every.relevant(f), every).collect()} == want
+    both = R.Axioms(box, R.EIGHT, ("Both",))
+    assert read(both) == {(R.RDF_TYPE, "A"), ("p", "y")}
+    assert [(r.s, r.o) for r in R.closure(both.relevant(f), both).collect()] == [("x", "Both")]
+    assert read(R.Axioms(box, [R.range_])) == {("q", "y")}
+    typed = R.Axioms(box.union(spark.createDataFrame([(R.RDF_TYPE, R.SUB_PROPERTY, "kind")], "s string, p string, o string")), R.EIGHT)
+    assert read(typed) == read(every) | {(R.RDF_TYPE, "Other")}
+    assert R.Axioms(box, [*R.EIGHT, lambda new, facts, t: new]).relevant(f).count() == 6
