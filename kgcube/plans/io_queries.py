@@ -400,10 +400,10 @@ def escaped_literals(spark, d):
 def noise_left_out(spark, d):
     """Of facts and as many each that are reflexive, about vocabulary, about schema, or types that say nothing, the facts."""
     f = T.context_graph(S.links(spark, d), S.triples(spark, d)).where(F.col("p") == S.BASE + "placedBy").select(*R.FACT)
-    noise = [f.withColumn("o", F.col("s")), f.withColumn("s", F.concat(F.lit(R.RDFS), "s")), f.withColumn("p", F.lit(R.DOMAIN)), f.withColumns({"p": F.lit(T.RDF_TYPE), "o": F.lit(R.META[3])}), f.withColumns({"p": F.lit("urn:p"), "o": F.lit(R.RESOURCE)})]
-    for n in noise:
-        f = f.unionByName(n)
-    return R.drop_noise(tables.stored(f)).select("context_id", "s", "p", "o")
+    row = lambda s=F.col("s"), p=F.col("p"), o=F.col("o"): F.struct(s.alias("s"), p.alias("p"), o.alias("o"), *R.FACT[4:])
+    noise = [row(o=F.col("s")), row(s=F.concat(F.lit(R.RDFS), "s")), row(p=F.lit(R.DOMAIN)), row(p=F.lit(T.RDF_TYPE), o=F.lit(R.META[3])), row(p=F.lit("urn:p"), o=F.lit(R.RESOURCE))]
+    f = f.select("context_id", F.explode(F.array(row(), *noise)).alias("f")).select("context_id", "f.*")
+    return R.drop_noise(f).select("context_id", "s", "p", "o")
 
 
 @query(f"SELECT stored_name, 'first' AS engine_id FROM links UNION ALL SELECT stored_name, 'later' FROM links WHERE {NUMBER} % 2 = 1")
