@@ -30,12 +30,18 @@ def type_label(value, literal):
 
 def vertices(triples: DataFrame) -> DataFrame:
     """(id, label, props): all subjects and linked resources; the label is the first type in document order (``seq``,
-    where triples have it, else the order of names), or Resource."""
-    ids = triples.select(F.col("s").alias("id")).union(triples.where(~F.col("is_literal") & (F.col("p") != RDF_TYPE)).select("o")).distinct()
-    types = triples.where(F.col("p") == RDF_TYPE)
-    order = F.struct(*(["seq"] if "seq" in triples.columns else []), "o")
-    labels = types.groupBy(F.col("s").alias("id")).agg(F.min_by(type_label(F.col("o"), F.col("is_literal")), order).alias("label"))
-    return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", F.lit("Resource"))).join(vertex_props(triples), "id", "left")
+    where triples have it, else the order of names), or Resource; props as in ``vertex_props``. The triples are read once."""
+    lit, typed = F.col("is_literal"), F.col("p") == RDF_TYPE
+    order = ["seq"] if "seq" in triples.columns else []
+    first = F.when(typed, F.struct(*order, "o", type_label(F.col("o"), lit).alias("label")))
+    none = F.lit(None)
+    own = F.struct(F.col("s").alias("id"), F.when(lit, paths.last_segment(F.col("p"))).alias("key"), F.when(lit, F.col("o")).alias("value"), first.alias("first"))
+    linked = F.struct(F.col("o").alias("id"), none.cast("string").alias("key"), none.cast("string").alias("value"), F.when(F.lit(False), first).alias("first"))
+    rows = triples.select(F.explode(F.when(~lit & ~typed, F.array(own, linked)).otherwise(F.array(own))).alias("x")).select("x.*")
+    keys = rows.groupBy("id", "key").agg(F.array_sort(F.collect_list("value")).alias("values"), F.min("first").alias("first"))
+    pair = F.when(F.col("key").isNotNull(), F.struct("key", "values"))
+    v = keys.groupBy("id").agg(F.min("first").alias("first"), F.array_sort(F.collect_list(pair)).alias("pairs"))
+    return v.select("id", F.coalesce("first.label", F.lit("Resource")).alias("label"), F.when(F.size("pairs") > 0, F.map_from_entries("pairs")).alias("props"))
 
 
 def topology(v: DataFrame, e: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from kgcube.operators import rules as R
 from kgcube.plans import sales as S
 from kgcube.plans.cube import Cube
 from kgcube.sources import files, rdf, tables
+from kgcube.sources.tables import stored
 from kgcube.streaming import ingest
 from kgcube.streaming.materialised import Materialised
 
@@ -347,3 +348,14 @@ def test_raw_messages_are_found_without_moving_text(spark):
     found = files.read_raw(spark, root, "s", names, exact=False)
     assert found.join(names, "stored_name", "left_semi").count() == 2000 and found.count() < 3000
     assert "hashpartitioning(stored_name" not in found._jdf.queryExecution().toString()
+
+
+def test_graph_forms_and_noise_read_facts_once(spark):
+    """No shuffle where a row tells whether it is noise, and one scan of a table of triples for its vertices."""
+    f = facts(spark, ("a", "p", "a"), ("a", R.RDF_TYPE, "urn/T"), ("a", "p", "b")).unionByName(facts(spark, ("a", "p", "a")).withColumn("is_literal", F.lit(True)))
+    kept = R.drop_noise(f)
+    assert sorted((r.o, r.is_literal) for r in kept.collect()) == [("a", True), ("b", False), ("urn/T", False)]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    v = G.vertices(stored(f))
+    assert {(r.id, r.label, str(r.props)) for r in v.collect()} == {("a", "T", "{'p': ['a']}"), ("b", "Resource", "None")}
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
