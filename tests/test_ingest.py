@@ -250,6 +250,27 @@ def test_late_tasks_and_other_schemas(spark):
     assert engines[-1] == {"h": "e"}
 
 
+def test_links_by_paths_and_latest_tasks(spark):
+    """Ids come from paths behind the shuffle, and a file's tasks and times of earlier batches meet in one shuffle, unsorted before it."""
+    root, indexed = tables.new_folder(spark), []
+    found = links(spark, "a1", "a2", "b1").unionByName(links(spark, "a1", "a1").withColumn("time", F.array(F.lit("1996"))).withColumn("context_id", CUBE.context_id()))
+    bare = found.select("stored_name", *CUBE.names, F.when(F.col("stored_name") == "b1", "bad").alias("status"))
+    work = ingest.Ingestion(spark, root, lambda tasks: bare, lambda x: indexed.append({(r.stored_name, r.engine_id, r.context_id, tuple(r.place)) for r in x.collect()}), cube=CUBE)
+    tasks = ingest.parse_tasks(spark.createDataFrame([(f'{{"schemaId":"sales","storedName":"{n}","engineId":"{e}","timestamp":"{t}"}}',) for n, e, t in (("a1", "new", "2024-01-02"), ("a1", "old", "2024-01-01"), ("b1", "e", "2024-01-01"), ("z", "e", ""))], "value string"))
+    work.batch(tasks, "000000000000-000")
+    want = {(r.stored_name, "new", r.context_id, tuple(r.place)) for r in found.where("stored_name = 'a1'").collect()}
+    assert len(want) == 2 and indexed == [want]
+    assert {(r.stored_name, r.engine_id, r.contexts_count) for r in ingest.read_log(spark, root, "log", ingest.LOG).collect()} == {("a1", "new", 2), ("z", "e", 0)}
+    assert {r.context_id for r in ingest.read_log(spark, root, "invalidated", "context_id string").collect()} == {w[2] for w in want}
+    assert [r.storedName for r in work.waiting("000000000000-001").collect()] == ["b1"]
+
+    again = tasks.select(*ingest.REQUIRED, F.when(F.col("storedName") == "z", "2024-01-05").otherwise("2024-01-01").alias("timestamp"), F.lit(0).alias("attempts"))
+    due = work.due(again, "000000000001-000")
+    assert {r.storedName: r.timestamp for r in due.collect()} == {"z": "2024-01-05", "b1": "2024-01-01"}  # a1 was processed at a later time
+    plan = due._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
 def test_raw_messages_by_name(spark):
     root = tables.new_folder(spark)
     raw = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("stored_name"), F.repeat(F.lit("x"), 50).alias("content"))
