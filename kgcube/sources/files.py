@@ -42,7 +42,7 @@ def is_set(bits: Column, bit: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0
 
 
-def _likely(df: DataFrame, names: DataFrame) -> DataFrame:
+def likely(df: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of all of names(stored_name), and of few others, by a broadcast of bits of the names' hashes: nothing is shuffled."""
     n, places = names.count(), LEAST_BITS
     while places < min(8 * n, MOST_BITS):
@@ -67,7 +67,7 @@ def read_raw(spark: SparkSession, root: str, schema_id: str, names: DataFrame |
             wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, few)).cast("array<string>")).alias("n")).select(_bucket(F.col("n")).alias("b")).distinct()
             df = df.where(F.col("bucket").isin([r["b"] for r in wanted.collect()]) & F.col("stored_name").isin(few))
         else:
-            df = _likely(df, names)
+            df = likely(df, names)
             df = df.join(names.select("stored_name"), "stored_name", "left_semi") if exact else df
     return df.select("stored_name", "content", F.lit(schema_id).alias("schema_id"), F.octet_length("content").cast("long").alias("size_bytes"))
 

@@ -271,6 +271,17 @@ def test_links_by_paths_and_latest_tasks(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan[plan.index("Exchange hashpartitioning") :]
 
 
+def test_task_files_are_bounded(spark, monkeypatch):
+    from kgcube.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "TASKS_IN_FILE", 300)
+    root = io_queries.stream(spark, "/root/testdata/sf0.001/")  # another path than that of other tests, so that it runs
+    lines = spark.read.text(f"{root}/tasks").groupBy(F.input_file_name()).count().collect()
+    assert len(lines) > 4 and max(r["count"] for r in lines) <= 300
+    assert sorted(n for n in tables.names(spark, f"{root}/log") if n.endswith("-000")) == ["batch=000000000000-000", "batch=000000000001-000"]
+    assert C.read_index(spark, f"{root}/index", "context_files", "sales").count() > 1500
+
+
 def test_raw_messages_by_name(spark):
     root = tables.new_folder(spark)
     raw = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("stored_name"), F.repeat(F.lit("x"), 50).alias("content"))
